@@ -156,8 +156,6 @@ def tally(outcomes: DataFrame, table: DataFrame) -> DataFrame:
     files = outcomes.groupBy(F.col("outcome").alias("counter")).agg(F.count("*").alias("n"))
     sums = table.agg(F.count("*").alias("rows"),
                      F.count("content_hash").alias("rows_with_hash"))
-    totals = sums.select(F.inline(F.array(
-        F.struct(F.lit("rows").alias("counter"), F.col("rows").alias("n")),
-        F.struct(F.lit("rows_with_hash"), F.col("rows_with_hash")),
-        F.struct(F.lit("rows_still_null"), F.col("rows") - F.col("rows_with_hash")))))
+    totals = sums.withColumn("rows_still_null", F.col("rows") - F.col("rows_with_hash")).unpivot(
+        [], ["rows", "rows_with_hash", "rows_still_null"], "counter", "n")
     return files.unionByName(totals)

@@ -333,9 +333,12 @@ def pending_usage(vocabulary: DataFrame, postings: DataFrame) -> DataFrame:
 def replace_specs(specs: Column | str, *, merge: Mapping[str, str] = {},
                   reject: Sequence[str] = ()) -> Column:
     """Specializations with synonyms replaced and rejected ones removed, without repeats."""
+    def renamed(old: str, new: str) -> Callable[[Column], Column]:
+        return lambda s: F.when(s == old, new).otherwise(s)
+
     out = _col(specs)
     for old, new in merge.items():
-        out = F.transform(out, lambda s, old=old, new=new: F.when(s == old, new).otherwise(s))
+        out = F.transform(out, renamed(old, new))
     for spec in reject:
         out = F.array_remove(out, spec)
     return F.array_distinct(out)

@@ -25,7 +25,7 @@ def ingest_batch(raw: DataFrame, batch: int, *, table: str, dead_letters: str,
     dead letters; a transient failure fails the batch and Spark tries it again.
     """
     spark = raw.sparkSession
-    readable, broken = split_readable(with_arrival(raw))
+    readable, broken = split_readable(cut_lineage(with_arrival(raw)))
     # Random ids must be drawn once, before the rows are used several times.
     built = cut_lineage(build(readable))
     good, failed = split_failures(built)
