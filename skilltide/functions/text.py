@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -35,6 +35,12 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value computed once. An expression read inside a lambda would otherwise be
+    computed again for every element."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     """Trim every kind of white space, not just the blank."""
     return F.regexp_replace(_col(c), _U + r"^\s+|\s+$", "")
@@ -127,9 +133,9 @@ def display_title(c: Column | str, acronyms: Sequence[str] = DISPLAY_ACRONYMS) -
 def trigrams(c: Column | str) -> Column:
     """Distinct 3-grams of the lower-cased alphanumeric words, padded '  word '."""
     words = F.filter(F.split(F.lower(_col(c)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    grams = F.transform(words, lambda w: F.transform(
-        F.sequence(F.lit(1), F.length(w) + 1),
-        lambda i: F.concat(F.lit("  "), w, F.lit(" ")).substr(i, F.lit(3))))
+    padded = F.transform(words, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+    grams = F.transform(padded, lambda w: F.transform(
+        F.sequence(F.lit(1), F.length(w) - 2), lambda i: w.substr(i, F.lit(3))))
     return F.array_distinct(F.flatten(grams))
 
 
@@ -140,4 +146,4 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def trigram_similarity(a: Column | str, b: Column | str) -> Column:
-    return jaccard(trigrams(a), trigrams(b))
+    return bind(trigrams(a), lambda x: bind(trigrams(b), lambda y: jaccard(x, y)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _col, trigrams
+from .text import _col, bind, trigrams
 
 STORED_DECIMALS = 6
 
@@ -30,8 +30,8 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 
 
 def l2_normalize(c: Column | str, floor: float = 1e-12) -> Column:
-    length = F.greatest(norm(c), F.lit(floor))
-    return F.transform(_col(c), lambda x: x.cast("double") / length)
+    return bind(_col(c), lambda v: bind(F.greatest(norm(v), F.lit(floor)), lambda length:
+                F.transform(v, lambda x: x.cast("double") / length)))
 
 
 def hashed_trigram_vector(c: Column | str, dim: int = 64) -> Column:
@@ -41,6 +41,7 @@ def hashed_trigram_vector(c: Column | str, dim: int = 64) -> Column:
     """
     buckets = F.transform(trigrams(c), lambda t: F.conv(
         F.substring(F.md5(t.cast("binary")), 1, 6), 16, 10).cast("int") % dim)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(
-        F.filter(buckets, lambda b: b == i)).cast("double"))
+    counts = bind(buckets, lambda bs: F.transform(
+        F.sequence(F.lit(0), F.lit(dim - 1)),
+        lambda i: F.size(F.filter(bs, lambda b: b == i)).cast("double")))
     return F.transform(l2_normalize(counts), lambda x: x.cast("float"))

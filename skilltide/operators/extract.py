@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.skills import MAX_LITERAL_ALIASES, parse_skills_json
-from ..functions.text import _U, _col
+from ..functions.text import _U, _col, bind
 from ..functions.vectors import hashed_trigram_vector
 from ..vocabulary import CANONICAL_SKILLS, TECH_CAPITALIZATION
 
@@ -27,14 +27,14 @@ def word_grams(c: Column | str, longest: int = 3) -> Column:
                         lambda w: F.regexp_replace(w, r"^[./-]+|[./-]+$", ""))
     words = F.filter(words, lambda w: w != "")
 
-    def runs(n: int) -> Column:
+    def runs(words: Column, n: int) -> Column:
         last = F.size(words) - n + 1
         starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(
             F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
 
-    return F.array_distinct(F.concat(*[words if n == 1 else runs(n)
-                                       for n in range(1, longest + 1)]))
+    return bind(words, lambda ws: F.array_distinct(F.concat(
+        *[ws if n == 1 else runs(ws, n) for n in range(1, longest + 1)])))
 
 
 def gazetteer_skills(c: Column | str, spellings: Sequence[str], longest: int = 3) -> Column:

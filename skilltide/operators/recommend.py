@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import CATALOG_NAMESPACE, uuid5
-from ..functions.text import _col, strip
+from ..functions.text import _col, bind, strip
 from .keys import upsert
 from .scale import top_k_per_group
 
@@ -106,18 +106,16 @@ def parse_skill_list(text: Column | str) -> Column:
 
 def _subsets(top: Column) -> Column:
     """All sorted distinct subsets of 1 to 3 of at most five skills (25 at most)."""
-    items = F.array_sort(F.array_distinct(top))
-
-    def after(chosen: Column) -> Column:
-        return F.filter(items, lambda s: s > F.element_at(chosen, -1))
-
-    def grow(sets: Column) -> Column:
+    def grow(items: Column, sets: Column) -> Column:
         return F.flatten(F.transform(sets, lambda chosen: F.transform(
-            after(chosen), lambda s: F.concat(chosen, F.array(s)))))
+            F.filter(items, lambda s: s > F.element_at(chosen, -1)),
+            lambda s: F.concat(chosen, F.array(s)))))
+
+    def all_sizes(items: Column) -> Column:
+        one = F.transform(items, lambda s: F.array(s))
+        return bind(grow(items, one), lambda two: F.concat(one, two, grow(items, two)))
 
-    one = F.transform(items, lambda s: F.array(s))
-    two = grow(one)
-    return F.concat(one, two, grow(two))
+    return bind(F.array_sort(F.array_distinct(top)), all_sizes)
 
 
 def subset_join(requests: DataFrame, catalog: DataFrame) -> DataFrame:

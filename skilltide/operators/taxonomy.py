@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.text import _col
-from ..functions.vectors import cosine
+from ..functions.text import _col, bind
+from ..functions.vectors import cosine, round_vector
 from .keys import insert_absent
 from .scale import cut_lineage
 from .similarity import trigram_pairs
@@ -34,11 +34,11 @@ def rule_classifier(key: Column | str, families: Sequence[str], specs: Sequence[
     """Default classifier as a Column: the longest known family inside the rewritten key and
     the known specializations that occur in it, as JSON text."""
     canonical = X.rewrite_head_noun(_col(key))
-    padded = F.concat(F.lit(" "), canonical, F.lit(" "))
 
     def present(names: Sequence[str]) -> Column:
         listed = F.array(*[F.lit(n) for n in names]) if names else F.array().cast(_TEXTS)
-        return F.filter(listed, lambda n: F.contains(padded, F.concat(F.lit(" "), n, F.lit(" "))))
+        return bind(F.concat(F.lit(" "), canonical, F.lit(" ")), lambda padded: F.filter(
+            listed, lambda n: F.contains(padded, F.concat(F.lit(" "), n, F.lit(" ")))))
 
     longest_first = sorted(families, key=lambda f: (-len(f), f))
     return F.to_json(F.struct(
@@ -91,7 +91,7 @@ def validate_replies(replies: DataFrame, families: DataFrame, vocabulary: DataFr
     stored. 'capped' has too many specializations or words: a stored abstention. New families
     and unknown specializations are proposed but kept on the decision.
     """
-    doc = F.try_parse_json(F.col("reply"))
+    doc = F.col("_doc")
 
     def kind(name: str) -> Column:
         return F.schema_of_variant(F.variant_get(doc, f"$.{name}", "variant"))
@@ -106,7 +106,7 @@ def validate_replies(replies: DataFrame, families: DataFrame, vocabulary: DataFr
              & kind("role_family").isin("STRING", "VOID")
              & kind("specializations").isin("ARRAY<STRING>", "ARRAY<VOID>")
              & ~F.exists(specs, lambda s: s.isNull()))
-    parsed = replies.select(
+    parsed = replies.withColumn("_doc", F.try_parse_json("reply")).select(
         "key", F.coalesce(shape & typed, F.lit(False)).alias("valid"),
         X.rewrite_head_noun(_clean(field("canonical_title", "string"))).alias("canonical"),
         _clean(field("role_family", "string")).alias("family"),
@@ -237,7 +237,7 @@ def merge_proposals(canonicals: DataFrame, vectors: DataFrame, counts: DataFrame
     scored = pairs.join(side("a"), "a").join(side("b"), "b")
     a_first = ((F.col("n_a") > F.col("n_b"))
                | ((F.col("n_a") == F.col("n_b")) & (F.length("a") <= F.length("b"))))
-    cos = F.coalesce(F.round(cosine("vector_a", "vector_b"), 9), F.lit(0.0))
+    cos = F.coalesce(F.round(cosine(round_vector("vector_a"), round_vector("vector_b")), 9), F.lit(0.0))
     return scored.select(
         F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("keep"),
         F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("merge_from"),

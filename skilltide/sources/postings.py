@@ -25,17 +25,19 @@ def with_arrival(df: DataFrame) -> DataFrame:
         "arrival", F.struct("source_file", F.monotonically_increasing_id().alias("place")))
 
 
-def read_postings(spark: SparkSession, path: str) -> DataFrame:
-    """Every *.json of a folder, one posting per file (or a list of them). A file that cannot be
-    read is a row with ``_corrupt_record`` set, not an error."""
+def read_postings(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
+    """Every *.json of a folder: one posting per file (or a list of them), or one per line with
+    ``multi_line=False``. What cannot be read is a row with ``_corrupt_record`` set, no error."""
     return with_arrival(_with_source(
-        spark.read.schema(READ_SCHEMA).options(**_OPTIONS).json(path)))
+        spark.read.schema(READ_SCHEMA).options(**_OPTIONS).option("multiLine", multi_line)
+        .json(path)))
 
 
-def stream_postings(spark: SparkSession, path: str, *, files_per_batch: int = 10_000
-                    ) -> DataFrame:
+def stream_postings(spark: SparkSession, path: str, *, files_per_batch: int = 10_000,
+                    multi_line: bool = True) -> DataFrame:
     """The same folder as a stream of arriving files."""
     return _with_source(spark.readStream.schema(READ_SCHEMA).options(**_OPTIONS)
+                        .option("multiLine", multi_line)
                         .option("maxFilesPerTrigger", files_per_batch).json(path))
 
 

@@ -41,7 +41,8 @@ def start_ingest(spark: SparkSession, inbox: str, *, table: str, dead_letters: s
                  checkpoint: str, build: Callable[[DataFrame], DataFrame] = build_postings,
                  read_dimension: Callable[[SparkSession], DataFrame] | None = None,
                  attach: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
-                 files_per_batch: int = 10_000, once: bool = True) -> StreamingQuery:
+                 files_per_batch: int = 10_000, multi_line: bool = True,
+                 once: bool = True) -> StreamingQuery:
     """Run the ingest over everything in the inbox (``once``) or every minute.
 
     ``read_dimension`` is called for every batch and ``attach`` joins it to the new rows, so a
@@ -55,7 +56,8 @@ def start_ingest(spark: SparkSession, inbox: str, *, table: str, dead_letters: s
         ingest_batch(raw, batch, table=table, dead_letters=dead_letters, build=build,
                      enrich=enrich)
 
-    writer = (stream_postings(spark, inbox, files_per_batch=files_per_batch).writeStream
+    writer = (stream_postings(spark, inbox, files_per_batch=files_per_batch,
+                              multi_line=multi_line).writeStream
               .option("checkpointLocation", checkpoint).foreachBatch(run))
     timing = {"availableNow": True} if once else {"processingTime": "1 minute"}
     return writer.trigger(**timing).start()
