@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _col, collapse_spaces, strip
+from .text import _col, bind, normalize_query
 
 # The key shape of a posting URL and the namespace of catalog rows.
 POSTING_PATH_PATTERN = r"/jobs/view/[^/?#]+-(\d+)"
@@ -19,12 +19,15 @@ URL_NAMESPACE = str(uuid.NAMESPACE_URL)
 def uuid5(namespace: str, name: Column | str) -> Column:
     """RFC 4122 name-based UUID (SHA-1) as lower-case hyphenated text."""
     space = F.unhex(F.lit(namespace.replace("-", "")))
-    digest = F.sha1(F.concat(space, F.encode(_col(name), "UTF-8")))
-    variant = F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") % 4
-    return F.concat(
-        F.substring(digest, 1, 8), F.lit("-"), F.substring(digest, 9, 4), F.lit("-5"),
-        F.substring(digest, 14, 3), F.lit("-"), F.lit("89ab").substr(variant + 1, F.lit(1)),
-        F.substring(digest, 18, 3), F.lit("-"), F.substring(digest, 21, 12))
+
+    def hyphenated(digest: Column) -> Column:
+        variant = F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") % 4
+        return F.concat(
+            F.substring(digest, 1, 8), F.lit("-"), F.substring(digest, 9, 4), F.lit("-5"),
+            F.substring(digest, 14, 3), F.lit("-"), F.lit("89ab").substr(variant + 1, F.lit(1)),
+            F.substring(digest, 18, 3), F.lit("-"), F.substring(digest, 21, 12))
+
+    return bind(F.sha1(F.concat(space, F.encode(_col(name), "UTF-8"))), hyphenated)
 
 
 def posting_key(url: Column | str, *, pattern: str = POSTING_PATH_PATTERN,
@@ -44,7 +47,7 @@ def posting_id(url: Column | str, **key_options: str) -> Column:
 
 
 def _plain(c: Column | str) -> Column:
-    return F.coalesce(collapse_spaces(F.lower(strip(c))), F.lit(""))
+    return F.coalesce(normalize_query(c), F.lit(""))
 
 
 def content_key(company: Column | str, title: Column | str, description: Column | str) -> Column:

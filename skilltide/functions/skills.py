@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..vocabulary import CANONICAL_SKILLS, TECH_CAPITALIZATION
-from .text import _U, _col, bind, strip
+from .text import SPACE, _col, bind, strip
 
 # An alias table rides in the plan as a literal; larger ones belong in a joined DataFrame.
 MAX_LITERAL_ALIASES = 5_000
@@ -36,7 +36,7 @@ def normalize_skill(c: Column | str, canonical: Mapping[str, str] = CANONICAL_SK
     parts = bind(_unwrap_brackets(F.lower(strip(c))), lambda text: F.when(
         F.contains(text, F.lit("/")), F.transform(
             F.split(text, "/"), lambda p: _unwrap_brackets(strip(p)))).otherwise(F.array(text)))
-    bare = F.transform(parts, lambda p: F.regexp_replace(p, _U + r"[^\p{L}\p{N}_\s+#]", ""))
+    bare = F.transform(parts, lambda p: F.regexp_replace(p, rf"[^\p{{L}}\p{{N}}_{SPACE}+#]", ""))
     named = F.transform(bare, lambda p: lookup(p, canonical))
     return F.transform(named, lambda p: lookup(p, capitalization))
 

@@ -30,6 +30,9 @@ DISPLAY_ACRONYMS = ("ml", "qa", "ai", "ios", "llm", "nlp", "sre")
 _U = "(?U)"
 _IU = "(?iU)"
 
+# Every white space character of Unicode, listed: much faster than \s under the flag.
+SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -43,16 +46,16 @@ def bind(c: Column, use: Callable[[Column], Column]) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Trim every kind of white space, not just the blank."""
-    return F.regexp_replace(_col(c), _U + r"^\s+|\s+$", "")
+    return F.regexp_replace(_col(c), f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
 def collapse_spaces(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), _U + r"\s+", " ")
+    return F.regexp_replace(_col(c), f"[{SPACE}]+", " ")
 
 
 def normalize_query(c: Column | str) -> Column:
     """Lower-case words joined by one blank."""
-    return strip(collapse_spaces(F.lower(_col(c))))
+    return F.trim(collapse_spaces(F.lower(_col(c))))
 
 
 def slug(c: Column | str, fallback: str = "untitled") -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.skills import MAX_LITERAL_ALIASES, parse_skills_json
-from ..functions.text import _U, _col, bind
+from ..functions.text import _col, bind
 from ..functions.vectors import hashed_trigram_vector
 from ..vocabulary import CANONICAL_SKILLS, TECH_CAPITALIZATION
 
@@ -22,19 +22,24 @@ def known_spellings() -> list[str]:
 
 
 def word_grams(c: Column | str, longest: int = 3) -> Column:
-    """Distinct runs of 1..longest words of a whole text; words keep '+', '#', '.', '/', '-'."""
-    words = F.transform(F.split(F.lower(_col(c)), _U + r"[^\p{L}\p{N}_+#./-]+"),
-                        lambda w: F.regexp_replace(w, r"^[./-]+|[./-]+$", ""))
+    """Runs of 1..longest words of a whole text; words keep '+', '#' and inner '.', '/', '-'.
+
+    Each run is the shorter run before it and one more word, so the work is linear in the text.
+    """
+    words = F.transform(F.split(F.lower(_col(c)), r"[^\p{L}\p{N}_+#./-]+"),
+                        lambda w: F.trim(w, F.lit("./-")))
     words = F.filter(words, lambda w: w != "")
 
-    def runs(words: Column, n: int) -> Column:
-        last = F.size(words) - n + 1
-        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(
-            F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+    def longer(words: Column, shorter: Column, n: int) -> Column:
+        following = F.slice(words, F.lit(n), F.size(words))
+        return F.zip_with(shorter, following, lambda a, b: F.concat(a, F.lit(" "), b))
+
+    def grow(words: Column, runs: list[Column], n: int) -> Column:
+        if n > longest:
+            return F.filter(F.concat(*runs), lambda g: g.isNotNull())
+        return bind(longer(words, runs[-1], n), lambda r: grow(words, [*runs, r], n + 1))
 
-    return bind(words, lambda ws: F.array_distinct(F.concat(
-        *[ws if n == 1 else runs(ws, n) for n in range(1, longest + 1)])))
+    return bind(words, lambda ws: grow(ws, [ws], 2))
 
 
 def gazetteer_skills(c: Column | str, spellings: Sequence[str], longest: int = 3) -> Column:
@@ -44,13 +49,15 @@ def gazetteer_skills(c: Column | str, spellings: Sequence[str], longest: int = 3
     """
     if len(spellings) > MAX_LITERAL_ALIASES:
         raise ValueError("use gazetteer_join for a large vocabulary")
-    return F.array_sort(F.filter(word_grams(c, longest), lambda g: g.isin(list(spellings))))
+    known = list(spellings)
+    return F.array_sort(F.array_distinct(F.filter(word_grams(c, longest),
+                                                  lambda g: g.isin(known))))
 
 
 def gazetteer_join(texts: DataFrame, spellings: DataFrame, *, id_col: str, text_col: str,
                    longest: int = 3) -> DataFrame:
     """(id, skill) for a vocabulary of any size: (spelling, skill) joined to the word runs."""
-    grams = texts.select(id_col, F.explode(word_grams(text_col, longest)).alias("spelling"))
+    grams = texts.select(id_col, F.explode_outer(word_grams(text_col, longest)).alias("spelling"))
     return grams.join(spellings, "spelling").select(id_col, "skill").distinct()
 
 

@@ -36,19 +36,26 @@ def insert_flags(batch: DataFrame, existing: DataFrame | None = None, *,
         left = left.join(ids, "p", "left_anti").join(hashes, "h", "left_anti")
         left = cut_lineage(left.select("a", "p", "h"))
     entered = None
-    while True:
+    while not left.isEmpty():
         by_id = left.groupBy("p").agg(F.min_by(F.struct("a", "h"), "a").alias("r")).select(
             "p", "r.a", "r.h")
         by_hash = left.filter(F.col("h").isNotNull()).groupBy("h").agg(
             F.min("a").alias("a")).select("a", F.lit(True).alias("first_hash"))
-        won = cut_lineage(by_id.join(by_hash, "a", "left").filter(
-            F.col("h").isNull() | F.col("first_hash")).select("a", "p", "h"))
-        entered = won if entered is None else entered.unionByName(won)
-        left = cut_lineage(left.join(won.select("p"), "p", "left_anti").join(
-            won.select("h").filter(F.col("h").isNotNull()), "h", "left_anti").select(
-            "a", "p", "h"))
-        if left.isEmpty():
-            break
+        won = by_id.join(by_hash, "a", "left").filter(
+            F.col("h").isNull() | F.col("first_hash")).select("a", "p", "h")
+        # Winners, and rows that share no key with one, in a single written step.
+        step = cut_lineage(
+            left.join(won.select("p", F.col("a").alias("winner")), "p", "left")
+            .join(won.filter(F.col("h").isNotNull()).select("h", F.lit(True).alias("used")),
+                  "h", "left")
+            .withColumn("won", F.coalesce(F.col("winner") == F.col("a"), F.lit(False)))
+            .filter(F.col("won") | (F.col("winner").isNull() & F.col("used").isNull()))
+            .select("a", "p", "h", "won"))
+        winners = step.filter("won").select("a")
+        entered = winners if entered is None else entered.unionByName(winners)
+        left = step.filter(~F.col("won")).drop("won")
+    if entered is None:
+        return batch.withColumn("inserted", F.lit(False))
     marks = entered.select(F.col("a").alias(arrival), F.lit(True).alias("_in"))
     return (batch.join(marks, arrival, "left")
             .withColumn("inserted", F.coalesce("_in", F.lit(False))).drop("_in"))

@@ -26,7 +26,7 @@ def build_baskets(postings: DataFrame, *, id_col: str = "posting_id", items_col:
 def item_support(baskets: DataFrame) -> DataFrame:
     """(item, cnt); the row with a NULL item counts the baskets."""
     marked = F.concat("items", F.array(F.lit(None).cast("string")))
-    return (baskets.select(F.explode(marked).alias("item")).groupBy("item")
+    return (baskets.select(F.explode_outer(marked).alias("item")).groupBy("item")
             .agg(F.count("*").alias("cnt")))
 
 

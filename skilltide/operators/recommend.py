@@ -129,7 +129,7 @@ def subset_join(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     top = F.slice("skills", 1, TOP_SKILLS_USED)
     asked = requests.select("query_id", top.alias("top_skills")).filter(
         F.size("top_skills") >= 3)
-    keys = asked.select("query_id", "top_skills", F.explode(_subsets(F.col("top_skills")))
+    keys = asked.select("query_id", "top_skills", F.explode_outer(_subsets(F.col("top_skills")))
                         .alias("skill_set"))
     keyed = catalog.withColumn("skill_set", F.array_sort(F.array_distinct("skills"))).filter(
         F.size("skill_set").between(1, 3))

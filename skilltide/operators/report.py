@@ -31,7 +31,7 @@ def match_facts(matched: DataFrame, title: Column | str = "job_title") -> DataFr
 
     facts = F.concat(F.transform("skills", lambda s: fact("skill", s)),
                      F.array(fact("title", title), fact("all", F.lit(None).cast("string"))))
-    return (matched.select("query_id", F.explode(facts).alias("f"))
+    return (matched.select("query_id", F.explode_outer(facts).alias("f"))
             .groupBy("query_id", "f.kind", "f.value").agg(F.count("*").alias("cnt")))
 
 

@@ -39,6 +39,14 @@ def fits(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def spread_small_scan(df: DataFrame) -> DataFrame:
+    """Deal out a scan of at most one piece per core before heavy row-wise work: a small file is
+    one row group and would keep one core busy. A large scan has more pieces and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    pieces = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if pieces <= cores else df
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """Broadcast a materialized frame of few narrow rows; leave a larger one to a shuffle join."""
     return F.broadcast(df) if fits(df, max_rows) else df

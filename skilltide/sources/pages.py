@@ -151,7 +151,9 @@ def page_links(pages: DataFrame, *, html: str = "html", keep: tuple[str, ...] =
                             dtype=object)
 
     found = pages.select(*keep, links(html).alias("_links"))
-    return found.select(*keep, F.posexplode("_links").alias("place", "link"))
+    # Outer, then filtered: a plain posexplode would have the pages parsed twice.
+    return found.select(*keep, F.posexplode_outer("_links").alias("place", "link")).filter(
+        F.col("link").isNotNull())
 
 
 def fetch_outcome(status: Column | str) -> Column:
