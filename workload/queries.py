@@ -244,18 +244,18 @@ SELECT query_id, posting_id, s AS trgm_sim FROM (
     WHERE (seniority_filter IS NULL OR seniority = seniority_filter OR seniority = 'unknown')
       AND (year_floor IS NULL OR posting_year >= year_floor)) WHERE rn <= 100""", ("asked",))
 def trigram_topk(spark, sf):
-    return retrieval.lexical_pool(V.postings(spark, sf, skills=False), V.asked(spark, sf), k=100)
+    return retrieval.lexical_pool(V.stored_postings(spark, sf, skills=False), V.asked(spark, sf), k=100)
 
 
 @query("""
 SELECT query_id, posting_id, vec_sim, trgm_sim, combined FROM hybrid""", ("hybrid",))
 def hybrid_match(spark, sf):
-    return retrieval.hybrid_scores(V.postings(spark, sf, skills=False), V.asked(spark, sf),
-                                   dim=V.VECTOR_DIM)
+    rows = V.stored_postings(spark, sf, skills=False)
+    return retrieval.hybrid_scores(rows, V.asked(spark, sf), dim=V.VECTOR_DIM)
 
 
 def _hybrid_rows(spark, sf):
-    return retrieval.hybrid_match(V.postings(spark, sf), V.asked(spark, sf), dim=V.VECTOR_DIM)
+    return retrieval.hybrid_match(V.stored_postings(spark, sf), V.asked(spark, sf), dim=V.VECTOR_DIM)
 
 
 _SQL_TOP = """
@@ -301,7 +301,7 @@ structured AS (
 SELECT query_id, posting_id, job_title, canonical_title, array_to_string(skills, '|') AS skills
 FROM structured""", ("asked",))
 def structured_match(spark, sf):
-    rows = retrieval.structured_match(V.postings(spark, sf), V.asked(spark, sf),
+    rows = retrieval.structured_match(V.stored_postings(spark, sf), V.asked(spark, sf),
                                       dim=V.VECTOR_DIM)
     return rows.withColumn("skills", joined("skills"))
 
@@ -314,7 +314,7 @@ SELECT query_id, rn AS rank, title, cnt FROM (
     FROM structured GROUP BY query_id, coalesce(canonical_title, job_title)) WHERE rn <= 8""",
        ("asked",))
 def related_canonicals(spark, sf):
-    rows = retrieval.structured_match(V.postings(spark, sf, skills=False), V.asked(spark, sf),
+    rows = retrieval.structured_match(V.stored_postings(spark, sf, skills=False), V.asked(spark, sf),
                                       dim=V.VECTOR_DIM)
     return _ranked(report.related_canonicals(rows)).select("query_id", "rank", "title", "cnt")
 
@@ -378,7 +378,7 @@ LEFT JOIN (SELECT query_id, string_agg(job_title, '|' ORDER BY rn) AS titles
        ("hybrid_rows",))
 def item_report(spark, sf):
     asked = V.asked(spark, sf)
-    matched = retrieval.hybrid_match(V.postings(spark, sf), asked, dim=V.VECTOR_DIM)
+    matched = retrieval.hybrid_match(V.stored_postings(spark, sf), asked, dim=V.VECTOR_DIM)
     rows = report.skill_report(matched, asked.select("query_id"))
     names = F.transform("skills", lambda s: F.concat_ws(":", s["name"], s["count"]))
     return rows.select("query_id", "job_count", "skills_count",

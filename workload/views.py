@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skilltide.operators.scale import spread_small_scan
+from skilltide.operators.scale import cut_lineage, spread_small_scan
 
 VECTOR_DIM = 64
 
@@ -277,7 +277,7 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
                   .alias("f")).select("query_id", "f.*"))
     typo = F.concat("p_name", F.right("p_name", F.lit(1)))
     year = F.when(F.col("p_size") % 10 != 0, F.col("p_size") % 10 + 2015)
-    return first.select(
+    return cut_lineage(first.select(
         "query_id",
         F.when(F.col("p_partkey") % 2 == 0, typo).otherwise(F.col("p_name")).alias("query_text"),
         F.col("v").alias("query_vector"),
@@ -285,7 +285,12 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("seniority_filter"),
         F.when(F.col("p_partkey") % 3 == 0, year).alias("year_floor"),
         last_word("p_name").alias("role_family"),
-        F.array(first_word("p_name")).alias("specializations"))
+        F.array(first_word("p_name")).alias("specializations")))
+
+
+def stored_postings(spark: SparkSession, sf_dir: str, *, skills: bool = True) -> DataFrame:
+    """The postings written out as the table they would be: searches read it several times."""
+    return cut_lineage(postings(spark, sf_dir, skills=skills))
 
 
 def title_map(spark: SparkSession, sf_dir: str) -> DataFrame:
