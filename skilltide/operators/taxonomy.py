@@ -420,22 +420,3 @@ def unmapped_titles(postings: DataFrame, k: int = 20) -> DataFrame:
                  F.sum((state == "unprocessed").cast("long")).alias("unprocessed"),
                  F.sum((state == "abstained").cast("long")).alias("abstained"))
             .orderBy(F.desc("n"), "job_title").limit(k))
-
-
-def backfill_tally(before: DataFrame, after: DataFrame, decisions: DataFrame,
-                   cached: DataFrame) -> DataFrame:
-    """(counter, n) of a title backfill: titles, classifier calls, cache hits, abstentions,
-    errors and rows updated. decisions: (key, role_family, status); cached: (key)."""
-    classified = decisions.groupBy("status").agg(F.count("*").alias("n")).select(
-        F.concat(F.lit("classified_"), "status").alias("counter"), "n")
-    abstained = decisions.filter(F.col("role_family").isNull()).agg(F.count("*").alias("n"))
-    hits = cached.agg(F.count("*").alias("n"))
-
-    def mapped(df: DataFrame, name: str) -> DataFrame:
-        return df.agg(F.count("canonical_title").alias("n")).select(
-            F.lit(name).alias("counter"), "n")
-
-    return (classified.unionByName(abstained.select(F.lit("abstentions").alias("counter"), "n"))
-            .unionByName(hits.select(F.lit("cache_hits").alias("counter"), "n"))
-            .unionByName(mapped(before, "rows_mapped_before"))
-            .unionByName(mapped(after, "rows_mapped_after")))

@@ -15,11 +15,15 @@ from ..schemas import require_columns
 
 
 class TitleBackfill(NamedTuple):
+    """The updated tables, the classifier's decisions and what each title (with its number of
+    postings, ``n``) was mapped to."""
+
     postings: DataFrame
     title_map: DataFrame
     families: DataFrame
     vocabulary: DataFrame
     decisions: DataFrame
+    titles: DataFrame
 
 
 # A registry rides in a classifier's request, so it must stay a short list.
@@ -62,13 +66,33 @@ def backfill_titles(postings: DataFrame, title_map: DataFrame, families: DataFra
                              "role_family", "specializations")
     fresh = decisions.drop("status")
     decided = titles.join(known.unionByName(fresh), "key", "left").select(
-        "job_title", F.coalesce("canonical_title", "key").alias("canonical_title"),
+        "job_title", "n", "key", F.coalesce("canonical_title", "key").alias("canonical_title"),
         "role_family", F.coalesce("specializations", F.array().cast("array<string>"))
         .alias("specializations"))
+    decided = cut_lineage(decided)
     return TitleBackfill(
         tax.stamp_decisions(postings, decided), new_map,
         tax.register_families(families, found.new_families),
-        tax.register_specs(vocabulary, found.new_specs), decisions)
+        tax.register_specs(vocabulary, found.new_specs), decisions, decided)
+
+
+def title_tally(run: TitleBackfill) -> DataFrame:
+    """(counter, n): titles processed, rows updated, abstentions, classifier calls, cache hits
+    (titles whose key was known or came up again) and errors."""
+    titles = run.titles.agg(
+        F.count("*").alias("titles_processed"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows_updated"),
+        F.count_if(F.col("role_family").isNull()).alias("abstentions"),
+        F.count_if(F.col("key") != "").alias("keyed"))
+    calls = run.decisions.agg(F.count("*").alias("classifier_calls"),
+                              F.count_if(F.col("status") == "invalid").alias("errors"))
+    # Two rows of totals side by side, as scalars.
+    both = titles.select("*", calls.select("classifier_calls").scalar().alias("classifier_calls"),
+                         calls.select("errors").scalar().alias("errors"))
+    counters = ["titles_processed", "rows_updated", "abstentions", "classifier_calls",
+                "cache_hits", "errors"]
+    return both.withColumn("cache_hits", F.col("keyed") - F.col("classifier_calls")).select(
+        *counters).unpivot([], counters, "counter", "n")
 
 
 class Reconciled(NamedTuple):

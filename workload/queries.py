@@ -19,7 +19,7 @@ from skilltide.operators import taxonomy as tax
 from skilltide.operators.scale import cut_lineage, ensure_checkpoint_dir, top_k_per_group
 from skilltide.operators.vector_search import vector_search
 from skilltide.plans.ingest import build_postings
-from skilltide.plans.taxonomy import backfill_titles
+from skilltide.plans.taxonomy import backfill_titles, title_tally
 from skilltide.sources import pages, tables
 from skilltide.streaming.ingest import start_ingest
 
@@ -419,7 +419,8 @@ def newest_postings(spark, sf):
 # Mining and recommendations --------------------------------------------------------------------
 
 def _triples(spark, sf, top_n=None):
-    return mining.mine_triples(V.brand_baskets(spark, sf), min_support=8, top_n=top_n)
+    baskets = cut_lineage(V.brand_baskets(spark, sf))
+    return mining.mine_triples(baskets, min_support=8, top_n=top_n)
 
 
 @query("""
@@ -951,6 +952,34 @@ def vocabulary_proposals(spark, sf):
                                          F.lit("spec").alias("kind"), F.col("spec").alias("name")))
 
 
+def _title_backfill(spark, sf):
+    rows = V.stored_postings(spark, sf, skills=False)
+    known = V.title_map(spark, sf).filter("role_family IS NULL")
+    part = table(spark, sf, "part")
+    now = F.current_timestamp().alias("created_at")
+    families = part.select(V.last_word("p_name").alias("family")).distinct().filter(
+        "family NOT IN ('ring', 'anvil')").select(
+        "family", F.lit(None).cast("string").alias("parent_family"),
+        F.lit(0).cast("long").alias("posting_count"), now)
+    vocabulary = part.select(V.first_word("p_name").alias("spec")).distinct().select(
+        "spec", F.when(F.col("spec").isin("red", "blue"), "active").otherwise("pending")
+        .alias("status"), now)
+    return backfill_titles(rows, known, families, vocabulary, ascii_only=True)
+
+
+@query("""
+, t AS (SELECT job_title, string_split(job_title, ' ')[2] AS w, count(*) AS n FROM postings
+        WHERE canonical_title IS NULL GROUP BY job_title)
+SELECT 'titles_processed' AS counter, count(*) AS n FROM t
+UNION ALL SELECT 'rows_updated', sum(n)::BIGINT FROM t
+UNION ALL SELECT 'abstentions', count(*) FROM t WHERE w IN ('anvil', 'ring')
+UNION ALL SELECT 'classifier_calls', count(*) FROM t WHERE w <> 'anvil'
+UNION ALL SELECT 'cache_hits', count(*) FROM t WHERE w = 'anvil'
+UNION ALL SELECT 'errors', 0""", ("postings",))
+def title_backfill_tally(spark, sf):
+    return title_tally(_title_backfill(spark, sf))
+
+
 @query("""
 SELECT posting_id, coalesce(canonical_title, job_title) AS canonical_title,
        CASE WHEN canonical_title IS NOT NULL THEN role_family
@@ -964,25 +993,66 @@ FROM postings""", ("postings",))
 def title_backfill(spark, sf):
     """Anvils are known abstentions; the other unmapped titles go through the rule classifier
     with families besides 'ring' and two active specializations."""
-    rows = V.postings(spark, sf, skills=False)
-    known = V.title_map(spark, sf).filter("role_family IS NULL")
-    part = table(spark, sf, "part")
-    now = F.current_timestamp().alias("created_at")
-    families = part.select(V.last_word("p_name").alias("family")).distinct().filter(
-        "family NOT IN ('ring', 'anvil')").select(
-        "family", F.lit(None).cast("string").alias("parent_family"),
-        F.lit(0).cast("long").alias("posting_count"), now)
-    vocabulary = part.select(V.first_word("p_name").alias("spec")).distinct().select(
-        "spec", F.when(F.col("spec").isin("red", "blue"), "active").otherwise("pending")
-        .alias("status"), now)
-    done = backfill_titles(rows, known, families, vocabulary, ascii_only=True)
+    done = _title_backfill(spark, sf)
     return done.postings.select("posting_id", "canonical_title", "role_family",
                                 joined("specializations").alias("specializations"))
 
 
 # Backfill, pages, extraction, ingest -----------------------------------------------------------
 
-@query()
+_SQL_BACKFILL = f"""
+WITH RECURSIVE docs AS MATERIALIZED (
+    SELECT doc_id, source || '/' || lang AS g, md5({_SQL_CONTENT}) AS h,
+           {V.sql_uuid5(ids.URL_NAMESPACE, "'linkedin:' || doc_id")} AS named,
+           {V.sql_uuid5(ids.URL_NAMESPACE, "doc_id::VARCHAR")} AS other FROM documents),
+st AS MATERIALIZED (
+    SELECT p, g, CASE WHEN p = min(p) OVER (PARTITION BY h) THEN h END AS h FROM (
+        SELECT CASE WHEN doc_id % 2 = 0 THEN named ELSE other END AS p, g,
+               CASE WHEN doc_id % 3 = 0 THEN h END AS h FROM docs WHERE doc_id % 5 <> 0)),
+files AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY doc_id) AS i, d.g, d.h, st.p FROM docs d
+    LEFT JOIN st ON st.p = d.named AND st.h IS NULL AND doc_id % 4 <> 1),
+run AS (
+    SELECT 0::BIGINT AS i, []::VARCHAR[] AS ps,
+           (SELECT list(h) FROM st WHERE h IS NOT NULL) AS hs, '' AS outcome
+    UNION ALL
+    SELECT i, CASE WHEN outcome = 'matched_strong' THEN ps || [p] ELSE ps END,
+           CASE WHEN outcome = 'matched_strong' THEN hs || [h] ELSE hs END, outcome
+    FROM (SELECT f.i, f.p, f.h, ps, hs,
+                 CASE WHEN f.p IS NULL OR list_contains(ps, f.p) THEN 'weak'
+                      WHEN list_contains(hs, f.h) THEN 'collided' ELSE 'matched_strong' END
+                     AS outcome
+          FROM run JOIN files f ON f.i = run.i + 1)),
+strong AS MATERIALIZED (SELECT run.i, f.p, f.h, f.g, outcome FROM run JOIN files f ON f.i = run.i),
+room AS MATERIALIZED (
+    SELECT g, count(*) AS room FROM st WHERE h IS NULL AND p NOT IN (
+        SELECT p FROM strong WHERE outcome = 'matched_strong') GROUP BY g),
+weak AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY i) AS i, s.g, h, coalesce(room, 0) AS room
+    FROM strong s LEFT JOIN room ON room.g = s.g WHERE outcome = 'weak'),
+run2 AS (
+    SELECT 0::BIGINT AS i, []::VARCHAR[] AS gs,
+           (SELECT list(h) FROM (SELECT h FROM st WHERE h IS NOT NULL UNION ALL
+                SELECT h FROM strong WHERE outcome = 'matched_strong')) AS hs, '' AS outcome
+    UNION ALL
+    SELECT i, CASE WHEN outcome = 'matched_weak' THEN gs || [g] ELSE gs END,
+           CASE WHEN outcome = 'matched_weak' THEN hs || [h] ELSE hs END, outcome
+    FROM (SELECT w.i, w.g, w.h, gs, hs,
+                 CASE WHEN len(list_filter(gs, lambda x: x = w.g)) >= w.room THEN 'unmatched'
+                      WHEN list_contains(hs, w.h) THEN 'collided' ELSE 'matched_weak' END
+                     AS outcome
+          FROM run2 JOIN weak w ON w.i = run2.i + 1)),
+ends AS MATERIALIZED (SELECT outcome FROM strong WHERE outcome <> 'weak'
+                      UNION ALL SELECT outcome FROM run2 WHERE i > 0),
+filled AS (SELECT (SELECT count(h) FROM st) + (SELECT count(*) FROM ends
+                  WHERE outcome LIKE 'matched%') AS n)
+SELECT outcome AS counter, count(*) AS n FROM ends GROUP BY outcome
+UNION ALL SELECT 'rows', count(*) FROM st
+UNION ALL SELECT 'rows_with_hash', n FROM filled
+UNION ALL SELECT 'rows_still_null', (SELECT count(*) FROM st) - n FROM filled"""
+
+
+@query(_SQL_BACKFILL)
 def backfill_hash(spark, sf):
     """Documents as stored rows (every third already hashed) and again as raw files."""
     docs = table(spark, sf, "documents")
