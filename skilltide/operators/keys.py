@@ -26,7 +26,7 @@ def insert_flags(batch: DataFrame, existing: DataFrame | None = None, *,
     """
     left = batch.select(F.col(arrival).alias("a"), F.col(id_col).alias("p"),
                         F.col(hash_col).alias("h"))
-    left = cut_lineage(left)
+    given = left = cut_lineage(left)
     if existing is not None:
         # First look up which keys of the batch are stored: a small batch is broadcast to a
         # narrow scan, where an anti join would shuffle every stored key.
@@ -56,9 +56,14 @@ def insert_flags(batch: DataFrame, existing: DataFrame | None = None, *,
         left = step.filter(~F.col("won")).drop("won")
     if entered is None:
         return batch.withColumn("inserted", F.lit(False))
-    marks = entered.select(F.col("a").alias(arrival), F.lit(True).alias("_in"))
+    # Mark the rows by whichever side is smaller. Mostly few rows are refused, and their keys
+    # are broadcast, so that the wide rows of the batch are not shuffled.
+    most = 2 * entered.count() > given.count()
+    marked = given.select("a").join(entered, "a", "left_anti") if most else entered
+    marks = cut_lineage(marked.select(F.col("a").alias(arrival), F.lit(True).alias("_marked")))
+    hit = F.coalesce("_marked", F.lit(False))
     return (batch.join(marks, arrival, "left")
-            .withColumn("inserted", F.coalesce("_in", F.lit(False))).drop("_in"))
+            .withColumn("inserted", ~hit if most else hit).drop("_marked"))
 
 
 def insert_rows(batch: DataFrame, existing: DataFrame | None = None, **names: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..schemas import with_taxonomy_defaults
-from .scale import top_k_per_group
+from .scale import cut_lineage, top_k_per_group
 from .similarity import SIMILARITY_GATE, trigram_pairs
 from .vector_search import SCORE_DECIMALS, vector_search
 
@@ -76,14 +76,23 @@ def semantic_pool(postings: DataFrame, queries: DataFrame, *, dim: int, k: int,
 
 def lexical_pool(postings: DataFrame, queries: DataFrame, *, k: int,
                  gate: float = SIMILARITY_GATE) -> DataFrame:
-    """Best k titles by trigram similarity. Texts are compared once per distinct title."""
-    pairs = trigram_pairs(queries, postings, "query_text", "job_title", threshold=gate)
+    """Best k titles by trigram similarity. Texts are compared once per distinct title.
+
+    Postings of one title, seniority and year are alike to every query but for their id, so only
+    the first k of them can be in a pool. They are cut to those before the queries multiply
+    them, which keeps a title that a third of all postings have from flooding the join.
+    """
+    pairs = cut_lineage(trigram_pairs(queries, postings, "query_text", "job_title",
+                                      threshold=gate))
     asked = queries.select("query_id", "query_text", "seniority_filter", "year_floor")
     scored = asked.join(pairs, F.col("query_text") == F.col("left_text")).select(
         "query_id", "seniority_filter", "year_floor",
         F.col("right_text").alias("job_title"), F.col("similarity").alias("trgm_sim"))
-    rows = postings.select("posting_id", "job_title", "seniority", "posting_year")
-    hits = rows.join(scored, "job_title").filter(_facets()).select(
+    rows = postings.select("posting_id", "job_title", "seniority", "posting_year").join(
+        pairs.select(F.col("right_text").alias("job_title")).distinct(), "job_title", "left_semi")
+    alike = ["job_title", "seniority", "posting_year"]
+    first = top_k_per_group(rows, alike, [F.asc("posting_id")], k, spread_on=["posting_id"])
+    hits = first.join(scored, "job_title").filter(_facets()).select(
         "query_id", "posting_id", "trgm_sim")
     return top_k_per_group(hits, ["query_id"], [F.desc("trgm_sim"), F.asc("posting_id")], k,
                            spread_on=["posting_id"])

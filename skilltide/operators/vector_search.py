@@ -22,8 +22,13 @@ from pyspark.sql import types as T
 from ..functions.vectors import round_vector
 from .scale import top_k_per_group
 
-# A query block is at most this many vector cells (32 MB of doubles) on driver and executors.
+# A query block is at most this many vector cells (32 MB of doubles) on driver and executors,
+# and so many queries that a task holds no more than this many best rows at a time.
 MAX_BLOCK_CELLS = 4_000_000
+MAX_TASK_ROWS = 2_000_000
+# Scores are computed in tiles of this many corpus rows by this many queries (32 MB).
+TILE_ROWS = 4096
+TILE_QUERIES = 1024
 # Equal vectors must tie whatever batch they are in, so scores are ranked at nine decimals.
 SCORE_DECIMALS = 9
 
@@ -36,8 +41,8 @@ class _Block:
     year: np.ndarray
 
 
-def _blocks(queries: DataFrame, dim: int, faceted: bool) -> Iterator[_Block]:
-    limit = max(1, MAX_BLOCK_CELLS // dim)
+def _blocks(queries: DataFrame, dim: int, faceted: bool, k: int | None) -> Iterator[_Block]:
+    limit = max(1, min(MAX_BLOCK_CELLS // dim, MAX_TASK_ROWS // (k or 1)))
     columns = ["query_id", "query_vector"]
     columns += ["seniority_filter", "year_floor"] if faceted else []
     queries = queries.select(*columns).filter(F.size("query_vector") == dim)
@@ -62,11 +67,11 @@ def _blocks(queries: DataFrame, dim: int, faceted: bool) -> Iterator[_Block]:
                       for r in rows], dtype=np.float64))
 
 
-def _allowed(batch: pa.RecordBatch, block: _Block) -> np.ndarray:
+def _allowed(batch: pa.RecordBatch, block: _Block, part: slice) -> np.ndarray:
     level = np.array(batch.column(2).to_pylist(), dtype=object)[:, None]
     year = batch.column(3).to_numpy(zero_copy_only=False).astype(np.float64)[:, None]
-    wanted, floor = block.seniority[None, :], block.year[None, :]
-    no_level = np.array([s is None for s in block.seniority])[None, :]
+    wanted, floor = block.seniority[None, part], block.year[None, part]
+    no_level = np.array([s is None for s in block.seniority[part]])[None, :]
     return (no_level | (level == wanted) | (level == "unknown")) & (
         np.isnan(floor) | (year >= floor))
 
@@ -96,27 +101,30 @@ def _scan_block(corpus: DataFrame, block: _Block, dim: int, k: int | None,
                 pa.array(frame["score"].to_numpy(), type=pa.float64())],
                 names=["query_id", "posting_id", "score"])
 
-        for batch in batches:
+        tiles = ((batch.slice(at, TILE_ROWS), slice(q, q + TILE_QUERIES))
+                 for batch in batches for at in range(0, batch.num_rows, TILE_ROWS)
+                 for q in range(0, len(block.ids), TILE_QUERIES))
+        for batch, part in tiles:
             id_type = batch.schema.field(0).type
-            if batch.num_rows == 0:
-                continue
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
             rows = np.round(flat.astype(np.float64).reshape(batch.num_rows, dim), 6)
             lengths = np.linalg.norm(rows, axis=1, keepdims=True)
             rows = np.divide(rows, lengths, out=np.zeros_like(rows), where=lengths > 0)
-            scores = np.round(rows @ block.vectors.T, SCORE_DECIMALS)
+            scores = np.round(rows @ block.vectors[part].T, SCORE_DECIMALS)
             # A vector without length has no direction and so no score.
             scores[lengths[:, 0] == 0] = -np.inf
             if faceted:
-                scores[~_allowed(batch, block)] = -np.inf
+                scores[~_allowed(batch, block, part)] = -np.inf
             if floor is not None:
                 scores[scores < floor if inclusive else scores <= floor] = -np.inf
             if k is not None and len(scores) > k:
                 place = len(scores) - k
-                floors = np.maximum(floors, np.partition(scores, place, axis=0)[place])
-            row, query = np.nonzero((scores >= floors[None, :]) & (scores > -np.inf))
+                floors[part] = np.maximum(floors[part],
+                                          np.partition(scores, place, axis=0)[place])
+            row, query = np.nonzero((scores >= floors[None, part]) & (scores > -np.inf))
             ids = batch.column(0).take(pa.array(row)).to_pandas()
-            found = pd.DataFrame({"q": query, "id": ids.to_numpy(), "score": scores[row, query]})
+            found = pd.DataFrame({"q": query + part.start, "id": ids.to_numpy(),
+                                  "score": scores[row, query]})
             if k is None:
                 if len(found):
                     yield emit(found)
@@ -162,7 +170,7 @@ def vector_search(corpus: DataFrame, queries: DataFrame, *, dim: int, k: int | N
         T.StructField("posting_id", corpus.schema[id_col].dataType),
         T.StructField("score", T.DoubleType())])
     out = None
-    for block in _blocks(queries, dim, faceted):
+    for block in _blocks(queries, dim, faceted, k):
         part = _scan_block(rows, block, dim, k, floor, inclusive, faceted, schema)
         out = part if out is None else out.unionByName(part)
     if out is None:

@@ -97,6 +97,8 @@ def brute_vectors(rows, queries, k=None, floor=None):
                                            (None, 0.6, 24)])
 def test_vector_search_is_exact(spark, monkeypatch, k, floor, cells):
     monkeypatch.setattr(vector_module, "MAX_BLOCK_CELLS", cells)
+    monkeypatch.setattr(vector_module, "TILE_ROWS", 64)
+    monkeypatch.setattr(vector_module, "TILE_QUERIES", 3)
     rows, df = corpus(spark)
     rng = np.random.default_rng(9)
     queries = [(i, [float(x) for x in np.round(rng.normal(size=8), 6)],
