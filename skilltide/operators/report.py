@@ -81,13 +81,20 @@ def related_canonicals(matched: DataFrame, k: int = TOP_TITLES) -> DataFrame:
     return top_k_per_group(counts, ["query_id"], [F.desc("cnt"), F.asc("title")], k, rank="rank")
 
 
-def skill_report(matched: DataFrame, queries: DataFrame, *,
-                 title: Column | str = "job_title") -> DataFrame:
+def add_facts(*parts: DataFrame) -> DataFrame:
+    """Facts of disjoint matched sets, summed."""
+    columns = ["query_id", "kind", "value", "cnt"]
+    out = parts[0].select(*columns)
+    for part in parts[1:]:
+        out = out.unionByName(part.select(*columns))
+    return out.groupBy("query_id", "kind", "value").agg(F.sum("cnt").alias("cnt"))
+
+
+def skill_report(facts: DataFrame, queries: DataFrame) -> DataFrame:
     """One row per query: counts, top skills with share, related titles.
 
     The full skill list of a query is unbounded; take it from ``all_skills``.
     """
-    facts = match_facts(matched, title)
     skills = top_skills(facts).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(
         "rank", F.col("skill").alias("name"), F.col("cnt").alias("count"),
         F.col("pct").cast("float").alias("percentage")))).alias("skills"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
@@ -12,6 +12,7 @@ from ..functions import text as X
 from ..functions.skills import clean_skills
 from ..operators.extract import Embedder, Extractor, with_embedding, with_extracted
 from ..schemas import POSTING
+from ..sources.pages import FieldSelectors, page_fields
 from ..vocabulary import CANONICAL_SKILLS, TECH_CAPITALIZATION
 
 COLUMNS = [f.name for f in POSTING.fields]
@@ -49,6 +50,15 @@ def build_postings(raw: DataFrame, *, extractor: Extractor | None = None,
         error.alias("error"), *carried)
 
 
+def raw_from_pages(pages: DataFrame, day: Column, *,
+                   selectors: FieldSelectors = FieldSelectors()) -> DataFrame:
+    """Raw postings of fetched pages (url, html), scraped on ``day``; ``error`` marks pages to
+    drop for good."""
+    found = page_fields(pages, selectors=selectors)
+    return found.select("job_title", "company", "job_description", F.col("url").alias("job_url"),
+                        F.date_format(day, "yyyy-MM-dd").alias("posted_date"), "error")
+
+
 def split_failures(built: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows to insert, dead letters)."""
     return built.filter(F.col("error").isNull()).drop("error"), built.filter(

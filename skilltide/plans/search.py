@@ -7,35 +7,60 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.report import skill_report
+from ..operators.report import add_facts, match_facts, skill_report
 from ..operators.resolve import resolve_queries
-from ..operators.retrieval import HybridSettings, RecallSettings, match_by_mode
+from ..operators.retrieval import (HybridSettings, RecallSettings, hybrid_match,
+                                   structured_primary, structured_recall)
 from ..operators.scale import cut_lineage
 
 PLAN = ["role_family", "specializations", "seniority_filter", "year_floor"]
 
 
-def search(postings: DataFrame, queries: DataFrame, title_map: DataFrame, *,
-           embed: Callable[[Column], Column] | None = None, dim: int = 64,
-           mode: str = "auto", hybrid: HybridSettings = HybridSettings(),
-           recall: RecallSettings = RecallSettings()) -> DataFrame:
-    """Report of every query (query_id, text[, query_vector]).
-
-    mode 'auto' uses the title map where a query resolves, 'legacy' never does. Related titles
-    are canonical names on the structured side and raw titles on the other.
-    """
-    if mode not in ("auto", "structured", "legacy"):
+def plan_queries(queries: DataFrame, title_map: DataFrame, *,
+                 embed: Callable[[Column], Column] | None = None, mode: str = "auto"
+                 ) -> DataFrame:
+    """Resolved queries with their vector. mode 'auto' uses the title map where a query
+    resolves, 'legacy' never does."""
+    if mode not in ("auto", "legacy"):
         raise ValueError(f"unknown mode {mode!r}")
     plans = resolve_queries(queries, title_map)
     if embed is not None:
         plans = plans.withColumn("query_vector", embed(F.col("query_text")))
     if mode == "legacy":
         plans = plans.withColumn("mode", F.lit("fallback"))
-    plans = cut_lineage(plans)
-    matched = match_by_mode(postings, plans, dim=dim, hybrid=hybrid, recall=recall)
-    shown = matched.join(plans.select("query_id", "mode"), "query_id")
-    name = F.when(F.col("mode") == "structured",
-                  F.coalesce("canonical_title", "job_title")).otherwise(F.col("job_title"))
+    return plans
+
+
+def search_facts(postings: DataFrame, plans: DataFrame, *, dim: int,
+                 hybrid: HybridSettings = HybridSettings(),
+                 recall: RecallSettings = RecallSettings()) -> DataFrame:
+    """Facts of every query. Title names are canonical on the structured side, raw elsewhere.
+
+    Queries that resolve to the same plan match the same postings: these are counted once per
+    plan, however many queries share it, and the counts are handed to each of them. Only the
+    small recall pool depends on a query's own vector.
+    """
+    placed = plans.filter(F.col("mode") == "structured").withColumn(
+        "specializations", F.array_sort(F.array_distinct("specializations"))).withColumn(
+        "plan_id", F.to_json(F.struct(*PLAN)))
+    loose = plans.filter(F.col("mode") != "structured")
+    name = F.coalesce("canonical_title", "job_title")
+    shared = structured_primary(
+        postings, placed.select(F.col("plan_id").alias("query_id"), *PLAN).distinct())
+    per_plan = match_facts(shared, name).withColumnRenamed("query_id", "plan_id")
+    return add_facts(
+        per_plan.join(placed.select("plan_id", "query_id"), "plan_id"),
+        match_facts(structured_recall(postings, placed, dim=dim, settings=recall), name),
+        match_facts(hybrid_match(postings, loose, dim=dim, settings=hybrid)))
+
+
+def search(postings: DataFrame, queries: DataFrame, title_map: DataFrame, *,
+           embed: Callable[[Column], Column] | None = None, dim: int = 64, mode: str = "auto",
+           hybrid: HybridSettings = HybridSettings(),
+           recall: RecallSettings = RecallSettings()) -> DataFrame:
+    """Report of every query (query_id, text[, query_vector])."""
+    plans = cut_lineage(plan_queries(queries, title_map, embed=embed, mode=mode))
+    facts = cut_lineage(search_facts(postings, plans, dim=dim, hybrid=hybrid, recall=recall))
     asked = plans.select("query_id", "text", "canonical_title", "role_family", "specializations",
                          "seniority_filter", "mode")
-    return skill_report(shown, asked, title=name)
+    return skill_report(facts, asked)

@@ -95,6 +95,11 @@ def title_tally(run: TitleBackfill) -> DataFrame:
         *counters).unpivot([], counters, "counter", "n")
 
 
+def export_taxonomy(postings: DataFrame, path: str) -> None:
+    """Write the taxonomy tree as text; the part files are in order."""
+    tax.taxonomy_lines(tax.taxonomy_tree(postings)).write.mode("overwrite").text(path)
+
+
 class Reconciled(NamedTuple):
     title_map: DataFrame
     postings: DataFrame

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skilltide import schemas
 from skilltide.operators import extract, mining, report
 from skilltide.plans.catalog import build_catalog
-from skilltide.plans.ingest import COLUMNS, build_postings, split_failures
+from skilltide.plans.ingest import COLUMNS, build_postings, raw_from_pages, split_failures
 from skilltide.sources import pages, postings, tables
 from skilltide.streaming.ingest import ingest_batch, start_ingest
 
@@ -94,6 +94,11 @@ def test_pages(spark):
     assert {rows[u].error for u in ("u2", "u3", "u4")} == {"missing title or description"}
     links = pages.page_links(df).orderBy("place").collect()
     assert [(r.url, r.link) for r in links] == [("u3", "https://x/1"), ("u3", "/2")]
+    scraped = raw_from_pages(df, F.lit("2026-03-04").cast("date"))
+    good, dead = split_failures(scraped)
+    assert good.first().asDict() == {
+        "job_title": "Data & AI", "company": "Acme", "job_url": "u1", "posted_date": "2026-03-04",
+        "job_description": "One two three four five"} and dead.count() == 3
     codes = spark.createDataFrame([(404,), (410,), (200,), (500,)], "s int")
     assert [r[0] for r in codes.select(pages.fetch_outcome("s")).collect()] == [
         "drop", "drop", "ok", "retry"]

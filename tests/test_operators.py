@@ -215,7 +215,8 @@ def test_skill_report(spark):
     matched = spark.createDataFrame(
         rows, "query_id int, posting_id string, job_title string, skills array<string>")
     asked = spark.createDataFrame([(1,), (2,), (3,)], "query_id int")
-    got = {r.query_id: r for r in report.skill_report(matched, asked).collect()}
+    got = {r.query_id: r for r in report.skill_report(
+        report.match_facts(matched), asked).collect()}
     assert (got[1].job_count, got[1].skills_count) == (3, 2)
     assert [(s.name, s["count"], s.percentage) for s in got[1].skills] == [
         ("x", 3, 100.0), ("y", 1, pytest.approx(33.33))]
@@ -370,6 +371,25 @@ def test_double_key_random_and_replay(spark):
     assert keys.insert_rows(df, table).count() == 0
 
 
+def test_hot_keys(spark):
+    """A third of the rows share one id, another third one hash, and every title is the same."""
+    n = 6000
+    rows = [(i, "hot" if i % 3 == 0 else f"p{i // 2}", "hot" if i % 3 == 1 else f"h{i // 5}")
+            for i in range(n)]
+    df = spark.createDataFrame(rows, "arrival int, posting_id string, content_hash string")
+    assert sorted(r.arrival for r in keys.insert_rows(df).collect()) == sequential_insert(rows)
+    posts = spark.range(n).select(
+        F.format_string("p%05d", "id").alias("posting_id"), F.lit("backend engineer").alias("job_title"),
+        F.when(F.col("id") % 2 == 0, "senior").alias("seniority"),
+        F.lit(None).cast("int").alias("posting_year"))
+    asked = spark.createDataFrame([(1, "backend enginer", None), (2, "backend engineer", "senior")],
+                                  "query_id int, query_text string, seniority_filter string")
+    pool = retrieval.lexical_pool(posts, asked.withColumn("year_floor", F.lit(None).cast("int")),
+                                  k=50).collect()
+    got = {q: sorted(r.posting_id for r in pool if r.query_id == q) for q in (1, 2)}
+    assert got == {1: [f"p{i:05d}" for i in range(50)], 2: [f"p{2 * i:05d}" for i in range(50)]}
+
+
 def test_upsert_and_insert_absent(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")

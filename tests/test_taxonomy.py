@@ -7,7 +7,7 @@ from skilltide import schemas
 from skilltide.operators import backfill, golden, resolve
 from skilltide.operators import taxonomy as tax
 from skilltide.plans.search import search
-from skilltide.plans.taxonomy import backfill_titles, reconcile
+from skilltide.plans.taxonomy import backfill_titles, export_taxonomy, reconcile
 from skilltide.functions.vectors import hashed_trigram_vector
 from skilltide.sources import tables
 
@@ -202,7 +202,24 @@ def test_merges_and_folds(spark):
         ("1", "C"), ("2", "C"), ("3", None)]
 
 
-def test_reconcile_run(spark):
+def test_queries_of_one_plan_share_their_counts(spark):
+    from skilltide.operators import report, retrieval
+    from skilltide.plans.search import plan_queries, search_facts
+
+    posts = corpus(spark).withColumn("role_family", F.lit("software engineer")).withColumn(
+        "specializations", F.array(F.lit("backend"))).withColumn("canonical_title", F.lit("be"))
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(
+        ["backend engineer", "Backend Engineer", "backend software engineer", "nobody", "software engineer"])],
+        "query_id int, text string")
+    plans = plan_queries(asked, title_map(spark, MAP), embed=hashed_trigram_vector)
+    got = search_facts(posts, plans, dim=64)
+    want = report.match_facts(retrieval.match_by_mode(posts, plans, dim=64),
+                              F.coalesce("canonical_title", "job_title"))
+    key = lambda r: (r.query_id, r.kind, r.value or "", r.cnt)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+
+
+def test_reconcile_run(spark, tmp_path):
     rows = [(f"p{i}", "backend engineer", "big", ["be", "backend"]) for i in range(20)]
     rows += [(f"q{i}", "backend enginer", "small", ["be"]) for i in range(3)]
     posts = spark.createDataFrame(rows, "posting_id string, canonical_title string, "
@@ -229,6 +246,8 @@ def test_reconcile_run(spark):
     assert {tuple(r.specializations) for r in run.postings.collect()} == {("backend",)}
     assert {r.spec: r.status for r in run.vocabulary.collect()} == {
         "be": "rejected", "odd": "rejected", "backend": "active"}
+    export_taxonomy(run.postings, str(tmp_path / "tree"))
+    assert spark.read.text(str(tmp_path / "tree")).count() == 2
     lines = [r.line for r in tax.taxonomy_lines(tax.taxonomy_tree(run.postings)).collect()]
     assert lines == ["## big (23)", "- backend engineer {backend} (23)"]
 

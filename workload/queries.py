@@ -19,6 +19,7 @@ from skilltide.operators import taxonomy as tax
 from skilltide.operators.scale import cut_lineage, ensure_checkpoint_dir, top_k_per_group
 from skilltide.operators.vector_search import vector_search
 from skilltide.plans.ingest import build_postings
+from skilltide.plans.search import search
 from skilltide.plans.taxonomy import backfill_titles, title_tally
 from skilltide.sources import pages, tables
 from skilltide.streaming.ingest import start_ingest
@@ -379,7 +380,8 @@ LEFT JOIN (SELECT query_id, string_agg(job_title, '|' ORDER BY rn) AS titles
 def item_report(spark, sf):
     asked = V.asked(spark, sf)
     matched = retrieval.hybrid_match(V.stored_postings(spark, sf), asked, dim=V.VECTOR_DIM)
-    rows = report.skill_report(matched, asked.select("query_id"))
+    facts = cut_lineage(report.match_facts(matched))
+    rows = report.skill_report(facts, asked.select("query_id"))
     names = F.transform("skills", lambda s: F.concat_ws(":", s["name"], s["count"]))
     return rows.select("query_id", "job_count", "skills_count",
                        F.coalesce(joined(names), F.lit("")).alias("names"),
@@ -416,6 +418,35 @@ def newest_postings(spark, sf):
     return report.newest_postings(orders.join(V.brand_baskets(spark, sf), "posting_id", "left"))
 
 
+_SQL_LOOSE = V.SQL_VIEWS["hybrid"].replace("asked", "loose")
+_SQL_PLACED = _SQL_STRUCTURED.replace("asked a", "placed a")
+
+
+@query(f"""
+, free AS (SELECT query_id, query_text, query_vector, NULL::VARCHAR AS seniority_filter,
+                  NULL::INT AS year_floor, role_family, wanted FROM asked),
+placed AS (SELECT * FROM free WHERE role_family <> 'anvil'),
+loose AS (SELECT * FROM free WHERE role_family = 'anvil'),
+hyb AS ({_SQL_LOOSE}), {_SQL_PLACED},
+found AS (SELECT query_id, skills FROM structured UNION ALL
+          SELECT query_id, skills FROM hyb JOIN postings p ON p.posting_id = hyb.posting_id),
+totals AS (SELECT query_id, count(*) AS n FROM found GROUP BY query_id),
+names AS (SELECT query_id, count(DISTINCT s) AS n FROM (
+              SELECT query_id, unnest(skills) AS s FROM found) GROUP BY query_id)
+SELECT f.query_id, CASE WHEN role_family = 'anvil' THEN 'fallback' ELSE 'structured' END AS mode,
+       CASE WHEN names.n > 0 THEN totals.n ELSE 0 END AS job_count,
+       coalesce(names.n, 0) AS skills_count
+FROM free f LEFT JOIN totals ON totals.query_id = f.query_id
+LEFT JOIN names ON names.query_id = f.query_id""", ("asked",))
+def search_report(spark, sf):
+    """Text in, report out: exact and fuzzy keys by the title map, anvils by hybrid match."""
+    asked = V.asked(spark, sf).select("query_id", F.col("query_text").alias("text"),
+                                      "query_vector")
+    found = search(V.stored_postings(spark, sf), asked, V.title_map(spark, sf),
+                   dim=V.VECTOR_DIM)
+    return found.select("query_id", "mode", "job_count", "skills_count")
+
+
 # Mining and recommendations --------------------------------------------------------------------
 
 def _triples(spark, sf, top_n=None):
