@@ -6,12 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skilltide.llm import bpe, exact_dedup, language_id, line_quality, mixing, secrets, token_counts
+from skilltide.llm import (
+    bpe, exact_dedup, language_id, line_quality, mixing, ngram_join, secrets, token_counts,
+)
 from skilltide.llm.common import documents
 
 TOKEN_LIMIT = 1024
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(documents(spark, sf_dir), width=4, percent=85)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.prefix_token_counts(
         documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
@@ -66,6 +72,6 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_token_counts, op3_language_id, op4_exact_dedup, op5_mixing, op6_line_quality, op8_secrets,
+    op1_ngram_join, op2_token_counts, op3_language_id, op4_exact_dedup, op5_mixing, op6_line_quality, op8_secrets,
     op9_bpe)}
 ORACLES = {"op4_exact_dedup": OP4_SQL}

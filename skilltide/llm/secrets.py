@@ -41,12 +41,15 @@ MIN_CHARACTERS = 8
 
 
 def _found(pattern: str) -> Column:
-    """All matches with the length of what lies before each: array of (gap, hit, value)."""
-    parts = f"(?s)(.*?)({pattern})"
+    """All matches with the length of what lies before each: array of (gap, hit, value).
+
+    The rest behind the last match is taken as a whole, else it would be searched from each of
+    its places."""
+    parts = f"(?s)(.*?)({pattern})|.+"
     take = [F.regexp_extract_all("_text", F.lit(parts), F.lit(g)) for g in (1, 2, 3)]
     zipped = F.arrays_zip(F.transform(take[0], F.length).alias("gap"), take[1].alias("hit"),
                           take[2].alias("value"))
-    return F.when(F.col("_text").rlike(pattern), zipped)
+    return F.when(F.col("_text").rlike(pattern), F.filter(zipped, lambda x: x["hit"] != ""))
 
 
 def _keeps(kind: Column) -> Column:
