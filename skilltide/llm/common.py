@@ -28,7 +28,7 @@ def map_texts(df: DataFrame, columns: list[str], schema: str,
     tuple of output values. Values are taken out of a batch one row at a time, and results leave
     in small batches, so that memory holds one batch and not a partition.
     """
-    out_schema = _arrow_schema(df.sparkSession, schema)
+    out_schema = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = work()
@@ -44,7 +44,7 @@ def map_texts(df: DataFrame, columns: list[str], schema: str,
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
+def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
     return to_arrow_schema(StructType.fromDDL(ddl))

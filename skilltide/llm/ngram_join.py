@@ -11,7 +11,8 @@
    decided. Lists that lie in one component are done, as no link can join anything there. Each round
    takes ``GROWTH`` times as many pivots as the one before, so lists of texts that are not linked end
    after few rounds, and a hot list of near copies costs about one comparison a member. The first
-   pivots are those with most of their prefix in use: the text the others were copied from.
+   pivots of a list are those with the fewest rarer shingles before it: what the others were copied
+   from has no shingles of its own there.
 5. A pair passes a length, a positional and a suffix filter (sizes of hash classes) and is verified
    once, on whole sets.
 6. Components follow by taking smallest neighbours and jumping pointers, in tables.
@@ -39,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skilltide.llm.common import arrow_schema
 from skilltide.llm.shingles import shingle_set
 from skilltide.operators.scale import cut_lineage
 
@@ -81,24 +83,27 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
 def described(texts: DataFrame, width: int) -> DataFrame:
     """Rows of documents (what 0: id, node, n, classes) and of counters (what 1: block, counts)."""
     kind = texts.schema["_id"].dataType.simpleString()
-    from skilltide.llm.common import _arrow_schema
     ddl = f"what int, _id {kind}, node bigint, n bigint, classes binary, block int, counts binary"
-    schema = _arrow_schema(texts.sparkSession, ddl)
+    schema = arrow_schema(texts.sparkSession, ddl)
     columns = {f.name: f.type for f in schema}
 
     def run(batches):
         counts = np.zeros(COUNTERS, np.uint32)
-        rows = []
+        rows, waiting, size = [], [], 0
         for key, text in _texts(batches):
             found = shingle_set(text, width)
-            counts += np.bincount((found >> np.uint64(44)).astype(np.int64),
-                                  minlength=COUNTERS).astype(np.uint32) if len(found) > 1 << 16 \
-                else _add(counts, found)
+            waiting.append(found >> np.uint64(44))
+            size += len(found)
+            if size > 1 << 18:
+                counts += _bucket_counts(waiting)
+                waiting, size = [], 0
             rows.append((0, key, node_of(found) if len(found) else None, len(found),
                          class_sizes(found), None, None))
             if len(rows) == 4096:
                 yield _batches(columns, rows)
                 rows = []
+        if waiting:
+            counts += _bucket_counts(waiting)
         for block, part in enumerate(np.split(counts, BLOCKS)):
             if part.any():
                 rows.append((1, None, None, 0, None, block, zlib.compress(part.tobytes(), 1)))
@@ -107,9 +112,9 @@ def described(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, ddl)
 
 
-def _add(counts: np.ndarray, found: np.ndarray) -> np.uint32:
-    np.add.at(counts, (found >> np.uint64(44)).astype(np.int64), np.uint32(1))
-    return np.uint32(0)
+def _bucket_counts(buckets: list[np.ndarray]) -> np.ndarray:
+    return np.bincount(np.concatenate(buckets).astype(np.int64),
+                       minlength=COUNTERS).astype(np.uint32)
 
 
 def _summed(frame: pd.DataFrame) -> pd.DataFrame:
@@ -175,12 +180,15 @@ def needed_overlap(n_a, n_b, percent: int):
 
 
 def candidate_pairs(lists: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a pivot and another node of its list that pass the length and positional filters."""
+    """Pairs of a pivot and another node of its list that pass the length and positional filters.
+
+    The positional filter takes the shared shingle as the first common one: no more than what
+    follows it can be shared. A similar pair passes at its first common shingle; where another one
+    fails the pair is not lost, as the list of the first one compares it too."""
     p = pivots.select("shingle", *[F.col(c).alias(f"p_{c}") for c in ("node", "n", "pos", "comp")])
     both = lists.join(p, "shingle").filter((F.col("comp") != F.col("p_comp")))
     small, large = F.least("n", "p_n"), F.greatest("n", "p_n")
-    room = (F.least("pos", "p_pos") + 1
-            + F.least(F.col("n") - F.col("pos"), F.col("p_n") - F.col("p_pos")) - 1)
+    room = F.least(F.col("n") - F.col("pos"), F.col("p_n") - F.col("p_pos"))
     passed = both.filter((small * 100 >= large * percent)
                          & (room >= needed_overlap(F.col("n"), F.col("p_n"), percent)))
     return passed.select(F.least("node", "p_node").alias("a"),
@@ -301,6 +309,12 @@ def merged_components(components: DataFrame | None, links: DataFrame) -> DataFra
     return cut_lineage(moved.distinct())
 
 
+def _open(lists: DataFrame) -> DataFrame:
+    """Shingles whose nodes lie in more than one component."""
+    ends = lists.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
+    return cut_lineage(ends.filter("x != y").select("shingle"))
+
+
 def near_duplicates(df: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = 5,
                     percent: int = 80) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id that links reach, itself included)."""
@@ -312,37 +326,35 @@ def near_duplicates(df: DataFrame, *, id: str = "doc_id", text: str = "text", wi
 
     often = cut_lineage(index.groupBy("shingle").agg(F.count("*").alias("k")).filter("k > 1")
                         .select("shingle"))
-    lists = cut_lineage(index.join(often, "shingle", "left_semi").distinct())
-    used = lists.groupBy("node").agg((-F.count("*") / F.max("n")).alias("rank"))
-    lists = cut_lineage(lists.join(used, "node").withColumn("comp", F.col("node")))
+    lists = index.join(often, "shingle", "left_semi").withColumn("comp", F.col("node"))
+    lists = cut_lineage(lists)
+    open_lists = _open(lists)
+    lists = cut_lineage(lists.join(open_lists, "shingle", "left_semi").distinct())
     nodes = (docs.filter("node is not null").groupBy("node")
              .agg(F.first("n").alias("n"), F.first("classes").alias("classes")))
     nodes = cut_lineage(nodes.join(lists.select("node").distinct(), "node", "left_semi"))
 
     components, decided, pivots_each = None, None, 1
-    while True:
-        ends = lists.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
-        open_lists = cut_lineage(ends.filter("x != y").select("shingle"))
-        lists = cut_lineage(lists.join(open_lists, "shingle", "left_semi"))
-        if lists.isEmpty():
-            break
-        order = Window.partitionBy("shingle").orderBy("rank", "node")
+    while not lists.isEmpty():
+        order = Window.partitionBy("shingle").orderBy("pos", "n", "node")
         pivots = cut_lineage(lists.withColumn("_at", F.row_number().over(order))
                              .filter(F.col("_at") <= pivots_each).drop("_at"))
         pairs = candidate_pairs(lists, pivots, percent)
         if decided is not None:
             pairs = pairs.join(decided, ["a", "b"], "left_anti")
         pairs = cut_lineage(suffix_filter(cut_lineage(pairs), nodes, percent))
-        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        links = cut_lineage(verified(pairs, node_sets(texts, asked, width), percent))
-        decided = reduce(DataFrame.unionByName, [x for x in (decided, pairs) if x is not None])
         left = lists.join(pivots.select("shingle", "node"), ["shingle", "node"], "left_anti")
-        if not links.isEmpty():
-            components = merged_components(components, links)
-            now = components.select("node", F.col("comp").alias("_now"))
-            left = left.join(now, "node", "left").withColumn(
-                "comp", F.coalesce("_now", "comp")).drop("_now")
-        lists = cut_lineage(left)
+        if not pairs.isEmpty():
+            asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+            links = cut_lineage(verified(pairs, node_sets(texts, asked, width), percent))
+            decided = pairs if decided is None else decided.unionByName(pairs)
+            if not links.isEmpty():
+                components = merged_components(components, links)
+                now = components.select("node", F.col("comp").alias("_now"))
+                left = left.join(now, "node", "left").withColumn(
+                    "comp", F.coalesce("_now", "comp")).drop("_now")
+        left = cut_lineage(left)
+        lists = cut_lineage(left.join(_open(left), "shingle", "left_semi"))
         pivots_each *= GROWTH
 
     docs = docs.select("_id", "node", "n")

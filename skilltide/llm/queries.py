@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skilltide.llm import (
-    bpe, exact_dedup, language_id, line_quality, mixing, ngram_join, secrets, token_counts,
+    bpe, exact_dedup, language_id, line_quality, mixing, ngram_join, secrets, suffix_dedup,
+    token_counts,
 )
 from skilltide.llm.common import documents
 
@@ -71,7 +72,14 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(documents(spark, sf_dir))
+    return cut.select("doc_id", "n_bytes", "n_removed",
+                      (F.size("spans") / 2).cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_join, op2_token_counts, op3_language_id, op4_exact_dedup, op5_mixing, op6_line_quality, op8_secrets,
-    op9_bpe)}
+    op9_bpe, op10_suffix_dedup)}
 ORACLES = {"op4_exact_dedup": OP4_SQL}
