@@ -103,8 +103,8 @@ def train(df: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str =
 
 
 def predict(df: DataFrame, model: LanguageModel, *, id: str = "doc_id",
-            text: str = "text") -> DataFrame:
-    """Per row: id, lang_pred, score (posterior probability of that language)."""
+            text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: id, lang_pred, score (posterior probability of that language), columns to carry."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     kind = df.schema[id].dataType.simpleString()
 
@@ -114,16 +114,18 @@ def predict(df: DataFrame, model: LanguageModel, *, id: str = "doc_id",
         def each(row):
             body = row[1]
             if not body or not model.languages or LETTER.search(body) is None:
-                return row[0], "und", 0.0
+                return row[0], "und", 0.0, *row[2:]
             score = model.prior.copy()
             for buckets in hashed_ngrams(body):
                 score += model.log_probability[buckets].sum(axis=0, dtype=np.float64)
             best = int(np.argmax(score))
             return (row[0], model.languages[best],
-                    round(1.0 / float(np.exp(score - score[best]).sum()), 6))
+                    round(1.0 / float(np.exp(score - score[best]).sum()), 6), *row[2:])
         return each
 
-    return map_texts(df, [id, text], f"`{id}` {kind}, lang_pred string, score double", work)
+    more = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carry]
+    return map_texts(df, [id, text, *carry],
+                     ", ".join([f"`{id}` {kind}", "lang_pred string", "score double", *more]), work)
 
 
 def held_out(id: str = "doc_id"):

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skilltide.llm import (
-    bpe, exact_dedup, language_id, line_quality, mixing, ngram_join, secrets, suffix_dedup,
-    token_counts,
+    bpe, exact_dedup, language_id, line_quality, mixing, ngram_join, pii, secrets,
+    suffix_dedup, token_counts,
 )
 from skilltide.llm.common import documents
 
@@ -60,6 +60,11 @@ def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.quality(documents(spark, sf_dir))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is an example; a real one comes from where secrets are kept."""
+    return pii.replace(documents(spark, sf_dir), b"example key of the registered query")
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.secrets(documents(spark, sf_dir)))
 
@@ -80,6 +85,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_ngram_join, op2_token_counts, op3_language_id, op4_exact_dedup, op5_mixing, op6_line_quality, op8_secrets,
+    op1_ngram_join, op2_token_counts, op3_language_id, op4_exact_dedup, op5_mixing, op6_line_quality, op7_pii,
+    op8_secrets,
     op9_bpe, op10_suffix_dedup)}
 ORACLES = {"op4_exact_dedup": OP4_SQL}
