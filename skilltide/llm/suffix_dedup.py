@@ -42,8 +42,9 @@ K = 64
 BIT_TABLE = 1 << 27
 PART = 1 << 18
 HIGH = np.uint64((1 << 64) - (1 << 19))
-BATCHES = 4
-BIG_GROUP = 1000
+BATCHES = 2
+BIG_GROUP = 20_000
+COMPARED_AT_ONCE = 4096
 SIDE = WINDOW - K
 
 
@@ -127,21 +128,25 @@ class SuffixFamily:
 
     def __init__(self):
         self.levels: dict[int, DataFrame] = {}
+        self.merged_only: set[int] = set()
         self.again: list[DataFrame] = []
 
     def add(self, texts: DataFrame) -> None:
         """Scan a new batch against all levels, then merge equal-sized levels."""
         new = cut_lineage(suffix_array(texts))
         self.again.append(new.filter("n > 1").select("key"))
-        for level in self.levels.values():
-            self.again.append(cut_lineage(new.select("key").join(level.select("key"), "key")))
+        for size in self.levels:
+            if size in self.merged_only:  # written when first read
+                self.levels[size] = cut_lineage(self.levels[size])
+                self.merged_only.discard(size)
+            level = self.levels[size].select("key")
+            self.again.append(cut_lineage(new.select("key").join(level, "key")))
         size = 0
         while size in self.levels:
-            both = new.unionByName(self.levels.pop(size))
-            new = both.groupBy("key").agg(F.sum("n").alias("n")).sortWithinPartitions("key")
+            new = (new.unionByName(self.levels.pop(size)).groupBy("key")
+                   .agg(F.sum("n").alias("n")).sortWithinPartitions("key"))
             size += 1
-            if size not in self.levels:
-                new = cut_lineage(new)
+            self.merged_only.add(size)
         self.levels[size] = new
 
     def repeated(self) -> DataFrame:
@@ -228,23 +233,48 @@ def _each_window(codes, sums, start, at, keys, low, high, seen):
 
 
 def _compared(group: pd.DataFrame) -> pd.DataFrame:
-    """Repeated windows of the surroundings that occur once, among all surroundings of an anchor."""
-    group = group.drop_duplicates("whole")
-    hashes = []
-    for data in group["data"]:
-        codes = np.frombuffer(data, np.uint8)
-        begins = np.arange(len(codes) - WINDOW + 1)
-        hashes.append(hashes_at(prefix_sums(codes), begins, begins + WINDOW))
-    _, inverse, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-    again = np.split(counts[inverse] > 1, np.cumsum([len(h) for h in hashes])[:-1])
-    rows, lows, highs = [], [], []
-    for row, start, mine in zip(group["_row"], group["low"], again, strict=True):
-        edge = np.flatnonzero(np.diff(mine, prepend=False, append=False))
-        rows += [row] * (len(edge) // 2)
-        lows += [start + x for x in edge[::2].tolist()]
-        highs += [start + x - 1 for x in edge[1::2].tolist()]
-    return pd.DataFrame({"_row": pd.Series(rows, dtype=group["_row"].dtype),
-                         "low": np.array(lows, np.int64), "high": np.array(highs, np.int64)})
+    """Repeated windows of the surroundings that occur once, among all surroundings of their anchors.
+
+    Equal windows have equal anchors, so the surroundings of several anchors are counted together."""
+    group = group.drop_duplicates(["key", "whole"])
+    sizes = group["data"].str.len().to_numpy(np.int64)
+    counts = sizes - WINDOW + 1
+    data = np.cumsum(sizes) - sizes
+    before = np.cumsum(counts) - counts
+    begins = np.repeat(data - before, counts) + np.arange(counts.sum())
+    sums = prefix_sums(np.frombuffer(b"".join(group["data"]), np.uint8))
+    _, inverse, often = np.unique(hashes_at(sums, begins, begins + WINDOW), return_inverse=True,
+                                  return_counts=True)
+    mine = np.zeros(len(begins) + 1, bool)
+    mine[:-1] = often[inverse] > 1
+    starts = np.zeros(len(begins) + 1, bool)
+    starts[before] = True
+    begin = np.flatnonzero(mine & (starts | ~np.concatenate([[False], mine[:-1]])))
+    end = np.flatnonzero(mine[:-1] & (starts[1:] | ~mine[1:])
+                         | mine[:-1] & (np.arange(len(begins)) == len(begins) - 1))
+    at = np.searchsorted(before, begin, "right") - 1
+    low = group["low"].to_numpy(np.int64)[at] + begin - before[at]
+    return pd.DataFrame({"_row": group["_row"].to_numpy()[at], "low": low,
+                         "high": low + (end - begin)})
+
+
+def _in_key_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Compare sorted rows, some thousand at once, never parting an anchor."""
+    waiting = None
+    for frame in frames:
+        waiting = frame if waiting is None else pd.concat([waiting, frame], ignore_index=True)
+        last = waiting["key"].iloc[-1] if len(waiting) else None
+        if len(waiting) >= COMPARED_AT_ONCE and waiting["key"].iloc[0] != last:
+            done = (waiting["key"] != last).to_numpy()
+            ready, waiting = waiting[done], waiting[~done]
+            edges = np.flatnonzero(np.diff(ready["key"].to_numpy())) + 1
+            cuts = [0, *[edges[i] for i in np.unique(np.searchsorted(
+                edges, np.arange(COMPARED_AT_ONCE, len(ready), COMPARED_AT_ONCE)))
+                if i < len(edges)], len(ready)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                yield _compared(ready.iloc[a:b])
+    if waiting is not None and len(waiting):
+        yield _compared(waiting)
 
 
 def repeated_spans(texts: DataFrame, batches: int = BATCHES,
@@ -268,8 +298,8 @@ def repeated_spans(texts: DataFrame, batches: int = BATCHES,
     sent = at_anchors(texts, bit_table(small), "key bigint, whole bigint, low bigint, data binary",
                       _bytes_around)
     spans = spans.unionByName(
-        sent.join(small.select("key"), "key", "left_semi").groupBy("key")
-        .applyInPandas(_compared, f"_row {row_type}, low bigint, high bigint"))
+        sent.join(small.select("key"), "key", "left_semi").repartition("key")
+        .sortWithinPartitions("key").mapInPandas(_in_key_order, f"_row {row_type}, low bigint, high bigint"))
     if not big.isEmpty():
         windows = cut_lineage(
             at_anchors(texts, bit_table(big),
