@@ -10,7 +10,8 @@ Luhn check still does, and a name stays a name of its script and gender.
 
 Two entities must not meet in one surrogate, and no surrogate may be an entity of the corpus. All
 different entities are brought together with their surrogates in Spark; of those that collide all but
-the first are drawn again (``attempt``) until none collide. The redrawn ones, a small share, are joined
+the first are drawn again (``attempt``) until none collide. A format with so few values that this
+does not end (``MAX_DRAWS``) is an error; after ``AVOID_DRAWS`` draws real values are allowed. The redrawn ones, a small share, are joined
 to the documents that hold them; all others are made again from the key alone in the second scan, so
 no table of entities is broadcast.
 
@@ -33,6 +34,9 @@ from pyspark.sql.window import Window
 from skilltide.llm.common import arrow_schema
 from skilltide.operators.scale import cut_lineage
 
+AVOID_DRAWS = 8
+MAX_DRAWS = 40
+
 # Forms of address by the gender they tell.
 MALE = ("Mr", "Herr", "Sr", "Señor", "Monsieur", "Don", "господин")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Sra", "Señora", "Mme", "Madame", "Doña", "госпожа")
@@ -204,11 +208,15 @@ def redrawn(table: DataFrame, secret: bytes) -> DataFrame:
         judged = (now.join(real, ["kind", "surrogate"], "left")
                   .withColumn("place", F.row_number().over(
                       Window.partitionBy("kind", "surrogate").orderBy("drawn", "key"))))
-        bad = cut_lineage(judged.filter((F.col("place") > 1) | F.col("real"))
+        # Where nearly all values of a format are taken, real ones are no longer avoided.
+        avoid = F.col("real") if attempt < AVOID_DRAWS else F.lit(False)
+        bad = cut_lineage(judged.filter((F.col("place") > 1) | F.coalesce(avoid, F.lit(False)))
                           .select("kind", "key"))
         if bad.isEmpty():
             break
         attempt += 1
+        if attempt > MAX_DRAWS:
+            raise ValueError("an entity format has too few values to keep surrogates distinct")
         again = cut_lineage(bad.mapInArrow(draw(attempt), "kind string, key string, surrogate string")
                             .withColumn("drawn", F.lit(attempt)))
         now = cut_lineage(now.join(bad, ["kind", "key"], "left_anti").unionByName(again))

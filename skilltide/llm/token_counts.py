@@ -203,7 +203,7 @@ class PrefixCounter:
             counts, tail, head = np.zeros(0, np.int64), 0, 0
             if part:
                 counts, tail = self._part(part)
-                head = int(counts[tail - 1]) if tail else 0
+                head = int(counts[-1]) - int.from_bytes(self._counts(part[tail:])[-4:], "little")
                 out.append(counts + done)
             if mark:
                 total = int(counts[-1]) if part else 0
