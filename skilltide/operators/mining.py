@@ -31,10 +31,13 @@ def item_support(baskets: DataFrame) -> DataFrame:
 
 
 def _only_frequent(baskets: DataFrame, frequent: DataFrame) -> DataFrame:
-    """Baskets cut to frequent items by a join; regrouping is bounded by the basket size."""
-    kept = (baskets.select("basket_id", F.explode("items").alias("item"))
+    """Baskets cut to frequent items by a join; regrouping is bounded by the basket size.
+
+    Each row gets a key of its own, written once: baskets that share an id stay apart."""
+    keyed = cut_lineage(baskets.withColumn("_row", F.expr("uuid()")))
+    kept = (keyed.select("_row", F.explode("items").alias("item"))
             .join(frequent.select("item"), "item"))
-    return kept.groupBy("basket_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return kept.groupBy("_row").agg(F.array_sort(F.collect_list("item")).alias("items"))
 
 
 def triple_support(baskets: DataFrame, min_support: int = 1) -> DataFrame:

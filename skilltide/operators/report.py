@@ -29,7 +29,8 @@ def match_facts(matched: DataFrame, title: Column | str = "job_title") -> DataFr
     def fact(kind: str, value: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), value.alias("value"))
 
-    facts = F.concat(F.transform("skills", lambda s: fact("skill", s)),
+    skills = F.coalesce("skills", F.array().cast("array<string>"))
+    facts = F.concat(F.transform(skills, lambda s: fact("skill", s)),
                      F.array(fact("title", title), fact("all", F.lit(None).cast("string"))))
     return (matched.select("query_id", F.explode_outer(facts).alias("f"))
             .groupBy("query_id", "f.kind", "f.value").agg(F.count("*").alias("cnt")))

@@ -15,7 +15,7 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,11 +41,18 @@ class _Block:
     year: np.ndarray
 
 
+def _of_size(vector: str, dim: int) -> Column:
+    """Rows with a vector; one of another size is an error, as its rows would be lost unseen."""
+    wrong = F.raise_error(F.concat(F.lit(f"{vector} needs {dim} values, has "),
+                                   F.size(vector).cast("string"))).cast("boolean")
+    return F.when(F.col(vector).isNull(), False).when(F.size(vector) == dim, True).otherwise(wrong)
+
+
 def _blocks(queries: DataFrame, dim: int, faceted: bool, k: int | None) -> Iterator[_Block]:
     limit = max(1, min(MAX_BLOCK_CELLS // dim, MAX_TASK_ROWS // (k or 1)))
     columns = ["query_id", "query_vector"]
     columns += ["seniority_filter", "year_floor"] if faceted else []
-    queries = queries.select(*columns).filter(F.size("query_vector") == dim)
+    queries = queries.select(*columns).filter(_of_size("query_vector", dim))
     pending = [(0, 1)]
     while pending:
         part, parts = pending.pop()
@@ -164,7 +171,7 @@ def vector_search(corpus: DataFrame, queries: DataFrame, *, dim: int, k: int | N
         raise ValueError("give k or floor: all pairs are never formed")
     scanned = [F.col(id_col).alias("posting_id"), round_vector(vector_col).alias("v")]
     facets: Sequence[str] = ["seniority", "posting_year"] if faceted else []
-    rows = corpus.filter(F.size(vector_col) == dim).select(*scanned, *facets)
+    rows = corpus.filter(_of_size(vector_col, dim)).select(*scanned, *facets)
     schema = T.StructType([
         T.StructField("query_id", queries.schema["query_id"].dataType),
         T.StructField("posting_id", corpus.schema[id_col].dataType),

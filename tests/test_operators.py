@@ -405,3 +405,22 @@ def test_similarity_column_equals_join(spark):
     df = spark.createDataFrame(list(zip(titles(6, 20), titles(7, 20))), "a string, b string")
     for r in df.select("a", "b", trigram_similarity("a", "b").alias("s")).collect():
         assert r.s == pytest.approx(jaccard(r.a, r.b))
+
+
+def test_triples_do_not_depend_on_the_join_of_frequent_items(spark, monkeypatch):
+    from skilltide.operators import mining
+    rows = [("x", ["a", "b", "c"]), ("x", ["a", "b", "c"]), ("y", ["a", "b", "c", "d"])]
+    postings = spark.createDataFrame(rows, "posting_id string, skills array<string>")
+    want = mining.mine_triples(postings, min_support=2).collect()
+    monkeypatch.setattr(mining, "MAX_LITERAL_ITEMS", 0)
+    assert mining.mine_triples(postings, min_support=2).collect() == want
+    assert [(r["support_count"], r["lift"]) for r in want] == [(3, 1.0)]
+
+
+def test_postings_without_skills_are_counted(spark):
+    from skilltide.operators.report import match_facts
+    rows = [(1, None, "t"), (1, [], "t"), (1, ["s"], "u")]
+    matched = spark.createDataFrame(rows, "query_id int, skills array<string>, title string")
+    facts = {(r["kind"], r["value"]): r["cnt"]
+             for r in match_facts(matched, title="title").collect()}
+    assert facts == {("skill", "s"): 1, ("title", "t"): 2, ("title", "u"): 1, ("all", None): 3}
