@@ -85,7 +85,7 @@ class PrefixCounter:
         self.gaps = regex.compile(r"\s{2,}(?=\S)")
         self.uneven = regex.compile(r"\s\x20|\x20\s|^\x20|\x20$")
         self.reached = Recent(2 * CACHED)
-        self.known, self.chunks = Recent(), Recent()
+        self.known, self.chunks = Recent(), Recent(2 * CACHED)
 
     def _fits(self, left: int, right: int) -> bool:
         """Whether two tokens stay apart in the encoding of their concatenation.
