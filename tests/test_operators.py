@@ -424,3 +424,13 @@ def test_postings_without_skills_are_counted(spark):
     facts = {(r["kind"], r["value"]): r["cnt"]
              for r in match_facts(matched, title="title").collect()}
     assert facts == {("skill", "s"): 1, ("title", "t"): 2, ("title", "u"): 1, ("all", None): 3}
+
+
+@pytest.mark.parametrize(("query", "posting"), [([1.0], [1.0, 0.0]), ([1.0, 0.0], [1.0])])
+def test_vectors_of_another_size_are_an_error(spark, query, posting):
+    from skilltide.operators.vector_search import vector_search
+    postings = spark.createDataFrame([("p", posting), ("q", None)],
+                                     "posting_id string, title_embedding array<double>")
+    queries = spark.createDataFrame([(1, query)], "query_id int, query_vector array<double>")
+    with pytest.raises(Exception, match="needs 2 values"):
+        vector_search(postings, queries, dim=2, k=1, vector_col="title_embedding").collect()
