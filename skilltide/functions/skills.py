@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 from ..vocabulary import CANONICAL_SKILLS, TECH_CAPITALIZATION
 from .text import SPACE, _col, bind, strip
 
-# An alias table rides in the plan as a literal; larger ones belong in a joined DataFrame.
+# An alias table rides in the plan as a literal; ``with_clean_skills`` joins larger ones.
 MAX_LITERAL_ALIASES = 5_000
 
 
 def lookup(c: Column, table: Mapping[str, str]) -> Column:
     """Value of a small literal table, or the text itself where it has no entry."""
     if len(table) > MAX_LITERAL_ALIASES:
-        raise ValueError(f"alias table of {len(table)} entries: join it as a DataFrame")
+        raise ValueError(f"alias table of {len(table)} entries: use with_clean_skills")
     if not table:
         return c
     literal = F.create_map(*[F.lit(x) for x in chain.from_iterable(table.items())])
@@ -29,15 +29,20 @@ def _unwrap_brackets(c: Column) -> Column:
     return F.regexp_replace(c, r"\(([^)]+)\)", "$1")
 
 
-def normalize_skill(c: Column | str, canonical: Mapping[str, str] = CANONICAL_SKILLS,
-                    capitalization: Mapping[str, str] = TECH_CAPITALIZATION) -> Column:
-    """One raw skill -> array of skills. A '/' separates skills; punctuation other than
-    '+' and '#' goes before the two alias lookups; names without an alias stay lower-case."""
+def bare_skills(c: Column | str) -> Column:
+    """One raw skill -> array of lower-case skills before any alias lookup. A '/' separates
+    skills; punctuation other than '+' and '#' goes."""
     parts = bind(_unwrap_brackets(F.lower(strip(c))), lambda text: F.when(
         F.contains(text, F.lit("/")), F.transform(
             F.split(text, "/"), lambda p: _unwrap_brackets(strip(p)))).otherwise(F.array(text)))
-    bare = F.transform(parts, lambda p: F.regexp_replace(p, rf"[^\p{{L}}\p{{N}}_{SPACE}+#]", ""))
-    named = F.transform(bare, lambda p: lookup(p, canonical))
+    return F.transform(parts, lambda p: F.regexp_replace(p, rf"[^\p{{L}}\p{{N}}_{SPACE}+#]", ""))
+
+
+def normalize_skill(c: Column | str, canonical: Mapping[str, str] = CANONICAL_SKILLS,
+                    capitalization: Mapping[str, str] = TECH_CAPITALIZATION) -> Column:
+    """One raw skill -> array of skills: ``bare_skills`` after the two alias lookups; names
+    without an alias stay lower-case."""
+    named = F.transform(bare_skills(c), lambda p: lookup(p, canonical))
     return F.transform(named, lambda p: lookup(p, capitalization))
 
 

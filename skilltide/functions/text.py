@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable, Iterable, Sequence
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,9 +90,9 @@ def query_seniority_filter(c: Column | str) -> Column:
     return F.nullif(seniority(c), F.lit("unknown"))
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+@F.arrow_udf(T.StringType())
+def _nfkc(texts: pa.Array) -> pa.Array:
+    return pc.utf8_normalize(texts, form="NFKC")
 
 
 def nfkc(c: Column | str) -> Column:

@@ -8,10 +8,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.skills import MAX_LITERAL_ALIASES, parse_skills_json
+from ..functions.skills import (
+    MAX_LITERAL_ALIASES,
+    bare_skills,
+    clean_skills,
+    parse_skills_json,
+)
 from ..functions.text import _col, bind
 from ..functions.vectors import hashed_trigram_vector
 from ..vocabulary import CANONICAL_SKILLS, TECH_CAPITALIZATION
+from .scale import cut_lineage
 
 Extractor = Callable[[str], str]
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
@@ -42,7 +48,7 @@ def word_grams(c: Column | str, longest: int = 3) -> Column:
     return bind(words, lambda ws: grow(ws, [ws], 2))
 
 
-def gazetteer_skills(c: Column | str, spellings: Sequence[str], longest: int = 3) -> Column:
+def gazetteer_skills(c: Column | str, spellings: Sequence[str]) -> Column:
     """Known spellings that occur in a text, row by row without a shuffle.
 
     The list rides in the plan as a hash set; a larger one belongs in ``gazetteer_join``.
@@ -50,17 +56,49 @@ def gazetteer_skills(c: Column | str, spellings: Sequence[str], longest: int = 3
     if len(spellings) > MAX_LITERAL_ALIASES:
         raise ValueError("use gazetteer_join for a large vocabulary")
     known = list(spellings)
+    longest = max((len(s.split(" ")) for s in known), default=1)
     return F.array_sort(F.array_distinct(F.filter(word_grams(c, longest),
                                                   lambda g: g.isin(known))))
 
 
 def gazetteer_join(texts: DataFrame, spellings: DataFrame, *, id_col: str, text_col: str,
-                   longest: int = 3) -> DataFrame:
-    """(id, skill) for a vocabulary of any size: (spelling, skill) joined to the word runs."""
-    grams = texts.select(id_col, F.explode_outer(word_grams(text_col, longest)).alias("spelling"))
+                   longest: int | None = None) -> DataFrame:
+    """(id, skill) for a vocabulary of any size: (spelling, skill) joined to the word runs.
+
+    Runs are as long as the longest spelling, unless ``longest`` says how long that is."""
+    if longest is None:
+        row = spellings.agg(F.max(F.size(F.split("spelling", " ")))).first()
+        longest = row[0] or 1
+    grams = texts.select(id_col, F.explode(F.array_distinct(word_grams(text_col, longest)))
+                         .alias("spelling"))
     return grams.join(spellings, "spelling").select(id_col, "skill").distinct()
 
 
+def _regrouped(keyed: DataFrame, found: DataFrame, out: str) -> DataFrame:
+    """Rows with the sorted set of their found (_row, skill); bounded by what one row holds."""
+    sets = found.groupBy("_row").agg(F.array_sort(F.collect_set("skill")).alias(out))
+    return keyed.drop(out).join(sets, "_row", "left").withColumn(
+        out, F.coalesce(out, F.array().cast("array<string>"))).drop("_row")
+
+
+def with_clean_skills(df: DataFrame, raw_col: str,
+                      canonical: Mapping[str, str] = CANONICAL_SKILLS,
+                      capitalization: Mapping[str, str] = TECH_CAPITALIZATION, *,
+                      out: str = "skills") -> DataFrame:
+    """Add ``clean_skills`` for alias tables of any size: small ones ride in the plan, larger
+    ones are joined, with equal results."""
+    if max(len(canonical), len(capitalization)) <= MAX_LITERAL_ALIASES:
+        return df.withColumn(out, clean_skills(raw_col, canonical, capitalization))
+    keyed = cut_lineage(df.withColumn("_row", F.expr("uuid()")))
+    raw = keyed.select("_row", F.explode(raw_col).alias("raw")).filter(F.col("raw").isNotNull())
+    named = raw.select("_row", F.explode(bare_skills("raw")).alias("skill"))
+    for table in (canonical, capitalization):
+        aliases = alias_frame(df, [table]).toDF("skill", "_alias")
+        named = named.join(aliases, "skill", "left").select(
+            "_row", F.coalesce("_alias", "skill").alias("skill"))
+    return _regrouped(keyed, named, out)
+
+
 def with_extracted(df: DataFrame, text_col: str, extractor: Extractor | None = None, *,
                    spellings: Sequence[str] | None = None, out: str = "raw_skills"
                    ) -> DataFrame:
@@ -72,7 +110,13 @@ def with_extracted(df: DataFrame, text_col: str, extractor: Extractor | None = N
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     if extractor is None:
-        return df.withColumn(out, gazetteer_skills(text, spellings or known_spellings()))
+        known = spellings or known_spellings()
+        if len(known) <= MAX_LITERAL_ALIASES:
+            return df.withColumn(out, gazetteer_skills(text, known))
+        keyed = cut_lineage(df.withColumn("_row", F.expr("uuid()")))
+        return _regrouped(keyed, gazetteer_join(
+            keyed, alias_frame(df, [{s: s for s in known}]), id_col="_row", text_col=text_col,
+            longest=max(len(s.split(" ")) for s in known)), out)
 
     @F.pandas_udf("string")
     def reply(texts: pd.Series) -> pd.Series:

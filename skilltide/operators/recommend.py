@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import CATALOG_NAMESPACE, uuid5
-from ..functions.text import _col, bind, strip
+from ..functions.text import _col, strip
 from .keys import upsert
 from .scale import top_k_per_group
 
@@ -105,37 +105,41 @@ def parse_skill_list(text: Column | str) -> Column:
 
 
 def _subsets(top: Column) -> Column:
-    """All sorted distinct subsets of 1 to 3 of at most five skills (25 at most)."""
-    def grow(items: Column, sets: Column) -> Column:
-        return F.flatten(F.transform(sets, lambda chosen: F.transform(
-            F.filter(items, lambda s: s > F.element_at(chosen, -1)),
-            lambda s: F.concat(chosen, F.array(s)))))
+    """All sorted distinct subsets of at most five skills, the empty one included (32 at most)."""
+    def with_and_without(sets: Column, s: Column) -> Column:
+        return F.concat(sets, F.transform(sets, lambda chosen: F.concat(chosen, F.array(s))))
 
-    def all_sizes(items: Column) -> Column:
-        one = F.transform(items, lambda s: F.array(s))
-        return bind(grow(items, one), lambda two: F.concat(one, two, grow(items, two)))
-
-    return bind(F.array_sort(F.array_distinct(top)), all_sizes)
+    items = F.array_sort(F.array_distinct(F.filter(top, lambda s: s.isNotNull())))
+    return F.aggregate(items, F.array(F.array().cast("array<string>")), with_and_without)
 
 
 def subset_join(requests: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(query_id, top_skills, project columns): projects whose skills are all among the first
-    five requested ones.
+    """(query_id, top_skills, project columns): all projects whose skills are all among the
+    first five requested ones.
 
     Containment becomes an equi-join: a request gives every subset it can contain as a key.
-    Projects of one skill set are cut to the four best before the join, as no answer ever holds
-    more than four; so a request meets at most 100 rows, however often a skill set occurs.
+    Skills that are NULL are contained in nothing.
     """
     top = F.slice("skills", 1, TOP_SKILLS_USED)
     asked = requests.select("query_id", top.alias("top_skills")).filter(
         F.size("top_skills") >= 3)
     keys = asked.select("query_id", "top_skills", F.explode_outer(_subsets(F.col("top_skills")))
                         .alias("skill_set"))
-    keyed = catalog.withColumn("skill_set", F.array_sort(F.array_distinct("skills"))).filter(
-        F.size("skill_set").between(1, 3))
-    best = top_k_per_group(keyed, ["skill_set"], [F.desc("score"), F.asc("project_id")],
-                           MAX_PROJECTS)
-    return keys.join(best, "skill_set").drop("skill_set")
+    keyed = catalog.withColumn("skill_set", _skill_set()).filter(
+        F.size("skill_set") <= TOP_SKILLS_USED)
+    return keys.join(keyed, "skill_set").drop("skill_set")
+
+
+def _skill_set() -> Column:
+    return F.array_sort(F.array_distinct("skills"))
+
+
+def best_of_each_set(catalog: DataFrame) -> DataFrame:
+    """The four best projects of every skill set: no greedy answer holds more than four, so a
+    request meets at most 128 rows, however often a skill set occurs."""
+    keyed = catalog.withColumn("_set", _skill_set())
+    return top_k_per_group(keyed, ["_set"], [F.desc("score"), F.asc("project_id")],
+                           MAX_PROJECTS).drop("_set")
 
 
 def _greedy(candidates: Column, target: Column) -> Column:
@@ -170,7 +174,7 @@ def _greedy(candidates: Column, target: Column) -> Column:
 def recommend(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     """(query_id, top_skills, projects): three or four projects that together cover most of the
     requested skills; none for fewer than three skills. ``requests`` is (query_id, skills)."""
-    found = subset_join(requests, catalog)
+    found = subset_join(requests, best_of_each_set(catalog))
     grouped = found.groupBy("query_id", "top_skills").agg(F.array_sort(F.collect_list(F.struct(
         (-F.col("score").cast("double")).alias("order"), "project_id", "title", "level", "blurb",
         F.col("skills").alias("skills")))).alias("candidates"))

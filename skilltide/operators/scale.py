@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 # A window over few rows per map task needs no salt: the group limit below the shuffle already
 # sends at most k rows of a group per task.
 SMALL_K = 20
+# Beyond this k Spark has no group limit below the shuffle (its default threshold).
+GROUP_LIMIT = 1000
 DEFAULT_SALTS = 16
 
 
@@ -69,8 +71,15 @@ def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column]
                     spread_on: Sequence[str] = (), salts: int = DEFAULT_SALTS,
                     rank: str | None = None) -> DataFrame:
     """First k rows of every group. A hot group is cut to k rows per salt before it meets in
-    one task. ``order`` must be total, so that the result does not depend on the layout."""
+    one task. ``order`` must be total, so that the result does not depend on the layout. For a
+    k beyond Spark's group limit, rows are first cut within the rows of each map task, so that
+    the number of slices grows with the input."""
     marker = rank or "_rank"
+    if spread_on and k > GROUP_LIMIT:
+        piece = Window.partitionBy(*group, "_piece").orderBy(*order)
+        df = (df.withColumn("_piece", F.spark_partition_id())
+              .withColumn("_local", F.row_number().over(piece))
+              .filter(F.col("_local") <= k).drop("_piece", "_local"))
     if spread_on and k > SMALL_K and salts > 1:
         local = Window.partitionBy(*group, "_salt").orderBy(*order)
         df = (df.withColumn("_salt", spread(*spread_on, salts=salts))

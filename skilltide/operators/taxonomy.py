@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from itertools import chain
 from typing import NamedTuple
 
 import pandas as pd
@@ -48,6 +49,34 @@ def rule_classifier(key: Column | str, families: Sequence[str], specs: Sequence[
         {"ignoreNullFields": "false"})
 
 
+def classify_by_rules(keys: DataFrame, families: DataFrame, specs: DataFrame) -> DataFrame:
+    """(key, reply) of ``rule_classifier`` for registries of any size: (family) and (spec) are
+    joined to the word runs of the rewritten keys. Specializations come in code-point order."""
+    names = families.select(F.col("family").alias("run"), F.lit(True).alias("is_family")).union(
+        specs.select("spec", F.lit(False))).filter(F.col("run") != "").distinct()
+    row = names.agg(F.max(F.size(F.split("run", " ")))).first()
+    longest = row[0] or 1
+    distinct = keys.select("key").filter(F.col("key") != "").distinct().withColumn(
+        "canonical_title", X.rewrite_head_noun("key"))
+
+    def runs(words: Column) -> Column:
+        return F.flatten(F.transform(words, lambda _, i: F.transform(
+            F.sequence(F.lit(1), F.least(F.lit(longest), F.size(words) - i)),
+            lambda n: F.array_join(F.slice(words, i + 1, n), " "))))
+
+    said = distinct.select("key", F.explode(F.array_distinct(bind(
+        F.split("canonical_title", " "), runs))).alias("run"))
+    found = said.join(names, "run").groupBy("key").agg(
+        F.min(F.when(F.col("is_family"), F.struct((-F.length("run")).alias("n"), "run")))
+        .alias("family"),
+        F.slice(F.array_sort(F.collect_set(F.when(~F.col("is_family"), F.col("run")))), 1,
+                MAX_SPECS).alias("specs"))
+    return distinct.join(found, "key", "left").select("key", F.to_json(F.struct(
+        "canonical_title", F.col("family.run").alias("role_family"),
+        F.coalesce("specs", F.array().cast(_TEXTS)).alias("specializations")),
+        {"ignoreNullFields": "false"}).alias("reply"))
+
+
 def classify_keys(keys: DataFrame, families: Sequence[str], specs: Sequence[str],
                   classifier: Callable[[str, Sequence[str], Sequence[str]], str] | None = None
                   ) -> DataFrame:
@@ -333,14 +362,16 @@ def pending_usage(vocabulary: DataFrame, postings: DataFrame) -> DataFrame:
 def replace_specs(specs: Column | str, *, merge: Mapping[str, str] = {},
                   reject: Sequence[str] = ()) -> Column:
     """Specializations with synonyms replaced and rejected ones removed, without repeats."""
-    def renamed(old: str, new: str) -> Callable[[Column], Column]:
-        return lambda s: F.when(s == old, new).otherwise(s)
-
+    final: dict[str, str] = {}
+    for old, new in merge.items():  # in the given order, so that a -> b, b -> c ends at c
+        final = {k: new if v == old else v for k, v in final.items()}
+        final.setdefault(old, new)
     out = _col(specs)
-    for old, new in merge.items():
-        out = F.transform(out, renamed(old, new))
-    for spec in reject:
-        out = F.array_remove(out, spec)
+    if final:
+        names = F.create_map(*[F.lit(x) for x in chain.from_iterable(final.items())])
+        out = F.transform(out, lambda s: F.coalesce(F.try_element_at(names, s), s))
+    if reject:
+        out = F.filter(out, lambda s: ~F.coalesce(s.isin(list(reject)), F.lit(False)))
     return F.array_distinct(out)
 
 

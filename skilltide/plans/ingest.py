@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions import text as X
-from ..functions.skills import clean_skills
-from ..operators.extract import Embedder, Extractor, with_embedding, with_extracted
+from ..operators.extract import (
+    Embedder,
+    Extractor,
+    with_clean_skills,
+    with_embedding,
+    with_extracted,
+)
 from ..schemas import POSTING
 from ..sources.pages import FieldSelectors, page_fields
 from ..vocabulary import CANONICAL_SKILLS, TECH_CAPITALIZATION
@@ -34,6 +39,7 @@ def build_postings(raw: DataFrame, *, extractor: Extractor | None = None,
         "_body", F.coalesce("job_description", F.lit(""))).withColumn(
         "_day", F.try_to_date("posted_date"))
     rows = with_extracted(rows, "_body", extractor, spellings=spellings)
+    rows = with_clean_skills(rows, "raw_skills", canonical, capitalization, out="_skills")
     rows = with_embedding(rows, "job_title", embedder, dim=vector_dim)
     bad_day = (F.coalesce("posted_date", F.lit("")) != "") & F.col("_day").isNull()
     error = (F.when(bad_day, "bad posted_date")
@@ -42,7 +48,7 @@ def build_postings(raw: DataFrame, *, extractor: Extractor | None = None,
     return rows.select(
         F.coalesce(ids.posting_id("job_url"), F.uuid()).alias("posting_id"),
         "job_title", "company",
-        clean_skills("raw_skills", canonical, capitalization).alias("skills"),
+        F.col("_skills").alias("skills"),
         X.seniority("job_title").alias("seniority"),
         X.posting_year("job_title", "_day").alias("posting_year"),
         F.col("_day").alias("posted_date"), "title_embedding",

@@ -20,15 +20,15 @@ def plan_queries(queries: DataFrame, title_map: DataFrame, *,
                  embed: Callable[[Column], Column] | None = None, mode: str = "auto"
                  ) -> DataFrame:
     """Resolved queries with their vector. mode 'auto' uses the title map where a query
-    resolves, 'legacy' never does."""
-    if mode not in ("auto", "legacy"):
+    resolves, 'legacy' never does, 'structured' leaves out queries that do not resolve."""
+    if mode not in ("auto", "legacy", "structured"):
         raise ValueError(f"unknown mode {mode!r}")
     plans = resolve_queries(queries, title_map)
     if embed is not None:
         plans = plans.withColumn("query_vector", embed(F.col("query_text")))
     if mode == "legacy":
         plans = plans.withColumn("mode", F.lit("fallback"))
-    return plans
+    return plans.filter(F.col("mode") == "structured") if mode == "structured" else plans
 
 
 def search_facts(postings: DataFrame, plans: DataFrame, *, dim: int,

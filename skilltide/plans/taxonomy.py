@@ -26,7 +26,7 @@ class TitleBackfill(NamedTuple):
     titles: DataFrame
 
 
-# A registry rides in a classifier's request, so it must stay a short list.
+# A registry rides in the request of a plugged classifier, so it must stay a short list there.
 MAX_REGISTRY = 10_000
 
 
@@ -42,9 +42,13 @@ def decide_titles(keys: DataFrame, title_map: DataFrame, families: DataFrame,
     """Classify each distinct key the map does not know, once."""
     unknown = keys.select("key").distinct().join(
         title_map.select(F.col("raw_title_norm").alias("key")), "key", "left_anti")
-    replies = cut_lineage(tax.classify_keys(
-        unknown, _names(tax.family_registry(families), "family"),
-        _names(tax.active_specs(vocabulary), "spec"), classifier))
+    if classifier is None:
+        replies = tax.classify_by_rules(unknown, families, tax.active_specs(vocabulary))
+    else:
+        replies = tax.classify_keys(
+            unknown, _names(tax.family_registry(families), "family"),
+            _names(tax.active_specs(vocabulary), "spec"), classifier)
+    replies = cut_lineage(replies)
     return tax.validate_replies(replies, families, vocabulary)
 
 

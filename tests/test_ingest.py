@@ -74,6 +74,23 @@ def test_gazetteer(spark):
     assert sorted(r.skill for r in joined.collect()) == got[0].s
 
 
+def test_large_vocabularies_and_long_spellings(spark):
+    five = "the very long skill name"
+    text = f"We use {five.title()}, Go and Python."
+    df = frame(spark, raw(job_description=text), raw(job_description=None))
+    names = ["go", "python", five]
+    canonical = {five: "five", "go": "golang"}
+    capitals = {"golang": "Go", "five": "Five"}
+    small = build_postings(df, spellings=names, canonical=canonical, capitalization=capitals)
+    filler = [f"filler {i}" for i in range(20_000)]
+    large = build_postings(df, spellings=names + filler, canonical=canonical | dict.fromkeys(filler, "x"),
+                           capitalization=capitals)
+    want = [["Five", "Go", "python"], []]
+    for built in (small, large):
+        assert [r.skills for r in built.orderBy(F.size("skills").desc()).collect()] == want
+        assert built.columns[:len(COLUMNS)] == COLUMNS
+
+
 PAGE = """<html><body><h1 class="x top-card-layout__title y"> Data &amp; AI <b>no</b></h1>
 <a class="topcard__org-name-link" href="/c"> Acme </a>
 <div class="show-more-less-html__markup z">One<br>two <ul><li>three</li><li> </li></ul><!-- c -->four

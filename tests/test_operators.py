@@ -314,6 +314,31 @@ def test_recommend_equals_greedy_cover(spark):
     assert got == {q: brute_cover(s, catalog) for q, s in asked}
 
 
+def test_subset_join_is_complete(spark):
+    rng = random.Random(9)
+    names = list("ABCDEFG")
+    catalog = [(i, rng.sample(names, rng.randint(0, 6))) for i in range(150)]
+    catalog += [(200 + i, ["B", "A"]) for i in range(9)] + [(300, None), (301, ["A", None])]
+    asked = [(i, rng.sample(names, rng.randint(2, 7))) for i in range(20)]
+    found = recommend.subset_join(
+        spark.createDataFrame(asked, "query_id int, skills array<string>"),
+        spark.createDataFrame([(i, s, 1.0) for i, s in catalog],
+                              "project_id int, skills array<string>, score double"))
+    want = {(q, i) for q, top in asked if len(top) >= 3 for i, s in catalog
+            if s is not None and set(s) <= set(top[:5])}
+    rows = [(r.query_id, r.project_id) for r in found.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+
+
+def test_top_k_beyond_the_group_limit(spark):
+    df = spark.range(0, 9_000, 1, 6).select((F.col("id") % 2).alias("g"), F.hash("id").alias("v"), "id")
+    order = [F.asc("v"), F.asc("id")]
+    got = scale.top_k_per_group(df, ["g"], order, 2_000, spread_on=["id"])
+    rows = sorted((r.g, r.v, r.id) for r in df.collect())
+    want = [r for g in (0, 1) for r in [x for x in rows if x[0] == g][:2_000]]
+    assert sorted((r.g, r.v, r.id) for r in got.collect()) == want and got.columns == df.columns
+
+
 def test_catalog_rows(spark):
     import uuid
     triples = spark.createDataFrame([("React", "go", "AWS", 30, 1.5), ("x", "y", "z", 26, 1.0)],

@@ -156,6 +156,31 @@ def test_validate_replies(spark):
     assert stored["valid"] == "old" and "garbage" not in stored and "five" in stored
 
 
+def test_rules_by_join_equal_the_column(spark):
+    keys = spark.createDataFrame([(k,) for k in (
+        "backend software developer", "", "nurse", "web  backend engineer", "ml ops web cloud data backend",
+        "head of very long family name of five words", None)], "key string")
+    families = ["engineer", "software engineer", "family name of five words", "nurse"]
+    specs = ["backend", "cloud", "data", "ml ops", "ops", "web"]
+    want = {r.key: r.reply for r in tax.classify_keys(keys, families, specs).collect()}
+    many = families + [f"family {i}" for i in range(20_000)]
+    for names in (families, many):
+        got = tax.classify_by_rules(
+            keys, spark.createDataFrame([(f,) for f in names], "family string"),
+            spark.createDataFrame([(s,) for s in specs], "spec string")).collect()
+        assert {r.key: r.reply for r in got} == want
+
+
+def test_replaced_specs(spark):
+    df = spark.createDataFrame([(["a", "b", "x", None, "y"],), (None,)], "s array<string>")
+    chain = df.select(tax.replace_specs("s", merge={"a": "b", "b": "c"}, reject=["x"])).collect()
+    assert [r[0] for r in chain] == [["c", None, "y"], None]
+    back = df.select(tax.replace_specs("s", merge={"b": "c", "a": "b"})).first()[0]
+    assert back == ["b", "c", "x", None, "y"]
+    many = {f"old{i}": "new" for i in range(2_000)} | {"y": "z"}
+    assert df.select(tax.replace_specs("s", merge=many)).first()[0][-1] == "z"
+
+
 def test_default_classifier(spark):
     got = tax.classify_keys(spark.createDataFrame([("backend software developer",), ("",),
                                                    ("nurse",)], "key string"),
