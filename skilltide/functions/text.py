@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterable, Sequence
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,7 +92,9 @@ def query_seniority_filter(c: Column | str) -> Column:
 
 @F.arrow_udf(T.StringType())
 def _nfkc(texts: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(texts, form="NFKC")
+    # Arrow's own kernel leaves composed letters apart under NFKC, so the values are composed here.
+    return pa.array([None if t is None else unicodedata.normalize("NFKC", t)
+                     for t in texts.to_pylist()], pa.string())
 
 
 def nfkc(c: Column | str) -> Column:
