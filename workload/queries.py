@@ -21,7 +21,7 @@ from skilltide.operators.vector_search import vector_search
 from skilltide.plans.ingest import build_postings
 from skilltide.plans.search import search
 from skilltide.plans.taxonomy import backfill_titles, title_tally
-from skilltide.sources import pages, tables
+from skilltide.sources import pages, postings, tables
 from skilltide.streaming.ingest import start_ingest
 
 from . import views as V
@@ -1116,17 +1116,21 @@ _SPACE = r"e' \t\n\r'"
 
 
 @query(fr"""
+SELECT *, CASE WHEN job_title = '' OR job_description = '' THEN 'missing title or description' END
+    AS error FROM (
 SELECT page_id, trim({_UNESCAPE.format("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')")},
                      {_SPACE}) AS job_title,
+       nullif(trim({_UNESCAPE.format("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")},
+                   {_SPACE}), '') AS company,
        array_to_string(list_filter(list_transform(regexp_split_to_array({_ARTICLE}, '<[^>]*>'),
            lambda x: trim({_UNESCAPE.format('x')}, {_SPACE})), lambda x: x <> ''), ' ')
            AS job_description
-FROM pages""")
+FROM pages)""")
 def page_fields(spark, sf):
-    chosen = pages.FieldSelectors(title=("h1", ""), company=("a", "no-such-class"),
+    chosen = pages.FieldSelectors(title=("h1", ""), company=("title", ""),
                                   description=("article", ""))
     return pages.page_fields(table(spark, sf, "pages"), selectors=chosen).select(
-        "page_id", "job_title", "job_description")
+        "page_id", "job_title", "company", "job_description", "error")
 
 
 @query(r"""
@@ -1187,11 +1191,47 @@ SELECT doc_id, {V.sql_uuid5(ids.URL_NAMESPACE, "'linkedin:' || (doc_id // 2)")}
 FROM documents"""
 
 
-@query(_SQL_BUILT)
+@query(f"""
+SELECT b.*, lang AS job_title, source AS company, skills,
+       CASE WHEN error IS NULL THEN '2026-01-15' END AS posted_date
+FROM ({_SQL_BUILT}) b JOIN documents USING (doc_id) JOIN ({_SQL_GRAMS}) USING (doc_id)""")
 def build_posting_rows(spark, sf):
     built = build_postings(_raw_documents(spark, sf), spellings=WORDS)
-    return built.select("doc_id", "posting_id", "content_hash", "seniority", "posting_year",
-                        "error")
+    return built.select("doc_id", "posting_id", "job_title", "company", joined("skills")
+                        .alias("skills"), "content_hash", "seniority", "posting_year",
+                        F.col("posted_date").cast("string").alias("posted_date"), "error")
+
+
+@query("""
+SELECT lang AS job_title, source AS company, md5(text) AS body,
+       'https://example.org/jobs/view/d-' || doc_id // 2 AS job_url,
+       CASE WHEN doc_id % 50 = 49 THEN 'soon' ELSE '2026-01-15' END AS posted_date,
+       CASE WHEN doc_id % 50 = 49 THEN 'soon' ELSE '2026-01-15' END AS day
+FROM documents""")
+def read_archive(spark, sf):
+    """Documents archived as JSON by day and read back."""
+    folder = _scratch(spark)
+    postings.write_postings(_raw_documents(spark, sf), folder)
+    good, _ = postings.split_readable(postings.read_postings(spark, folder, multi_line=False))
+    return good.select("job_title", "company", F.md5("job_description").alias("body"), "job_url",
+                       "posted_date", F.col("day").cast("string").alias("day"))
+
+
+@query("""
+SELECT CASE WHEN (doc_id % 7 = 0 OR coalesce(lang, '') = '')
+                 AND (doc_id % 3 = 0 OR coalesce(text, '') = '') THEN 'empty'
+            WHEN doc_id % 4 <> 1 THEN 'strong_match_candidate' ELSE 'weak_match_candidate' END
+           AS outcome, count(*) AS n FROM documents GROUP BY 1""")
+def empty_records(spark, sf):
+    """Dry run of the hash backfill; documents without title and body are empty records."""
+    docs = table(spark, sf, "documents")
+    url = F.concat(F.lit("https://example.org/jobs/view/doc-"), F.col("doc_id").cast("string"))
+    return backfill.match_candidates(backfill.prepare_files(docs.select(
+        F.col("doc_id").alias("seq"), F.when(F.col("doc_id") % 7 != 0, F.col("lang"))
+        .alias("job_title"), F.col("source").alias("company"),
+        F.when(F.col("doc_id") % 3 != 0, F.col("text")).alias("job_description"),
+        F.when(F.col("doc_id") % 4 != 1, url).alias("job_url"),
+        F.lit("2026-01-15").alias("posted_date"))))
 
 
 def _scratch(spark: SparkSession) -> str:
