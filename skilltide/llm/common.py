@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # What separates words: space and the ASCII controls 9 to 13 (also what bytes.split() splits at).
 WORD = r"[^\x20\x09-\x0D]+"
+# Bytes of an Arrow batch: rows alone do not bound it, as 10,000 long texts fill gigabytes.
+BATCH_BYTES = "4m"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +22,11 @@ def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that go to Python in bytes; a longer text is a batch by itself."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def map_texts(df: DataFrame, columns: list[str], schema: str,
               work: Callable[[], Callable[[list], tuple | None]]) -> DataFrame:
     """One output row for each input row, in Arrow batches.
@@ -28,6 +35,7 @@ def map_texts(df: DataFrame, columns: list[str], schema: str,
     tuple of output values. Values are taken out of a batch one row at a time, and results leave
     in small batches, so that memory holds one batch and not a partition.
     """
+    bounded_batches(df.sparkSession)
     out_schema = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

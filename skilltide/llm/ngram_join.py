@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skilltide.llm.common import arrow_schema
+from skilltide.llm.common import arrow_schema, bounded_batches
 from skilltide.llm.shingles import shingle_set
 from skilltide.operators.scale import cut_lineage
 
@@ -318,6 +318,7 @@ def _open(lists: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = 5,
                     percent: int = 80) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id that links reach, itself included)."""
+    bounded_batches(df.sparkSession)
     texts = df.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
     facts = cut_lineage(described(texts, width))
     docs = facts.filter("what = 0").select("_id", "node", "n", "classes")
