@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skilltide.llm.common import map_texts, text_or_empty
+from skilltide.llm.common import held, map_texts, text_or_empty
 from skilltide.llm.token_counts import Recent, byte_symbols
 from skilltide.operators.scale import cut_lineage
 
@@ -182,14 +182,9 @@ class TreeEncoder:
         return " ".join(self.as_tokens(data))
 
 
-_encoders: dict[str, TreeEncoder] = {}
-
-
 def encoder(path: str) -> TreeEncoder:
     """One per Python worker and file."""
-    if path not in _encoders:
-        _encoders[path] = TreeEncoder(path)
-    return _encoders[path]
+    return held(("bpe", path), lambda: TreeEncoder(path))
 
 
 def encode(df: DataFrame, tokenizer: str, *, id: str = "doc_id", text: str = "text",

@@ -13,6 +13,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 # Bytes of an Arrow batch: rows alone do not bound it, as 10,000 long texts fill gigabytes.
 BATCH_BYTES = "4m"
 
+_held: dict[tuple, object] = {}
+_asked: set[tuple] = set()
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -27,6 +30,23 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def held(key: tuple, make: Callable[[], object]):
+    """An object that later tasks of the same operator in this Python worker use again."""
+    _asked.add(key)
+    if key not in _held:
+        _held[key] = make()
+    return _held[key]
+
+
+def forget_others() -> None:
+    """Drop what this task did not ask for. Python workers are reused by the stages that follow, so
+    the vocabulary of one operator would else stay in memory beside the work of all later ones."""
+    for key in _held.keys() - _asked:
+        del _held[key]
+    _asked.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def map_texts(df: DataFrame, columns: list[str], schema: str,
               work: Callable[[], Callable[[list], tuple | None]]) -> DataFrame:
     """One output row for each input row, in Arrow batches.
@@ -40,6 +60,7 @@ def map_texts(df: DataFrame, columns: list[str], schema: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = work()
+        forget_others()
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)

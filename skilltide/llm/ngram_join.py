@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skilltide.llm.common import arrow_schema, bounded_batches
+from skilltide.llm.common import arrow_schema, bounded_batches, forget_others
 from skilltide.llm.shingles import shingle_set
 from skilltide.operators.scale import cut_lineage
 
@@ -75,6 +75,7 @@ def _batches(columns: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBat
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    forget_others()
     for batch in batches:
         for i in range(batch.num_rows):
             yield [c[i].as_py() for c in batch.columns]

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skilltide.llm.common import arrow_schema
+from skilltide.llm.common import arrow_schema, forget_others
 from skilltide.llm.shingles import OF_BYTE, mixed, powers
 from skilltide.operators.scale import cut_lineage
 
@@ -98,6 +98,7 @@ def _rows(schema: pa.Schema, columns: list[list[np.ndarray]]) -> pa.RecordBatch:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    forget_others()
     for batch in batches:
         for i in range(batch.num_rows):
             text = batch.column(1)[i].as_py()

@@ -25,7 +25,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from skilltide.llm.common import map_texts
+from skilltide.llm.common import held, map_texts
 
 # Fixed value: the pattern that cuts a text into pieces before the merges of byte-level BPE.
 PIECES = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -224,14 +224,9 @@ def _laid_out(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return inside + np.repeat(np.cumsum(totals) - totals, lengths), lengths
 
 
-_counters: dict[str, PrefixCounter] = {}
-
-
 def counter(path: str) -> PrefixCounter:
     """One per Python worker and file."""
-    if path not in _counters:
-        _counters[path] = PrefixCounter(path)
-    return _counters[path]
+    return held(("counts", path), lambda: PrefixCounter(path))
 
 
 def prefix_token_counts(df: DataFrame, tokenizer: str, *, id: str = "doc_id", text: str = "text",

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from skilltide.llm import common
 from skilltide.llm import (
     bpe, exact_dedup, language_id, line_quality, mixing, ngram_join, pii, secrets, shingles,
     suffix_dedup, token_counts,
@@ -352,3 +353,13 @@ def test_pipeline(spark, sf_dir):
         sizes.append(out.count())
         docs = out
     assert sizes[1] < sizes[0] and sizes[2] <= sizes[1] and sizes[4] == sizes[3] > 0
+
+
+def test_workers_keep_only_what_their_task_asks_for():
+    made = []
+    for task in (["a"], ["a"], ["b"], []):
+        for name in task:
+            common.held((name,), lambda name=name: made.append(name) or name)
+        common.forget_others()
+        assert [key[0] for key in common._held] == task
+    assert made == ["a", "b"]
