@@ -280,7 +280,11 @@ def _encode_giants(rows: DataFrame, tokenizer: str, kind: str, giant: int) -> Da
 
 
 def decode(df: DataFrame, tokenizer: str, *, id: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """Per row: id, ids and ``decoded``, the tokens with a space between."""
+    """Per row: id, ids and ``decoded``, the tokens with a space between.
+
+    The ids are written first: encoder and decoder in one task would be two Python workers at
+    once, and a lost decoder would encode again."""
+    df = cut_lineage(df.select(id, ids))
     kind = df.schema[id].dataType.simpleString()
 
     def work():
