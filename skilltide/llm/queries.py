@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skilltide.llm import (
     bpe, exact_dedup, language_id, line_quality, mixing, ngram_join, pii, secrets,
-    suffix_dedup, token_counts,
+    suffix_dedup, token_counts, whitening,
 )
 from skilltide.llm.common import documents
 
@@ -84,8 +84,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        "vec_id", whitening.quantised("embedding").alias("x"))
+    return whitening.whiten(vectors).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_join, op2_token_counts, op3_language_id, op4_exact_dedup, op5_mixing, op6_line_quality, op7_pii,
     op8_secrets,
-    op9_bpe, op10_suffix_dedup)}
+    op9_bpe, op10_suffix_dedup, op11_whitening)}
 ORACLES = {"op4_exact_dedup": OP4_SQL}
