@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skilltide.llm import (
-    bpe, exact_dedup, language_id, line_quality, mixing, ngram_join, pii, secrets,
+    bpe, conversation_repair, exact_dedup, language_id, license_scan, line_quality, mixing, ngram_join, pii, secrets,
     suffix_dedup, token_counts, whitening,
 )
 from skilltide.llm.common import documents
@@ -90,8 +90,46 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(vectors).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
 
 
+def repaired_damage(spoken: DataFrame) -> DataFrame:
+    """Damages rows by a checksum of their ids and repairs what is left, all conversations returned."""
+    written = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")]
+    hit = F.crc32(F.concat_ws(":", *written[:2])) % 20
+    role, text = (F.col(f"_{c}") for c in ("role", "text"))
+    damaged = (spoken.select("conv_id", "turn", written[2].alias("_role"), written[3].alias("_text"),
+                             hit.alias("_hit")).filter("_hit <> 0")
+               .select("conv_id", "turn", F.when(F.col("_hit") == 4, "user").otherwise(role).alias("role"),
+                       F.when(F.col("_hit") == 1, "").when(F.col("_hit") == 2, F.translate(text, ".!?", ""))
+                       .otherwise(text).alias("text"),
+                       F.explode(F.array_repeat(F.lit(0), F.when(F.col("_hit") == 3, 2).otherwise(1)))))
+    return conversation_repair.repair(damaged, also=spoken.select("conv_id")).digests()
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_damage(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def license_columns(scanned: DataFrame) -> DataFrame:
+    base = F.filter("spans", lambda s: s["base"] & (s["covered"] == s["length"]))
+    starts = F.transform(base, lambda s: s["start"].cast("bigint"))
+
+    def labels(spans: Column | str) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+
+    score = F.array_max(F.transform("spans", lambda s: s["covered"] / s["length"]))
+    return scanned.select(
+        "doc_id", "n_words", F.size(base).cast("bigint").alias("n_base"),
+        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"), labels("spans").alias("labels"),
+        F.coalesce(score, F.lit(0.0)).alias("score"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_columns(license_scan.license_spans(documents(spark, sf_dir)))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_join, op2_token_counts, op3_language_id, op4_exact_dedup, op5_mixing, op6_line_quality, op7_pii,
     op8_secrets,
-    op9_bpe, op10_suffix_dedup, op11_whitening)}
+    op9_bpe, op10_suffix_dedup, op11_whitening, op12_conversation_repair,
+    op13_license_scan)}
 ORACLES = {"op4_exact_dedup": OP4_SQL}
