@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import content_hash, posting_id
-from .keys import insert_flags
-from .scale import cut_lineage, ranked_in_group
+from .scale import cut_lineage, running_sums
 
 GROUP = ["company", "job_title", "posted_date"]
 
@@ -47,108 +46,132 @@ def match_candidates(files: DataFrame) -> DataFrame:
     return files.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 
-def _same_group(left: str, right: str) -> Column:
-    out = None
-    for name in GROUP:
-        one = F.col(f"{left}.{name}").eqNullSafe(F.col(f"{right}.{name}"))
-        out = one if out is None else out & one
-    return out
+def _round(files: DataFrame, rows: DataFrame, weak: DataFrame) -> DataFrame:
+    """Files left, with what is certain about them now: strong, weak, unmatched, demoted or open.
 
-
-def _weak_winners(files: DataFrame, room: DataFrame, taken: DataFrame) -> DataFrame:
-    """(seq, content_hash, group) of weak files that get a row, as if taken in file order.
-
-    A file gets a row when its hash is still free and its group has a row left. In each round a
-    file wins for certain when it is the first one left of its hash and no more files of its
-    group are left ahead of it than rows; hot groups thus advance by as many files as they have
-    rows. ``room`` is (group, room).
+    Weak files take the rows of their group from the least id on, so what counts is how many files
+    that come before may take a row of a group. ``files`` is (seq, p, h, g, tg): the row still
+    named, the hash, the own group and the row's group. ``rows`` (p, g) are the rows that no strong
+    file has taken, ``weak`` (seq, g) the files that certainly got one, whichever it is.
     """
-    left = cut_lineage(files.join(taken, "content_hash", "left_anti"))
-    winners = None
-    while True:
-        left = left.select("seq", "content_hash", *GROUP)
-        fitting = left.alias("f").join(room.filter("room > 0").alias("r"),
-                                       _same_group("f", "r")).select("f.*", "r.room")
-        fitting = cut_lineage(fitting)
-        if fitting.isEmpty():
-            break
-        first = fitting.groupBy("content_hash").agg(F.min("seq").alias("seq")).select(
-            "seq", F.lit(True).alias("first"))
-        ranked = ranked_in_group(fitting, GROUP, "seq")
-        won = cut_lineage(ranked.filter(F.col("rank") <= F.col("room")).join(first, "seq").select(
-            "seq", "content_hash", *GROUP))
-        winners = won if winners is None else winners.unionByName(won)
-        used = won.groupBy(*GROUP).agg(F.count("*").alias("used"))
-        room = cut_lineage(room.alias("r").join(used.alias("u"), _same_group("r", "u"), "left")
-                           .select(*[f"r.{c}" for c in GROUP],
-                                   (F.col("r.room") - F.coalesce("u.used", F.lit(0)))
-                                   .alias("room")))
-        left = fitting.join(won.select("seq"), "seq", "left_anti").join(
-            won.select("content_hash"), "content_hash", "left_anti")
-    return files.select("seq", "content_hash", *GROUP).limit(0) if winners is None else winners
+    strong = F.col("p").isNotNull()
+    first = files.groupBy("h").agg(F.min("seq").alias("lead_h"))
+    naming = files.filter(strong).groupBy("p").agg(F.min("seq").alias("lead_p"))
+    now = (files.join(first, "h").join(naming, "p", "left")
+           .withColumn("first_h", F.col("seq") == F.col("lead_h"))
+           .withColumn("first_p", F.coalesce(F.col("seq") == F.col("lead_p"), F.lit(False))))
+    now = cut_lineage(now.select("seq", "p", "h", "g", "tg", "first_h", "first_p"))
+    # Who may take a row of a group, and in which turn. Only files that fall through to it, or
+    # that name a row another one names before, take one by the order of the rows.
+    own = now.select("g", "seq", F.lit("own").alias("side"), F.lit(1).alias("u"), F.lit(0).alias("w"),
+                     (~(F.col("first_p") & (F.col("tg") == F.col("g")))).cast("int").alias("d"))
+    across = now.filter(F.col("tg") != F.col("g")).select(
+        F.col("tg").alias("g"), "seq", F.lit("across").alias("side"), F.lit(1).alias("u"),
+        F.lit(0).alias("w"), F.lit(0).alias("d"))
+    got = weak.select("g", "seq", F.lit("won").alias("side"), F.lit(0).alias("u"), F.lit(1).alias("w"),
+                      F.lit(0).alias("d"))
+    turns = cut_lineage(running_sums(
+        own.unionByName(across).unionByName(got), "g", ["seq", "side"],
+        {"files": F.col("u"), "won": F.col("w"), "loose": F.col("d")}).select(
+            "g", "seq", "side", "files", "won", "loose"))
+    places = running_sums(rows, "g", ["p"], {"place": F.lit(1)}).select("p", "place")
+    room = rows.groupBy("g").agg(F.count("*").alias("room"))
+    here = turns.filter("side = 'own'").select("seq", F.col("files").alias("files_g"),
+                                               F.col("won").alias("won_g"))
+    there = turns.filter("side <> 'won'").select("seq", F.col("g").alias("tg"), "files", "won", "loose")
+    judged = (now.join(here, "seq").join(there, ["seq", "tg"], "left").join(places, "p", "left")
+              .join(room, "g", "left").withColumn("room", F.coalesce("room", F.lit(0))))
+    safe = (F.col("files") + F.col("won") <= F.col("place")) | (
+        (F.col("loose") == 0) & (F.col("won") == 0))
+    verdict = (F.when(strong, F.when(F.col("won") > F.col("place"), "demoted")
+                      .when(F.col("first_h") & F.col("first_p") & safe, "strong"))
+               .when(F.col("won_g") >= F.col("room"), "unmatched")
+               .when(F.col("first_h") & (F.col("files_g") + F.col("won_g") < F.col("room")), "weak"))
+    return cut_lineage(judged.select("seq", "p", "h", "g", "tg",
+                                     F.coalesce(verdict, F.lit("open")).alias("verdict")))
+
+
+def _both(one: DataFrame | None, other: DataFrame) -> DataFrame:
+    return other if one is None else one.unionByName(other)
 
 
 def backfill_hashes(table: DataFrame, files: DataFrame) -> Backfill:
-    """Fill NULL content hashes from prepared files.
-
-    A strong match is the row with the file's posting id; files whose row is missing or already
-    has a hash try a weak one: a row of equal company, title and date, NULLs equal. Hashes stay
-    unique: a file whose target exists but whose hash is taken has 'collided', and it leaves its
-    row free. Files count in ``seq`` order; strong matches of all files come before weak ones,
-    so a weak file never takes the row that another file names by id.
+    """Fill NULL content hashes from prepared files, as if file after file in ``seq`` order.
+
+    A strong match is the row with the file's posting id; a file whose row is missing or has a hash
+    by its turn tries a weak one: the row of least id of equal company, title and date (NULLs equal)
+    without a hash. Hashes stay unique: a file whose target exists but whose hash is taken has
+    'collided', and it leaves its row free. A file without a target is 'unmatched'.
+
+    Solved in rounds. Each settles all files whose end is certain whatever the open files before
+    them do (see ``_round``), the first one left among them, and usually nearly all. A file whose
+    hash is taken disturbs nobody, so it is set aside; whether it had a target follows from the
+    claims in the end. Which row a weak file got follows from its rank. All counts are distributed
+    prefix sums, so neither a hot group nor a hot hash meets in one task.
     """
-    empty = table.filter(F.col("content_hash").isNull())
-    hashed = table.filter(F.col("content_hash").isNotNull()).select("posting_id", "content_hash")
-    ready = cut_lineage(files.filter(F.col("state") == "ready").drop("state"))
-
-    candidates = ready.filter(F.col("posting_id").isNotNull()).join(
-        empty.select("posting_id"), "posting_id", "left_semi")
-    flagged = cut_lineage(insert_flags(
-        candidates.select("seq", "posting_id", "content_hash"), hashed, arrival="seq"))
-    strong = flagged.filter("inserted").select("seq", "posting_id", "content_hash")
-    owners = strong.select("posting_id", F.col("seq").alias("owner"))
-    lost = flagged.filter(~F.col("inserted")).join(owners, "posting_id", "left").select(
-        "seq", (F.coalesce(F.col("owner") < F.col("seq"), F.lit(False))).alias("late"))
-
-    settled = strong.select("seq").unionByName(lost.filter(~F.col("late")).select("seq"))
-    weak = cut_lineage(ready.join(settled, "seq", "left_anti"))
-    free = empty.join(strong.select("posting_id"), "posting_id", "left_anti")
-    room = cut_lineage(free.groupBy(*GROUP).agg(F.count("*").alias("room")))
-    taken = hashed.select("content_hash").unionByName(strong.select("content_hash")).distinct()
-    won = _weak_winners(weak, room, taken)
-
-    order = F.xxhash64("posting_id").alias("spot")
-    rows = ranked_in_group(free.select("posting_id", *GROUP, order), GROUP, "spot",
-                           tie="posting_id")
-    takers = ranked_in_group(won, GROUP, "seq")
-    placed = takers.alias("t").join(
-        rows.alias("w"), _same_group("t", "w") & (F.col("t.rank") == F.col("w.rank"))).select(
-        "w.posting_id", "t.content_hash")
-
-    filled = strong.select("posting_id", "content_hash").unionByName(placed).select(
-        "posting_id", F.col("content_hash").alias("_filled"))
-    done = table.join(filled, "posting_id", "left").select(*[
-        F.coalesce("content_hash", "_filled").alias(c) if c == "content_hash" else F.col(c)
-        for c in table.columns])
-
-    ends = won.groupBy(*GROUP).agg(F.count("*").alias("wins"), F.max("seq").alias("last"))
-    limits = room.alias("r").join(ends.alias("e"), _same_group("r", "e"), "left").select(
-        *[f"r.{c}" for c in GROUP], "r.room", F.coalesce("e.wins", F.lit(0)).alias("wins"),
-        "e.last")
-    # A file that got nothing had a target unless its group was used up before its turn.
-    had_target = F.coalesce((F.col("l.wins") < F.col("l.room"))
-                            | (F.col("w.seq") < F.col("l.last")), F.lit(False))
-    weak_lost = weak.join(won.select("seq"), "seq", "left_anti").alias("w").join(
-        limits.alias("l"), _same_group("w", "l"), "left").select(
-        "w.seq", F.when(had_target, "collided").otherwise("unmatched").alias("outcome"))
+    group = F.to_json(F.struct(*GROUP))
+    rows = cut_lineage(table.filter(F.col("content_hash").isNull()).select(
+        F.col("posting_id").alias("p"), group.alias("g")))
+    ready = files.filter(F.col("state") == "ready").select(
+        "seq", F.col("posting_id").alias("p"), F.col("content_hash").alias("h"), group.alias("g"))
+    named = rows.select("p", F.col("g").alias("tg"))
+    ready = cut_lineage(ready.join(named, "p", "left").select(
+        "seq", F.when(F.col("tg").isNotNull(), F.col("p")).alias("p"), "h", "g", "tg"))
+    taken = table.filter(F.col("content_hash").isNotNull()).select(
+        F.col("content_hash").alias("h")).distinct()
+
+    aside = cut_lineage(ready.join(taken, "h", "left_semi").select("seq"))
+    left = ready.join(aside, "seq", "left_anti")
+    strong = weak = unmatched = None
+    free = rows
+    while not left.isEmpty():
+        judged = _round(left, free, ready.limit(0) if weak is None else weak)
+        won = judged.filter("verdict = 'strong'").select("seq", "p", "h", F.col("tg").alias("g"))
+        got = judged.filter("verdict = 'weak'").select("seq", "g", "h")
+        strong, weak = _both(strong, won), _both(weak, got)
+        unmatched = _both(unmatched, judged.filter("verdict = 'unmatched'").select("seq"))
+        free = cut_lineage(free.join(won.select("p"), "p", "left_anti"))
+        used = won.select("h").unionByName(got.select("h"))
+        rest = (judged.filter("verdict IN ('open', 'demoted')")
+                .join(won.select("p", F.lit(True).alias("gone")), "p", "left")
+                .join(used.withColumn("late", F.lit(True)), "h", "left"))
+        lost = F.coalesce("gone", F.col("verdict") == "demoted")
+        rest = cut_lineage(rest.select(
+            "seq", F.when(~lost, F.col("p")).alias("p"), "h", "g", F.when(~lost, F.col("tg")).alias("tg"),
+            F.coalesce("late", F.lit(False)).alias("late")))
+        aside = aside.unionByName(rest.filter("late").select("seq"))
+        left = rest.filter("NOT late").drop("late")
+    if strong is None:
+        strong, weak = ready.limit(0).select("seq", "p", "h", "g"), ready.limit(0).select("seq", "g", "h")
+        unmatched = ready.limit(0).select("seq")
+
+    takers = running_sums(weak, "g", ["seq"], {"rank": F.lit(1)})
+    places = running_sums(free, "g", ["p"], {"rank": F.lit(1)})
+    claims = cut_lineage(strong.select("seq", "p", "h", "g").unionByName(
+        takers.join(places, ["g", "rank"]).select("seq", "p", "h", "g")))
+    done = table.join(claims.select(F.col("p").alias("posting_id"), F.col("h").alias("_filled")),
+                      "posting_id", "left").select(*[
+                          F.coalesce("content_hash", "_filled").alias(c) if c == "content_hash"
+                          else F.col(c) for c in table.columns])
+
+    asked = ready.join(aside, "seq", "left_semi")
+    before = running_sums(
+        claims.select("g", "seq", F.lit(1).alias("n"))
+        .unionByName(asked.select("g", "seq", F.lit(0).alias("n"))), "g", ["seq"],
+        {"used": F.col("n")}).filter("n = 0").select("seq", "used")
+    room = rows.groupBy("g").agg(F.count("*").alias("room"))
+    target = (F.col("p").isNotNull() & F.coalesce(F.col("claimed") > F.col("seq"), F.lit(True))) | (
+        F.coalesce("room", F.lit(0)) > F.col("used"))
+    late = (asked.join(claims.select("p", F.col("seq").alias("claimed")), "p", "left")
+            .join(before, "seq").join(room, "g", "left")
+            .select("seq", F.when(target, "collided").otherwise("unmatched").alias("outcome")))
     outcomes = (strong.select("seq", F.lit("matched_strong").alias("outcome"))
-                .unionByName(lost.filter(~F.col("late")).select(
-                    "seq", F.lit("collided").alias("outcome")))
-                .unionByName(won.select("seq", F.lit("matched_weak").alias("outcome")))
-                .unionByName(weak_lost)
+                .unionByName(weak.select("seq", F.lit("matched_weak").alias("outcome")))
+                .unionByName(unmatched.select("seq", F.lit("unmatched").alias("outcome")))
+                .unionByName(late)
                 .unionByName(files.filter(F.col("state") != "ready").select(
                     "seq", F.col("state").alias("outcome"))))
-    return Backfill(done, outcomes)
+    return Backfill(done, cut_lineage(outcomes))
 
 
 def tally(outcomes: DataFrame, table: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import cycle
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +22,10 @@ def insert_flags(batch: DataFrame, existing: DataFrame | None = None, *,
 
     Solved in rounds: among the rows left, one that arrives first for both of its keys enters,
     and all rows sharing a key with it are out. A round is two partial aggregates and joins on
-    unique values, so a key held by a third of all rows costs no more than others, and it always
-    settles at least the first row left; usually one round settles nearly all.
+    unique values, so a key held by a third of all rows costs no more than others, and it usually
+    settles nearly all. What it leaves are rows that wait for one another; between two rounds,
+    chains of such rows are settled whole by pointer doubling (see ``_chains``), so a chain of
+    n rows takes about log2(n) joins.
     """
     left = batch.select(F.col(arrival).alias("a"), F.col(id_col).alias("p"),
                         F.col(hash_col).alias("h"))
@@ -36,24 +39,11 @@ def insert_flags(batch: DataFrame, existing: DataFrame | None = None, *,
         left = left.join(ids, "p", "left_anti").join(hashes, "h", "left_anti")
         left = cut_lineage(left.select("a", "p", "h"))
     entered = None
-    while not left.isEmpty():
-        by_id = left.groupBy("p").agg(F.min_by(F.struct("a", "h"), "a").alias("r")).select(
-            "p", "r.a", "r.h")
-        by_hash = left.filter(F.col("h").isNotNull()).groupBy("h").agg(
-            F.min("a").alias("a")).select("a", F.lit(True).alias("first_hash"))
-        won = by_id.join(by_hash, "a", "left").filter(
-            F.col("h").isNull() | F.col("first_hash")).select("a", "p", "h")
-        # Winners, and rows that share no key with one, in a single written step.
-        step = cut_lineage(
-            left.join(won.select("p", F.col("a").alias("winner")), "p", "left")
-            .join(won.filter(F.col("h").isNotNull()).select("h", F.lit(True).alias("used")),
-                  "h", "left")
-            .withColumn("won", F.coalesce(F.col("winner") == F.col("a"), F.lit(False)))
-            .filter(F.col("won") | (F.col("winner").isNull() & F.col("used").isNull()))
-            .select("a", "p", "h", "won"))
-        winners = step.filter("won").select("a")
+    for settle in cycle((_first_on_both, _chains)):
+        if left.isEmpty():
+            break
+        winners, left = settle(left)
         entered = winners if entered is None else entered.unionByName(winners)
-        left = step.filter(~F.col("won")).drop("won")
     if entered is None:
         return batch.withColumn("inserted", F.lit(False))
     # Mark the rows by whichever side is smaller. Mostly few rows are refused, and their keys
@@ -66,6 +56,76 @@ def insert_flags(batch: DataFrame, existing: DataFrame | None = None, *,
             .withColumn("inserted", ~hit if most else hit).drop("_marked"))
 
 
+def _first_on_both(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (a) that arrive first for both keys, and the rows (a, p, h) that share none with them."""
+    by_id = left.groupBy("p").agg(F.min_by(F.struct("a", "h"), "a").alias("r")).select(
+        "p", "r.a", "r.h")
+    by_hash = left.filter(F.col("h").isNotNull()).groupBy("h").agg(
+        F.min("a").alias("a")).select("a", F.lit(True).alias("first_hash"))
+    won = by_id.join(by_hash, "a", "left").filter(
+        F.col("h").isNull() | F.col("first_hash")).select("a", "p", "h")
+    # Winners, and rows that share no key with one, in a single written step.
+    step = cut_lineage(
+        left.join(won.select("p", F.col("a").alias("winner")), "p", "left")
+        .join(won.filter(F.col("h").isNotNull()).select("h", F.lit(True).alias("used")),
+              "h", "left")
+        .withColumn("won", F.coalesce(F.col("winner") == F.col("a"), F.lit(False)))
+        .filter(F.col("won") | (F.col("winner").isNull() & F.col("used").isNull()))
+        .select("a", "p", "h", "won"))
+    return step.filter("won").select("a"), step.filter(~F.col("won")).drop("won")
+
+
+def _chains(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same, for rows whose entry depends on one other row each.
+
+    A key is taken after the first of its rows that is also first for its other key, whether or
+    not that row enters; the key's later rows are out. A row that is first for one key and, of
+    the rows not out, second for the other enters exactly if the first row of that key does not:
+    a link with a negation. Links form chains, as a row is second for one key at most. Doubling
+    joins each link to the one it points at until all point to a row that is settled, or that
+    waits for two rows; what hangs on such a row is left for the next round.
+    """
+    hashed = F.col("h").isNotNull()
+    marked = cut_lineage(
+        left.join(left.groupBy("p").agg(F.min("a").alias("lead_p")), "p")
+        .join(left.filter(hashed).groupBy("h").agg(F.min("a").alias("lead_h")), "h", "left")
+        .withColumn("first_p", F.col("a") == F.col("lead_p"))
+        .withColumn("first_h", ~hashed | (F.col("a") == F.col("lead_h"))))
+    end_p = marked.filter("first_h").groupBy("p").agg(F.min("a").alias("end_p"))
+    end_h = marked.filter(hashed & F.col("first_p")).groupBy("h").agg(F.min("a").alias("end_h"))
+    still = cut_lineage(
+        marked.join(end_p, "p", "left").join(end_h, "h", "left")
+        .filter((F.col("a") <= F.coalesce("end_p", "a")) & (F.col("a") <= F.coalesce("end_h", "a")))
+        .select("a", "p", "h", "lead_p", "lead_h", "first_p", "first_h"))
+    sure = F.col("first_p") & F.col("first_h")
+    next_p = still.filter(~F.col("first_p")).groupBy("p").agg(F.min("a").alias("next_p"))
+    next_h = still.filter(~F.col("first_h")).groupBy("h").agg(F.min("a").alias("next_h"))
+    to = (F.when(F.col("first_p") & (F.col("a") == F.col("next_h")), F.col("lead_h"))
+          .when(F.col("first_h") & (F.col("a") == F.col("next_p")), F.col("lead_p")))
+    # kind: known (enters is set), link (enters = that of ``to``, flipped or not), or waiting.
+    kind = F.when(sure, "known").when(to.isNotNull(), "link").otherwise("waiting")
+    nodes = cut_lineage(
+        still.join(next_p, "p", "left").join(next_h, "h", "left")
+        .select("a", "p", "h", to.alias("to"), kind.alias("kind"), sure.alias("enters"),
+                F.lit(True).alias("flip")))
+    while not (links := nodes.filter("kind = 'link'")).isEmpty():
+        target = nodes.select(F.col("a").alias("to"), F.col("to").alias("to2"),
+                              F.col("kind").alias("kind2"), F.col("enters").alias("enters2"),
+                              F.col("flip").alias("flip2"))
+        # A row that is not among the nodes is out, which is known as well.
+        kind2, enters2 = F.coalesce("kind2", F.lit("known")), F.coalesce("enters2", F.lit(False))
+        stepped = links.join(target, "to", "left").select(
+            "a", "p", "h", F.col("to2").alias("to"), kind2.alias("kind"),
+            (enters2 != F.col("flip")).alias("enters"),
+            (F.col("flip") != F.coalesce("flip2", F.lit(False))).alias("flip"))
+        nodes = cut_lineage(nodes.filter("kind <> 'link'").unionByName(stepped))
+    won = nodes.filter("kind = 'known' AND enters")
+    waiting = nodes.filter("kind = 'waiting'").select("a", "p", "h")
+    rest = cut_lineage(waiting.join(won.select("p"), "p", "left_anti")
+                       .join(won.filter(hashed).select("h"), "h", "left_anti").select("a", "p", "h"))
+    return won.select("a"), rest
+
+
 def insert_rows(batch: DataFrame, existing: DataFrame | None = None, **names: str) -> DataFrame:
     """Only the rows that enter, in the shape of the batch."""
     return insert_flags(batch, existing, **names).filter("inserted").drop("inserted")

@@ -16,6 +16,8 @@ SMALL_K = 20
 # Beyond this k Spark has no group limit below the shuffle (its default threshold).
 GROUP_LIMIT = 1000
 DEFAULT_SALTS = 16
+# Rows of one range of a distributed prefix sum.
+RANGE_ROWS = 500_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -97,27 +99,37 @@ def first_per_key(df: DataFrame, key: Sequence[str], order: Column) -> DataFrame
     return df.groupBy(*key).agg(first).select(*key, "_first.*").select(*df.columns)
 
 
-def ranked_in_group(df: DataFrame, group: Sequence[str], order: str, *, tie: str | None = None,
-                    slices: int = 64, rank: str = "rank") -> DataFrame:
-    """Dense position 1..n inside every group without bringing a group into one task.
+def running_sums(df: DataFrame, group: str, order: Sequence[str], sums: dict[str, Column], *,
+                 rows_per_range: int = RANGE_ROWS) -> DataFrame:
+    """Add, under each name of ``sums``, the sum of its column over the rows before a row in its group.
 
-    ``order`` is a numeric column. Its quantiles cut every group into ``slices`` ranges;
-    ranges are counted (partial aggregate), and a row's rank is the rows of the ranges before
-    its own plus its place inside it.
+    Distributed prefix sums: rows are dealt out by ranges of (group, order), the number of ranges
+    follows the number of rows, each range is summed by itself and moved up by the totals of the
+    ranges before it. A hot group spans many ranges, so no task holds more than about one range of
+    it, plus one total a range. ``group`` is a column without NULLs; ``order`` must be total.
     """
-    shares = [i / slices for i in range(1, slices)]
-    bounds = df.agg(F.percentile_approx(order, shares).alias("b")).first()["b"] or []
-    bounds = sorted(set(bounds))
-    cuts = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<long>")
-    sliced = df.withColumn("_slice", F.size(F.filter(cuts, lambda b: b < F.col(order))))
-    before = (Window.partitionBy(*group).orderBy("_slice")
+    held = cut_lineage(df.select("*", *[c.cast("long").alias(f"_{n}") for n, c in sums.items()]))
+    ranges = max(1, -(-held.count() // rows_per_range))
+    placed = cut_lineage(held.repartitionByRange(ranges, group, *order)
+                         .withColumn("_range", F.spark_partition_id()))
+    totals = placed.groupBy(group, "_range").agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in sums])
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    moved = totals.select(group, "_range", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0))
+                                             .alias(f"_before_{n}") for n in sums])
+    inside = (Window.partitionBy(group, "_range").orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, -1))
-    counts = (sliced.groupBy(*group, "_slice").agg(F.count("*").alias("_n"))
-              .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
-    keys = [order] if tie is None else [order, tie]
-    inside = F.row_number().over(Window.partitionBy(*group, "_slice").orderBy(*keys))
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*group, "_slice"]]
-    placed = sliced.withColumn("_inside", inside)
-    return (placed.alias("l").join(counts.alias("r"), same)
-            .select(*[F.col(f"l.{c}") for c in df.columns],
-                    (F.col("r._before") + F.col("l._inside")).alias(rank)))
+    return (placed.select(*df.columns, "_range", *[
+                F.coalesce(F.sum(f"_{n}").over(inside), F.lit(0)).alias(f"_inside_{n}") for n in sums])
+            .join(moved, [group, "_range"])
+            .select(*df.columns, *[(F.col(f"_before_{n}") + F.col(f"_inside_{n}")).alias(n)
+                                   for n in sums]))
+
+
+def ranked_in_group(df: DataFrame, group: Sequence[str], order: str, *, tie: str | None = None,
+                    rows_per_range: int = RANGE_ROWS, rank: str = "rank") -> DataFrame:
+    """Dense position 1..n inside every group (NULLs are groups too) without bringing a group into
+    one task; rows with a NULL ``order`` come first."""
+    keyed = df.withColumn("_group", F.to_json(F.struct(*group)))
+    ranked = running_sums(keyed, "_group", [order] if tie is None else [order, tie],
+                          {"_rank": F.lit(1)}, rows_per_range=rows_per_range)
+    return ranked.select(*df.columns, (F.col("_rank") + 1).alias(rank))

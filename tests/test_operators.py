@@ -122,7 +122,7 @@ def test_top_k_and_rank(spark):
         want = sorted((-v, i) for gg, v, i in rows if gg == g)[:25]
         assert sorted((-r.v, r.i) for r in got.filter(F.col("g") == g).collect()) == want
     ranked = scale.ranked_in_group(df.withColumn("n", F.when(F.col("g") != 0, F.col("g"))),
-                                   ["n"], "i", slices=9).collect()
+                                   ["n"], "i", rows_per_range=50).collect()
     for g in (None, 1, 7):
         mine = sorted((r.i, r["rank"]) for r in ranked if r.n == g)
         assert [k for _, k in mine] == list(range(1, len(mine) + 1))
@@ -396,6 +396,41 @@ def test_double_key_random_and_replay(spark):
     assert keys.insert_rows(df, table).count() == 0
 
 
+@pytest.mark.parametrize("breaks", [0, 7])
+def test_double_key_chains(spark, monkeypatch, breaks):
+    """Each row shares its id with one neighbour and its hash with the other: few joins, not many."""
+    n, tables = 3000, []
+    rows = [(i, f"p{i // 2}", None if breaks and i % 97 == breaks else f"h{(i + 1) // 2}")
+            for i in range(n)]
+    df = spark.createDataFrame(rows, "arrival int, posting_id string, content_hash string")
+    cut = keys.cut_lineage
+    monkeypatch.setattr(keys, "cut_lineage", lambda frame: tables.append(1) or cut(frame))
+    got = keys.insert_rows(df.repartition(3))
+    assert sorted(r.arrival for r in got.collect()) == sequential_insert(rows)
+    assert len(tables) < 30
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_double_key_tangles(spark, seed):
+    """Few keys for many rows, so that rows wait for two others."""
+    rng = random.Random(seed)
+    rows = [(i, f"p{rng.randint(0, 25 + 10 * seed)}", f"h{rng.randint(0, 25 + 10 * seed)}")
+            for i in range(300)]
+    df = spark.createDataFrame(rows, "arrival int, posting_id string, content_hash string")
+    assert sorted(r.arrival for r in keys.insert_rows(df).collect()) == sequential_insert(rows)
+
+
+def test_running_sums(spark):
+    rng = random.Random(5)
+    rows = [("hot" if i % 3 else f"g{i % 11}", i, rng.randrange(5)) for i in range(700)]
+    df = spark.createDataFrame(rows, "g string, i int, v int").repartition(5)
+    got = scale.running_sums(df, "g", ["i"], {"before": F.col("v"), "n": F.lit(1)}, rows_per_range=60)
+    for r in got.collect():
+        own = [v for g, i, v in rows if g == r.g and i < r.i]
+        assert (r.before, r.n) == (sum(own), len(own))
+    assert len(got.columns) == 5 and got.count() == 700
+
+
 def test_hot_keys(spark):
     """A third of the rows share one id, another third one hash, and every title is the same."""
     n = 6000

@@ -289,47 +289,37 @@ def test_coverage(spark):
 
 
 def sequential_backfill(table, files):
-    """Strong matches of all files in order, then weak ones; rows of a group are alike."""
+    """One file after the other: its own row, or else the row of least id of its group."""
     hashes = {r["h"] for r in table if r["h"]}
-    rows = {r["p"]: dict(r) for r in table}
-    outcome, weak = {}, []
+    rows = {r["p"]: dict(r) for r in sorted(table, key=lambda r: r["p"])}
+    outcome = {}
     for f in files:
-        row = rows.get(f["p"])
-        if f["p"] and row and row["h"] is None:
-            if f["h"] in hashes:
-                outcome[f["seq"]] = "collided"
-            else:
-                row["h"] = f["h"]
-                hashes.add(f["h"])
-                outcome[f["seq"]] = "matched_strong"
-        else:
-            weak.append(f)
-    for f in weak:
-        free = [r for r in rows.values() if r["h"] is None and r["g"] == f["g"]]
-        if not free:
+        row, kind = rows.get(f["p"]), "matched_strong"
+        if row is None or row["h"] is not None:
+            row, kind = next((r for r in rows.values() if r["h"] is None and r["g"] == f["g"]),
+                             None), "matched_weak"
+        if row is None:
             outcome[f["seq"]] = "unmatched"
         elif f["h"] in hashes:
             outcome[f["seq"]] = "collided"
         else:
-            free[0]["h"] = f["h"]
+            row["h"] = f["h"]
             hashes.add(f["h"])
-            outcome[f["seq"]] = "matched_weak"
-    filled = {}
-    for r in rows.values():
-        filled.setdefault((r["g"], r["h"]), 0)
-        filled[r["g"], r["h"]] += 1
-    return outcome, filled
+            outcome[f["seq"]] = kind
+    return outcome, {r["p"]: r["h"] for r in rows.values()}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_hash_backfill_equals_the_sequential_rule(spark, seed):
+@pytest.mark.parametrize(("seed", "n", "hot"), [(1, 40, 0), (2, 40, 0), (3, 90, 0.8)])
+def test_hash_backfill_equals_the_sequential_rule(spark, seed, n, hot):
+    """Also with a group that most rows and files are in."""
     rng = random.Random(seed)
     groups = [("acme", "t", "2026-01-01"), (None, "t", None), ("b", "u", "2026-01-02")]
-    table = [{"p": f"p{i}", "h": f"h{i}" if rng.random() < 0.3 else None, "g": rng.choice(groups)}
-             for i in range(40)]
-    files = [{"seq": i, "p": rng.choice([None, f"p{rng.randint(0, 60)}"]),
-              "h": f"h{rng.randint(0, 50)}", "g": rng.choice(groups + [("none", "t", None)])}
-             for i in range(80)]
+    groups += groups[:1] * int(hot * 20)
+    table = [{"p": f"p{i:03d}", "h": f"h{i}" if rng.random() < 0.3 else None, "g": rng.choice(groups)}
+             for i in range(n)]
+    files = [{"seq": i, "p": rng.choice([None, f"p{rng.randint(0, n + 20):03d}"]),
+              "h": f"h{rng.randint(0, 2 * n)}", "g": rng.choice(groups + [("none", "t", None)])}
+             for i in range(2 * n)]
     shape = "posting_id string, content_hash string, company string, job_title string, d string"
     day = F.to_date("d").alias("posted_date")
     t = spark.createDataFrame([(r["p"], r["h"], *r["g"]) for r in table], shape).select(
@@ -340,14 +330,9 @@ def test_hash_backfill_equals_the_sequential_rule(spark, seed):
     got = backfill.backfill_hashes(t, f)
     want, filled = sequential_backfill(table, files)
     assert {r.seq: r.outcome for r in got.outcomes.collect()} == want
-    mine = {}
-    for r in got.table.collect():
-        key = ((r.company, r.job_title, r.posted_date.isoformat() if r.posted_date else None),
-               r.content_hash)
-        mine[key] = mine.get(key, 0) + 1
-    assert mine == filled
+    assert {r.posting_id: r.content_hash for r in got.table.collect()} == filled
     counts = {r.counter: r.n for r in backfill.tally(got.outcomes, got.table).collect()}
-    assert counts["rows"] == 40 and counts["rows_with_hash"] + counts["rows_still_null"] == 40
+    assert counts["rows"] == n and counts["rows_with_hash"] + counts["rows_still_null"] == n
 
 
 def test_prepare_files(spark):

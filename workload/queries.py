@@ -616,6 +616,25 @@ def dedup_first_wins(spark, sf):
     return keys.insert_rows(_keyed_documents(spark, sf)).select("arrival")
 
 
+@query("""
+SELECT o_orderkey AS arrival FROM (
+    SELECT o_orderkey, max(CASE WHEN o_orderkey = 0 OR (o_orderkey % 2 = 0 AND (h IS NULL OR before
+        IS NULL)) THEN o_orderkey END) OVER (ORDER BY o_orderkey) AS start
+    FROM (SELECT *, lag(h) OVER (ORDER BY o_orderkey) AS before FROM (
+        SELECT o_orderkey, CASE WHEN o_totalprice % 400 >= 1 THEN (o_orderkey + 1) // 2 END AS h
+        FROM orders)))
+WHERE (o_orderkey - start) % 2 = 0""")
+def insert_chain(spark, sf):
+    """Orders that each share the id with one neighbour and the hash with the other, so that every
+    row waits for the one before it; a few have no hash, which ends a chain."""
+    key = F.col("o_orderkey")
+    rows = table(spark, sf, "orders").select(
+        key.alias("arrival"), F.floor(key / 2).cast("string").alias("posting_id"),
+        F.when(F.col("o_totalprice") % 400 >= 1, F.floor((key + 1) / 2)).cast("string")
+        .alias("content_hash"))
+    return keys.insert_rows(rows).select("arrival")
+
+
 @query(f"""
 SELECT min(doc_id) AS arrival FROM documents GROUP BY {_SQL_NORM.format('lang')} || '|' ||
        {_SQL_NORM.format('text')}""")
@@ -1033,58 +1052,37 @@ def title_backfill(spark, sf):
 
 _SQL_BACKFILL = f"""
 WITH RECURSIVE docs AS MATERIALIZED (
-    SELECT doc_id, source || '/' || lang AS g, md5({_SQL_CONTENT}) AS h,
+    SELECT doc_id, source || '/' || lang AS g, {V.sql_uuid5(ids.URL_NAMESPACE, _SQL_CONTENT)} AS h,
            {V.sql_uuid5(ids.URL_NAMESPACE, "'linkedin:' || doc_id")} AS named,
            {V.sql_uuid5(ids.URL_NAMESPACE, "doc_id::VARCHAR")} AS other FROM documents),
 st AS MATERIALIZED (
     SELECT p, g, CASE WHEN p = min(p) OVER (PARTITION BY h) THEN h END AS h FROM (
         SELECT CASE WHEN doc_id % 2 = 0 THEN named ELSE other END AS p, g,
                CASE WHEN doc_id % 3 = 0 THEN h END AS h FROM docs WHERE doc_id % 5 <> 0)),
+room AS MATERIALIZED (SELECT g, list(p ORDER BY p) AS room FROM st WHERE h IS NULL GROUP BY g),
 files AS MATERIALIZED (
-    SELECT row_number() OVER (ORDER BY doc_id) AS i, d.g, d.h, st.p FROM docs d
-    LEFT JOIN st ON st.p = d.named AND st.h IS NULL AND doc_id % 4 <> 1),
+    SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id AS seq, d.h, st.p, room FROM docs d
+    LEFT JOIN st ON st.p = d.named AND st.h IS NULL AND doc_id % 4 <> 1
+    LEFT JOIN room ON room.g = d.g),
 run AS (
-    SELECT 0::BIGINT AS i, []::VARCHAR[] AS ps,
-           (SELECT list(h) FROM st WHERE h IS NOT NULL) AS hs, '' AS outcome
+    SELECT 0::BIGINT AS i, []::VARCHAR[] AS ps, (SELECT list(h) FROM st WHERE h IS NOT NULL) AS hs,
+           '' AS outcome, NULL::BIGINT AS seq, NULL::VARCHAR AS target, NULL::VARCHAR AS h
     UNION ALL
-    SELECT i, CASE WHEN outcome = 'matched_strong' THEN ps || [p] ELSE ps END,
-           CASE WHEN outcome = 'matched_strong' THEN hs || [h] ELSE hs END, outcome
-    FROM (SELECT f.i, f.p, f.h, ps, hs,
-                 CASE WHEN f.p IS NULL OR list_contains(ps, f.p) THEN 'weak'
-                      WHEN list_contains(hs, f.h) THEN 'collided' ELSE 'matched_strong' END
-                     AS outcome
-          FROM run JOIN files f ON f.i = run.i + 1)),
-strong AS MATERIALIZED (SELECT run.i, f.p, f.h, f.g, outcome FROM run JOIN files f ON f.i = run.i),
-room AS MATERIALIZED (
-    SELECT g, count(*) AS room FROM st WHERE h IS NULL AND p NOT IN (
-        SELECT p FROM strong WHERE outcome = 'matched_strong') GROUP BY g),
-weak AS MATERIALIZED (
-    SELECT row_number() OVER (ORDER BY i) AS i, s.g, h, coalesce(room, 0) AS room
-    FROM strong s LEFT JOIN room ON room.g = s.g WHERE outcome = 'weak'),
-run2 AS (
-    SELECT 0::BIGINT AS i, []::VARCHAR[] AS gs,
-           (SELECT list(h) FROM (SELECT h FROM st WHERE h IS NOT NULL UNION ALL
-                SELECT h FROM strong WHERE outcome = 'matched_strong')) AS hs, '' AS outcome
-    UNION ALL
-    SELECT i, CASE WHEN outcome = 'matched_weak' THEN gs || [g] ELSE gs END,
-           CASE WHEN outcome = 'matched_weak' THEN hs || [h] ELSE hs END, outcome
-    FROM (SELECT w.i, w.g, w.h, gs, hs,
-                 CASE WHEN len(list_filter(gs, lambda x: x = w.g)) >= w.room THEN 'unmatched'
-                      WHEN list_contains(hs, w.h) THEN 'collided' ELSE 'matched_weak' END
-                     AS outcome
-          FROM run2 JOIN weak w ON w.i = run2.i + 1)),
-ends AS MATERIALIZED (SELECT outcome FROM strong WHERE outcome <> 'weak'
-                      UNION ALL SELECT outcome FROM run2 WHERE i > 0),
+    SELECT i, CASE WHEN outcome LIKE 'matched%' THEN ps || [target] ELSE ps END,
+           CASE WHEN outcome LIKE 'matched%' THEN hs || [h] ELSE hs END, outcome, seq, target, h
+    FROM (SELECT *, CASE WHEN target IS NULL THEN 'unmatched'
+                         WHEN list_contains(hs, h) THEN 'collided'
+                         WHEN strong THEN 'matched_strong' ELSE 'matched_weak' END AS outcome
+          FROM (SELECT *, CASE WHEN strong THEN p ELSE list_filter(room, lambda x:
+                              NOT list_contains(ps, x))[1] END AS target
+                FROM (SELECT f.*, ps, hs, f.p IS NOT NULL AND NOT list_contains(ps, f.p) AS strong
+                      FROM run JOIN files f ON f.i = run.i + 1)))),
+ends AS MATERIALIZED (SELECT seq, outcome, target, h FROM run WHERE i > 0),
 filled AS (SELECT (SELECT count(h) FROM st) + (SELECT count(*) FROM ends
-                  WHERE outcome LIKE 'matched%') AS n)
-SELECT outcome AS counter, count(*) AS n FROM ends GROUP BY outcome
-UNION ALL SELECT 'rows', count(*) FROM st
-UNION ALL SELECT 'rows_with_hash', n FROM filled
-UNION ALL SELECT 'rows_still_null', (SELECT count(*) FROM st) - n FROM filled"""
+                  WHERE outcome LIKE 'matched%') AS n)"""
 
 
-@query(_SQL_BACKFILL)
-def backfill_hash(spark, sf):
+def _backfill(spark, sf):
     """Documents as stored rows (every third already hashed) and again as raw files."""
     docs = table(spark, sf, "documents")
     url = F.concat(F.lit("https://example.org/jobs/view/doc-"), F.col("doc_id").cast("string"))
@@ -1105,10 +1103,33 @@ def backfill_hash(spark, sf):
                                                F.lit(True).alias("first"))
     stored = cut_lineage(stored.join(first, ["posting_id", "content_hash"], "left").withColumn(
         "content_hash", F.when(F.col("first"), F.col("content_hash"))).drop("first"))
-    result = backfill.backfill_hashes(stored, backfill.prepare_files(raw))
+    return backfill.backfill_hashes(stored, backfill.prepare_files(raw))
+
+
+@query(_SQL_BACKFILL + """
+SELECT outcome AS counter, count(*) AS n FROM ends GROUP BY outcome
+UNION ALL SELECT 'rows', count(*) FROM st
+UNION ALL SELECT 'rows_with_hash', n FROM filled
+UNION ALL SELECT 'rows_still_null', (SELECT count(*) FROM st) - n FROM filled""")
+def backfill_hash(spark, sf):
+    result = _backfill(spark, sf)
     return backfill.tally(result.outcomes, result.table)
 
 
+@query(_SQL_BACKFILL + "\nSELECT seq, outcome FROM ends")
+def backfill_files(spark, sf):
+    """What became of every file, in file order."""
+    return _backfill(spark, sf).outcomes
+
+
+@query(_SQL_BACKFILL + """
+SELECT p AS posting_id, coalesce(st.h, e.h) AS content_hash FROM st
+LEFT JOIN ends e ON e.target = p AND outcome LIKE 'matched%'""")
+def backfill_rows(spark, sf):
+    """The stored rows with their hashes after the backfill."""
+    return _backfill(spark, sf).table.select("posting_id", "content_hash")
+
+
 _ARTICLE = r"regexp_extract(html, '<article>(.*?)</article>', 1, 's')"
 _UNESCAPE = ("replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', "
              "'\"'), '&amp;', '&')")
