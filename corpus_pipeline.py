@@ -2,51 +2,75 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a frame; it is written as Parquet and read again as
 the documents of the next one. All but the last return the columns of the documents.
+
+Stages that drop or repeat rows decide by the place of a row in its file, so null and repeated ids and
+columns of any name stay as they are, and only decisions are shuffled, never texts (skilltide.llm.rows).
+Tables that a stage's operator writes on its way are removed when its decisions are made. An empty
+table stays empty. Null texts have no language and go with the first stage; given to a later stage by
+itself, null and empty texts are one text for exact dedup, have no near copies, and are kept by the mix.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skilltide.llm import bpe, exact_dedup, language_id, mixing, ngram_join
 from skilltide.llm.common import documents
-from skilltide.operators.scale import cut_lineage
+from skilltide.llm.rows import repeated, with_places
+from skilltide.operators.scale import cut_lineage, only_result
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without any letter (or text), for which no language can be told."""
     model = language_id.train(docs.filter(~language_id.held_out()))
-    rest = [c for c in docs.columns if c != "doc_id"]
-    predicted = language_id.predict(docs.withColumnRenamed("lang_pred", "_lang_pred")
-                                    if "lang_pred" in rest else docs, model, carry=tuple(rest))
-    return predicted.filter("lang_pred <> 'und'").select(*docs.columns)
+    placed, key = with_places(docs)
+    told = language_id.predict(placed.select(F.col(key).alias("place"), "text"), model, id="place")
+    return repeated(placed, key, told.filter("lang_pred <> 'und'").select("place", F.lit(1).alias("copies")))
+
+
+def one_of_each(placed: DataFrame, key: str, groups: DataFrame) -> DataFrame:
+    """(place, copies): of every group (place, group) the row of the smallest id; null ids are last."""
+    ids = placed.select(F.col(key).alias("place"), "doc_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "place"))
+    return (groups.join(ids, "place").groupBy("group").agg(first.alias("first"))
+            .select(F.col("first.place").alias("place"), F.lit(1).alias("copies")))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of equal texts."""
-    found = exact_dedup.exact_duplicates(docs)
-    dropped = cut_lineage(found.filter("NOT kept").select("doc_id", F.col("text_sha256").alias("_sha")))
-    keyed = docs.withColumn("_sha", F.sha2(exact_dedup.normalised(), 256))
-    return keyed.join(dropped, ["doc_id", "_sha"], "left_anti").select(*docs.columns)
+    placed, key = with_places(docs)
+    groups = only_result(lambda: exact_dedup.exact_duplicates(placed, id=key).select(
+        F.col(key).alias("place"), F.col("keep_id").alias("group")))
+    return repeated(placed, key, one_of_each(placed, key, groups))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of every near-duplicate component."""
-    found = ngram_join.near_duplicates(docs)
-    dropped = cut_lineage(found.filter("component_id <> doc_id").select("doc_id"))
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    placed, key = with_places(docs)
+    groups = only_result(lambda: ngram_join.near_duplicates(placed, id=key).select(
+        F.col(key).alias("place"), F.col("component_id").alias("group")))
+    return repeated(placed, key, one_of_each(placed, key, groups))
+
+
+def identity() -> Column:
+    """Id and digest of the text: names a row alike in every run, wherever it is stored."""
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
+                       F.sha2(F.coalesce("text", F.lit("")), 256))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as the mix takes it, begun rounds counting whole: texts are
-    never cut. Documents that it does not take go."""
-    copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    taken = cut_lineage(mixing.mix(docs).select("doc_id", F.when(F.col("size") == 0, 1)
-                                                .otherwise(copies).alias("_copies")))
-    return (docs.join(taken.filter("_copies > 0"), "doc_id")
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns))
+    never cut. Documents that it does not take go, those without words stay. Rows of one id and text
+    are repeated alike."""
+    placed, key = with_places(docs)
+    rounds = F.when(F.col("size") == 0, 1).otherwise(F.ceil(F.col("taken") / F.col("size"))).cast("int")
+    named = placed.select(identity().alias("name"), "text", "source")
+    copies = only_result(lambda: mixing.mix(named, id="name").groupBy("name")
+                         .agg(F.max(rounds).alias("copies")))
+    places = placed.select(F.col(key).alias("place"), identity().alias("name"))
+    return repeated(placed, key, places.join(copies.filter("copies > 0"), "name").select("place", "copies"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,10 +42,34 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    for tables in _scopes:
+        tables.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Tables written since each enclosing call of ``only_result`` began.
+_scopes: list[list[str]] = []
+
+
+def only_result(make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns, written as a table; all tables it wrote on its way are removed."""
+    _scopes.append([])
+    spark, result = None, None
+    try:
+        result = cut_lineage(make())
+        spark = result.sparkSession
+        return result
+    finally:
+        tables = _scopes.pop()
+        if result is not None:
+            tables = tables[:-1]  # the last one is the result
+        spark = spark or SparkSession.getActiveSession()
+        for path in tables:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def fits(df: DataFrame, max_rows: int) -> bool:
     """Whether a frame has at most ``max_rows`` rows; stops reading beyond that."""
     return df.limit(max_rows + 1).count() <= max_rows
