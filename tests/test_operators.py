@@ -61,6 +61,19 @@ def test_trigram_self_pairs(spark):
     assert {(r.left_text, r.right_text) for r in got} == want and len(got) == len(want)
 
 
+def test_trigram_candidates_stay_near_the_results(spark, sf_dir):
+    """Whole texts at the lowest gate: nearly all texts of a language share some trigram."""
+    from skilltide.functions.text import title_key
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        title_key("text", rules=()).alias("t"))
+    texts = similarity._distinct_texts(docs, "t")
+    common = similarity._common_tokens(texts, 64)
+    pairs = similarity.candidate_pairs(texts, texts, 0.3, common, same=True).count()
+    sets = [grams(r.text) for r in texts.select("text").collect()]
+    results = sum(len(a & b) >= 0.3 * len(a | b) for a, b in itertools.combinations(sets, 2))
+    assert 0 < results <= pairs < 1.5 * results
+
+
 def corpus(spark, n=400, dim=8, seed=5):
     rng = np.random.default_rng(seed)
     base = rng.normal(size=(n // 4, dim))

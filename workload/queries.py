@@ -729,6 +729,31 @@ def trigram_pairs(spark, sf):
     return similarity.trigram_pairs(names, names, "t", "t", threshold=0.6, less_than=True)
 
 
+_SQL_KEY_PAIRS = r"""
+WITH k AS MATERIALIZED (SELECT DISTINCT title_key AS t FROM (
+    SELECT trim(regexp_replace(regexp_replace(regexp_replace(lower(split_part(
+             regexp_replace(nfc_normalize(text), '[\(\[][^\)\]]*[\)\]]', ' ', 'g'), '|', 1)),
+             '[^a-z0-9 &+/#-]', ' ', 'g'), '(^| )-+( |$)', ' ', 'g'), ' +', ' ', 'g')) AS title_key
+    FROM documents)),
+g AS MATERIALIZED (SELECT md5(t) AS t, {grams} AS g FROM k),
+u AS MATERIALIZED (SELECT t, len(g) AS n, unnest(g) AS x FROM g),
+c AS (SELECT a.t AS l, b.t AS r, a.n AS ln, b.n AS rn, count(*) AS shared
+      FROM u a JOIN u b ON a.x = b.x AND a.t < b.t GROUP BY ALL)
+SELECT l AS left_key, r AS right_key, shared::DOUBLE / (ln + rn - shared) AS similarity FROM c
+WHERE shared::DOUBLE / (ln + rn - shared) >= 0.6""".replace("{grams}", V.sql_trigrams("t"))
+
+
+@query(_SQL_KEY_PAIRS)
+def document_key_pairs(spark, sf):
+    """Similar title keys of whole texts: long sets that nearly all share some trigram."""
+    docs = table(spark, sf, "documents").select(
+        X.title_key("text", rules=()).alias("t"))
+    found = similarity.trigram_pairs(docs, docs, "t", "t", threshold=0.6, less_than=True)
+    left, right = F.md5("left_text"), F.md5("right_text")
+    return found.select(F.least(left, right).alias("left_key"), F.greatest(left, right).alias("right_key"),
+                        "similarity")
+
+
 # Taxonomy --------------------------------------------------------------------------------------
 
 def _typed_name() -> Column:
