@@ -2,8 +2,8 @@
 
 The corpus is scanned where it lies: no shuffle of vectors, no pairs. Every task multiplies its
 Arrow batches with the broadcast query block and keeps its own best rows; only those are
-shuffled. The query block is bounded: more queries are split by a hash of their id into blocks
-that fit, with one scan each.
+shuffled. The query block is bounded; queries that do not fit into one are joined as a table
+(see ``vector_join``), so that their number is not bounded by the driver.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions.vectors import round_vector
 from .scale import top_k_per_group
+from .vector_join import vector_join
 
 # A query block is at most this many vector cells (32 MB of doubles) on driver and executors,
 # and so many queries that a task holds no more than this many best rows at a time.
@@ -48,30 +49,22 @@ def _of_size(vector: str, dim: int) -> Column:
     return F.when(F.col(vector).isNull(), False).when(F.size(vector) == dim, True).otherwise(wrong)
 
 
-def _blocks(queries: DataFrame, dim: int, faceted: bool, k: int | None) -> Iterator[_Block]:
+def _block(queries: DataFrame, dim: int, faceted: bool, k: int | None) -> _Block | None:
+    """All queries as one block; None if they are more than a block may hold."""
     limit = max(1, min(MAX_BLOCK_CELLS // dim, MAX_TASK_ROWS // (k or 1)))
     columns = ["query_id", "query_vector"]
     columns += ["seniority_filter", "year_floor"] if faceted else []
-    queries = queries.select(*columns).filter(_of_size("query_vector", dim))
-    pending = [(0, 1)]
-    while pending:
-        part, parts = pending.pop()
-        slice_ = queries if parts == 1 else queries.filter(
-            F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
-        rows = slice_.limit(limit + 1).collect()
-        if len(rows) > limit:
-            pending += [(part, parts * 2), (part + parts, parts * 2)]
-            continue
-        if not rows:
-            continue
-        vectors = np.round(np.array([r["query_vector"] for r in rows], dtype=np.float64), 6)
-        lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
-        yield _Block(
-            [r["query_id"] for r in rows],
-            np.divide(vectors, lengths, out=np.zeros_like(vectors), where=lengths > 0),
-            np.array([r["seniority_filter"] if faceted else None for r in rows], dtype=object),
-            np.array([r["year_floor"] if faceted and r["year_floor"] is not None else np.nan
-                      for r in rows], dtype=np.float64))
+    rows = (queries.select(*columns).filter(_of_size("query_vector", dim)).limit(limit + 1).collect())
+    if len(rows) > limit:
+        return None
+    vectors = np.round(np.array([r["query_vector"] for r in rows], dtype=np.float64).reshape(-1, dim), 6)
+    lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return _Block(
+        [r["query_id"] for r in rows],
+        np.divide(vectors, lengths, out=np.zeros_like(vectors), where=lengths > 0),
+        np.array([r["seniority_filter"] if faceted else None for r in rows], dtype=object),
+        np.array([r["year_floor"] if faceted and r["year_floor"] is not None else np.nan
+                  for r in rows], dtype=np.float64))
 
 
 def _allowed(batch: pa.RecordBatch, block: _Block, part: slice) -> np.ndarray:
@@ -169,19 +162,20 @@ def vector_search(corpus: DataFrame, queries: DataFrame, *, dim: int, k: int | N
     """
     if k is None and floor is None:
         raise ValueError("give k or floor: all pairs are never formed")
-    scanned = [F.col(id_col).alias("posting_id"), round_vector(vector_col).alias("v")]
-    facets: Sequence[str] = ["seniority", "posting_year"] if faceted else []
-    rows = corpus.filter(_of_size(vector_col, dim)).select(*scanned, *facets)
     schema = T.StructType([
         T.StructField("query_id", queries.schema["query_id"].dataType),
         T.StructField("posting_id", corpus.schema[id_col].dataType),
         T.StructField("score", T.DoubleType())])
-    out = None
-    for block in _blocks(queries, dim, faceted, k):
-        part = _scan_block(rows, block, dim, k, floor, inclusive, faceted, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    block = _block(queries, dim, faceted, k)
+    if block is None:
+        return vector_join(corpus, queries, dim=dim, k=k, floor=floor, inclusive=inclusive,
+                           id_col=id_col, vector_col=vector_col, faceted=faceted)
+    if not block.ids:
         return corpus.sparkSession.createDataFrame([], schema)
+    scanned = [F.col(id_col).alias("posting_id"), round_vector(vector_col).alias("v")]
+    facets: Sequence[str] = ["seniority", "posting_year"] if faceted else []
+    rows = corpus.filter(_of_size(vector_col, dim)).select(*scanned, *facets)
+    out = _scan_block(rows, block, dim, k, floor, inclusive, faceted, schema)
     if k is None:
         return out
     return top_k_per_group(out, ["query_id"], [F.desc("score"), F.asc("posting_id")], k,

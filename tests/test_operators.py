@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from skilltide.functions.text import trigram_similarity
 from skilltide.operators import keys, mining, recommend, report, retrieval, scale, similarity
 from skilltide.operators.vector_search import vector_search
+from skilltide.operators import vector_join as join_module
 from skilltide.operators import vector_search as vector_module
 
 WORDS = "back end backend software engineer front data scientist senior ml cloud web".split()
@@ -142,6 +143,53 @@ def test_top_k_and_rank(spark):
     assert len(ranked) == 900
 
 
+@pytest.mark.parametrize("k,floor,tile", [(7, None, 16), (60, 0.2, 32), (None, 0.6, 8), (3, None, 4096)])
+def test_vector_join_is_exact(spark, monkeypatch, k, floor, tile):
+    for name, value in (("TILE_ROWS", tile), ("TILE_QUERIES", 3), ("TILES_PER_KEY", 2)):
+        monkeypatch.setattr(join_module, name, value)
+    rows, df = corpus(spark)
+    rows += [(f"same{i:03d}", rows[1][1], "unknown", 2024) for i in range(200)]  # a hot cluster of ties
+    rows.append(("zero", [0.0] * 8, "unknown", 2024))
+    df = spark.createDataFrame(rows, df.schema).repartition(5)
+    rng = np.random.default_rng(9)
+    queries = [(i, [float(x) for x in np.round(rng.normal(size=8), 6)],
+                [None, "senior", "intern"][i % 3], [None, 2023][i % 2]) for i in range(9)]
+    queries += [(20, rows[1][1], None, None), (21, rows[1][1], "senior", 2030)]
+    asked = spark.createDataFrame(
+        queries, "query_id int, query_vector array<double>, seniority_filter string, year_floor int")
+    got = join_module.vector_join(df, asked, dim=8, k=k, floor=floor).collect()
+    want = brute_vectors([r for r in rows if r[0] != "zero"], queries, k, floor)
+    for query_id, ids in want.items():
+        mine = sorted((-r.score, r.posting_id) for r in got if r.query_id == query_id)
+        assert [p for _, p in mine] == ids
+    assert len(got) == sum(map(len, want.values()))
+
+
+def test_vector_join_skips_clusters_and_empty_sides(spark, monkeypatch):
+    monkeypatch.setattr(join_module, "TILE_ROWS", 20)
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(20, 16))
+    rows = [(i, [float(x) for x in centers[i % 20] + rng.normal(size=16) * 0.02]) for i in range(800)]
+    df = spark.createDataFrame(rows, "vec_id int, v array<double>")
+    asked = df.select(F.col("vec_id").alias("query_id"), F.col("v").alias("query_vector"))
+    sent, routed = [], join_module._routed
+    monkeypatch.setattr(join_module, "_routed", lambda *a: sent.append(cut(routed(*a))) or sent[-1])
+    cut = scale.cut_lineage
+    got = join_module.vector_join(df, asked, dim=16, k=5, id_col="vec_id", vector_col="v", faceted=False)
+    mine = {(r.query_id, r.posting_id) for r in got.collect()}
+    m = np.round(np.array([v for _, v in rows]), 6)
+    scores = np.round((m / np.linalg.norm(m, axis=1)[:, None]) @ (m / np.linalg.norm(m, axis=1)[:, None]).T, 9)
+    for q in range(800):
+        best = sorted(range(800), key=lambda i: (-scores[q, i], i))[:5]
+        assert all((q, i) in mine for i in best)
+    pairs = sum(s.select(F.size("q_id").alias("n")).agg(F.sum("n")).first()[0] or 0 for s in sent)
+    assert len(mine) == 4000 and pairs < 800 * 6  # of 40 clusters each
+    none = df.limit(0)
+    for a, b in ((none, asked), (df, asked.limit(0))):
+        assert join_module.vector_join(a, b, dim=16, k=5, id_col="vec_id", vector_col="v",
+                                       faceted=False).count() == 0
+
+
 POSTINGS = "posting_id string, job_title string, skills array<string>, seniority string, " \
            "posting_year int, title_embedding array<double>"
 
@@ -506,4 +554,5 @@ def test_vectors_of_another_size_are_an_error(spark, query, posting):
                                      "posting_id string, title_embedding array<double>")
     queries = spark.createDataFrame([(1, query)], "query_id int, query_vector array<double>")
     with pytest.raises(Exception, match="needs 2 values"):
-        vector_search(postings, queries, dim=2, k=1, vector_col="title_embedding").collect()
+        vector_search(postings, queries, dim=2, k=1, vector_col="title_embedding",
+                      faceted=False).collect()

@@ -17,6 +17,7 @@ from skilltide.operators import backfill, extract, golden, keys, mining, recomme
 from skilltide.operators import resolve, retrieval, similarity
 from skilltide.operators import taxonomy as tax
 from skilltide.operators.scale import cut_lineage, ensure_checkpoint_dir, top_k_per_group
+from skilltide.operators.vector_join import vector_join
 from skilltide.operators.vector_search import vector_search
 from skilltide.plans.ingest import build_postings
 from skilltide.plans.search import search
@@ -232,6 +233,21 @@ def cosine_topk(spark, sf):
                          vector_col="embedding", faceted=False)
 
 
+@query("""
+SELECT query_id, posting_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, posting_id) AS rn
+    FROM (SELECT a.vec_id AS query_id, b.vec_id AS posting_id, round(list_cosine_similarity(
+                     list_transform(a.embedding, lambda x: round(x::DOUBLE, 6)),
+                     list_transform(b.embedding, lambda x: round(x::DOUBLE, 6))), 9) AS score
+          FROM embeddings a CROSS JOIN embeddings b)) WHERE rn <= 10""")
+def nearest_vectors(spark, sf):
+    """The ten nearest vectors of every vector: the queries are as many rows as the corpus."""
+    rows = table(spark, sf, "embeddings")
+    asked = rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return vector_join(rows, asked, dim=V.VECTOR_DIM, k=10, id_col="vec_id", vector_col="embedding",
+                       faceted=False)
+
+
 @query(f"""
 SELECT query_id, posting_id, s AS trgm_sim FROM (
     SELECT query_id, posting_id, s, row_number() OVER (
