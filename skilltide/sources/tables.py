@@ -6,6 +6,8 @@ never over the one being read; a version counts once its write has succeeded.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,27 @@ def read_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
     return spark.read.parquet(versions[-1]) if versions else None
 
 
+def pinned_snapshot(spark: SparkSession, root: str, pins: str, batch: int) -> DataFrame | None:
+    """The version of a snapshot table that belongs to a batch: the latest one when the batch was
+    first tried. The choice is written under ``pins`` by a rename, which happens once, so a
+    repeated batch sees the version of its first attempt whatever was published since."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    pin = hadoop.Path(f"{pins}/batch={batch:010d}")
+    fs = pin.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(pin):
+        versions = _finished(spark, f"{root}/version=*")
+        if not versions:
+            return None
+        draft = hadoop.Path(f"{pins}/_draft-{uuid.uuid4().hex}")
+        out = fs.create(draft, True)
+        out.write(bytearray(versions[-1].rsplit("/", 1)[1].encode()))
+        out.close()
+        if fs.exists(pin) or not fs.rename(draft, pin):
+            fs.delete(draft, False)
+    chosen = spark.read.text(str(pin.toString())).first()["value"]
+    return spark.read.parquet(f"{root}/{chosen}")
+
+
 def read_batches(spark: SparkSession, root: str, *, besides: int | None = None
                  ) -> DataFrame | None:
     """All finished batches of an appended table, optionally without one of them."""

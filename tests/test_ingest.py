@@ -10,6 +10,7 @@ from skilltide.operators import extract, mining, report
 from skilltide.plans.catalog import build_catalog
 from skilltide.plans.ingest import COLUMNS, build_postings, raw_from_pages, split_failures
 from skilltide.sources import pages, postings, tables
+from skilltide.sources.key_index import KeyIndex
 from skilltide.streaming.ingest import ingest_batch, start_ingest
 
 URL = "https://www.linkedin.com/jobs/view/senior-backend-engineer-4317707969?refId=x"
@@ -175,6 +176,70 @@ def test_stream_ingest(spark, tmp_path):
     assert tables.read_batches(spark, str(tmp_path / "table")).count() == 3
 
 
+def test_key_index_reads_only_what_a_batch_needs(spark, tmp_path):
+    index = KeyIndex(spark, str(tmp_path / "keys"), 32)
+    shape = "posting_id string, content_hash string"
+
+    def rows(low, high):
+        return spark.createDataFrame([(f"p{i}", f"h{i}" if i % 5 else None) for i in range(low, high)], shape)
+
+    assert not index.exists() and index.stored(rows(0, 3)) is None
+    for batch in range(6):
+        index.add(rows(100 * batch, 100 * batch + 100), batch)
+        found = index.stored(rows(7, 8))
+        assert len(found.inputFiles()) <= 2 * (batch + 1)  # two buckets, however many rows
+        assert found.filter("posting_id = 'p7'").count() == 1 == found.filter("content_hash = 'h7'").count()
+    index.add(rows(0, 10), 5)  # a repeated attempt replaces the earlier one
+    assert index.stored(rows(555, 556)) is None or index.stored(rows(555, 556)).filter(
+        "posting_id = 'p555'").count() == 0
+    assert index.stored(rows(7, 8), besides=0).filter("posting_id = 'p7'").count() == 1
+    for before in (3, 3, 5):
+        index.merge(before)
+        assert len(index.stored(rows(7, 8)).inputFiles()) <= 2 * (7 - before)
+    everything = index.stored(rows(0, 600))
+    assert {r[0] for r in everything.select("posting_id").dropna().collect()} == {f"p{i}" for i in range(500)}
+    assert everything.select("content_hash").dropna().count() >= 400
+
+
+def test_pinned_snapshot(spark, tmp_path):
+    root, pins = str(tmp_path / "titles"), str(tmp_path / "pins")
+    assert tables.pinned_snapshot(spark, root, pins, 0) is None
+    tables.write_snapshot(spark.range(1), root)
+    assert tables.pinned_snapshot(spark, root, pins, 0).count() == 1
+    tables.write_snapshot(spark.range(2), root)
+    assert tables.pinned_snapshot(spark, root, pins, 0).count() == 1
+    assert tables.pinned_snapshot(spark, root, pins, 1).count() == 2
+
+
+def test_stream_sees_the_pinned_dimension(spark, tmp_path):
+    inbox, root = tmp_path / "in", str(tmp_path / "titles")
+    inbox.mkdir()
+
+    def attach(rows, d):
+        return rows.join(d, "job_title", "left")
+
+    shape = "job_title string, canonical_title string"
+    tables.write_snapshot(spark.createDataFrame([("Senior Backend Engineer", "one")], shape), root)
+    put(inbox, "a.json", raw())
+    assert [r.canonical_title for r in run(spark, tmp_path, dimension=root, attach=attach).collect()] == ["one"]
+    tables.write_snapshot(spark.createDataFrame([("Senior Backend Engineer", "two")], shape), root)
+    put(inbox, "b.json", raw(job_url="https://x/w", job_description="New. Java."))
+    rows = run(spark, tmp_path, dimension=root, attach=attach)
+    assert sorted(r.canonical_title for r in rows.collect()) == ["one", "two"]
+
+
+def test_table_without_an_index(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    put(inbox, "a.json", raw())
+    first = run(spark, tmp_path)
+    tables.write_batch(first, str(tmp_path / "copy"), 0)
+    again = spark.read.schema(postings.READ_SCHEMA).json(str(inbox / "a.json")).withColumn(
+        "source_file", F.lit("g"))
+    ingest_batch(again, 1, table=str(tmp_path / "copy"), dead_letters=str(tmp_path / "dead2"))
+    assert tables.read_batches(spark, str(tmp_path / "copy")).count() == 1
+
+
 def test_snapshots(spark, tmp_path):
     root = str(tmp_path / "catalog")
     assert tables.read_snapshot(spark, root) is None

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextlib import suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,8 @@ from skilltide.plans.ingest import build_postings
 from skilltide.plans.search import search
 from skilltide.plans.taxonomy import backfill_titles, title_tally
 from skilltide.sources import pages, postings, tables
-from skilltide.streaming.ingest import start_ingest
+from skilltide.streaming.ingest import ingest_batch, start_ingest
+from skilltide.vocabulary import CANONICAL_SKILLS, TECH_CAPITALIZATION
 
 from . import views as V
 from .views import table, with_views
@@ -1327,6 +1329,143 @@ def ingest_stream(spark, sf):
         dead.select(none.alias("posting_id"), none.alias("content_hash"), "error"))
 
 
+@query(sql_first_wins(f"""
+    SELECT (doc_id % 3) * 1000000000 + doc_id AS arrival, (doc_id // 2)::VARCHAR AS p, {_SQL_CONTENT} AS h
+    FROM documents WHERE doc_id % 50 <> 49""") + f"""
+SELECT b.posting_id, b.content_hash, CASE WHEN doc_id % 3 < 2 THEN 'old ' || lang
+       WHEN lang IN ('en', 'de') THEN 'new ' || lang END AS canonical_title
+FROM ({_SQL_BUILT}) b JOIN documents USING (doc_id)
+JOIN entered ON arrival = (doc_id % 3) * 1000000000 + doc_id""")
+def replayed_ingest(spark, sf):
+    """Three batches of documents. The second is cut off before its rows are written, the title map
+    is published anew, and the batch is repeated: it sees the map of its first attempt, its rows are
+    there once, and the third batch sees the new map."""
+    folder = _scratch(spark)
+    raw = cut_lineage(_raw_documents(spark, sf).withColumn(
+        "source_file", F.format_string("%012d", "doc_id")).withColumn(
+        "_corrupt_record", F.lit(None).cast("string")))
+    old = raw.select("job_title").distinct().withColumn(
+        "canonical_title", F.concat(F.lit("old "), "job_title"))
+    new = (old.filter(F.col("job_title").isin("en", "de"))
+           .withColumn("canonical_title", F.concat(F.lit("new "), "job_title")))
+    paths = {"table": f"{folder}/table", "dead_letters": f"{folder}/dead"}
+
+    class Lost(Exception):
+        pass
+
+    def ingest(batch: int, lost: bool = False) -> None:
+        titles = tables.pinned_snapshot(spark, f"{folder}/titles", f"{folder}/pins", batch)
+
+        def attach(rows: DataFrame) -> DataFrame:
+            if lost:
+                raise Lost
+            return rows.join(titles, "job_title", "left")
+
+        ingest_batch(raw.filter(F.col("doc_id") % 3 == batch), batch, enrich=attach, key_buckets=8,
+                     build=lambda rows: build_postings(rows, spellings=WORDS), **paths)
+
+    tables.write_snapshot(old, f"{folder}/titles")
+    ingest(0)
+    with suppress(Lost):
+        ingest(1, lost=True)
+    tables.write_snapshot(new, f"{folder}/titles")
+    ingest(1)
+    ingest(1)
+    ingest(2)
+    return tables.read_batches(spark, f"{folder}/table").select(
+        "posting_id", "content_hash", "canonical_title")
+
+
+# Vocabularies and snapshots --------------------------------------------------------------------
+
+@query("""
+SELECT p_name AS raw_title_norm, min(p_type) AS role_family FROM part
+WHERE p_size % 3 <> 0 AND p_type <> 'PROMO' GROUP BY p_name""")
+def decided_snapshot(spark, sf):
+    """The decided titles after the title map was swapped for a newer version."""
+    folder = _scratch(spark)
+    part = table(spark, sf, "part").withColumn("keep", F.col("p_size") % 3 != 0)
+    for kept in (F.lit(True), F.col("keep")):
+        titles = part.filter(kept & (F.col("p_type") != "PROMO")).groupBy("p_name").agg(
+            F.min("p_type").alias("role_family"))
+        abstained = part.select("p_name").distinct().join(titles, "p_name", "left_anti").withColumn(
+            "role_family", F.lit(None).cast("string"))
+        tables.write_snapshot(titles.unionByName(abstained).select(
+            F.col("p_name").alias("raw_title_norm"), F.col("p_name").alias("canonical_title"), "role_family",
+            F.array().cast("array<string>").alias("specializations")), folder)
+    return resolve.decided_titles(tables.read_snapshot(spark, folder)).select(
+        "raw_title_norm", "role_family")
+
+
+def _sql_values(names) -> str:
+    return ", ".join("('" + n.replace("'", "''") + "')" for n in names)
+
+
+@query(f"""
+WITH stored AS (SELECT CASE WHEN w = 'ring' THEN 'data engineer' ELSE w END AS family, count(*) AS n
+                FROM (SELECT string_split(p_name, ' ')[2] AS w FROM part) GROUP BY 1)
+SELECT family, n AS posting_count FROM stored
+UNION ALL SELECT f, 0 FROM (VALUES {_sql_values(tables.SEED_FAMILIES)}) s(f)
+WHERE f NOT IN (SELECT family FROM stored)""")
+def seeded_families(spark, sf):
+    """Seed families enter a stored registry where it has no row of that name."""
+    family = F.when(V.last_word("p_name") == "ring", "data engineer").otherwise(V.last_word("p_name"))
+    stored = table(spark, sf, "part").groupBy(family.alias("family")).agg(
+        F.count("*").alias("posting_count")).select(
+        "family", F.lit(None).cast("string").alias("parent_family"), "posting_count",
+        F.current_timestamp().alias("created_at"))
+    return keys.insert_absent(stored, tables.seed_families(spark), ["family"]).select(
+        "family", "posting_count")
+
+
+_ALIASES = sorted({*CANONICAL_SKILLS, *TECH_CAPITALIZATION})
+
+
+def _sql_pairs(pairs) -> str:
+    quoted = [(k.replace("'", "''"), v.replace("'", "''")) for k, v in sorted(pairs.items())]
+    return ", ".join(f"('{k}', '{v}')" for k, v in quoted)
+
+
+@query(f"""
+WITH words AS (SELECT i - 1 AS i, s[i] AS w FROM (SELECT [{', '.join("'" + w + "'" for w in _ALIASES)}] AS s),
+               range(1, {len(_ALIASES) + 1}) t(i)),
+asked AS (SELECT p_partkey, regexp_replace(w, '[^a-z0-9 +#/]', '', 'g') AS w FROM part
+          JOIN words ON i IN (p_partkey % {len(_ALIASES)}, (p_partkey * 7 + p_size) % {len(_ALIASES)})),
+parts AS (SELECT p_partkey, trim(unnest(string_split(w, '/'))) AS w FROM asked),
+named AS (SELECT p_partkey, coalesce(c.v, w) AS w FROM parts LEFT JOIN
+          (VALUES {_sql_pairs(CANONICAL_SKILLS)}) c(k, v) ON c.k = w),
+shown AS (SELECT DISTINCT p_partkey, coalesce(t.v, w) AS w FROM named LEFT JOIN
+          (VALUES {_sql_pairs(TECH_CAPITALIZATION)}) t(k, v) ON t.k = w)
+SELECT p_partkey, string_agg(w, '|' ORDER BY w) AS skills FROM shown GROUP BY p_partkey""")
+def alias_skills(spark, sf):
+    """Spellings of the real alias tables, two a part in capitals, to their skills; the tables are
+    joined as data."""
+    spellings = F.array(*[F.lit(w) for w in _ALIASES])
+    n = len(_ALIASES)
+    picked = F.array(F.get(spellings, (F.col("p_partkey") % n).cast("int")),
+                     F.get(spellings, ((F.col("p_partkey") * 7 + F.col("p_size")) % n).cast("int")))
+    raw = table(spark, sf, "part").select("p_partkey", F.explode(F.array_distinct(picked)).alias("raw"))
+    named = raw.select("p_partkey", F.explode(skills.bare_skills(F.upper("raw"))).alias("spelling"))
+    for aliases in tables.alias_tables(spark):
+        named = named.join(aliases, "spelling", "left").select(
+            "p_partkey", F.coalesce("skill", "spelling").alias("spelling"))
+    return named.groupBy("p_partkey").agg(
+        joined(F.array_sort(F.collect_set("spelling"))).alias("skills"))
+
+
+@query("""
+SELECT query_id, posting_id, combined FROM (
+    SELECT query_id, posting_id, combined, row_number() OVER (
+        PARTITION BY query_id ORDER BY combined DESC, posting_id) AS rn FROM hybrid) WHERE rn <= 7""",
+       ("hybrid",))
+def match_limit(spark, sf):
+    """Pools above the match limit, so that it cuts the merged set of every query."""
+    rows = V.stored_postings(spark, sf, skills=False)
+    few = retrieval.HybridSettings(match_limit=7)
+    return retrieval.hybrid_scores(rows, V.asked(spark, sf), dim=V.VECTOR_DIM, settings=few).select(
+        "query_id", "posting_id", "combined")
+
+
 # Expectations ----------------------------------------------------------------------------------
 
 @query("""
