@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from .retrieval import queries_from_text
+from .scale import salted_join
 from .similarity import best_match, trigram_pairs
 
 # Fixed value: least similarity at which a misspelled key is accepted.
@@ -55,7 +56,7 @@ def resolve_queries(raw: DataFrame, title_map: DataFrame, *, text: str = "text",
     missed = exact.filter(F.col("role_family").isNull()).select("key")
     near = fuzzy_lookup(missed, title_map, floor=floor).select(
         "key", *DECISION, F.lit("fuzzy").alias("step"))
-    plans = asked.join(hit.unionByName(near), "key", "left")
+    plans = salted_join(asked, hit.unionByName(near), "key", "left", spread_on=[text])
     return (plans.withColumn("step", F.coalesce("step", F.lit("fallback")))
             .withColumn("mode", F.when(F.col("role_family").isNotNull(), "structured")
                         .otherwise("fallback"))

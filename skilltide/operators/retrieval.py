@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..schemas import with_taxonomy_defaults
-from .scale import cut_lineage, top_k_per_group
+from .scale import cut_lineage, salted_join, top_k_per_group
 from .similarity import SIMILARITY_GATE, trigram_pairs
 from .vector_search import SCORE_DECIMALS, vector_search
 
@@ -152,12 +152,14 @@ def hybrid_match(postings: DataFrame, queries: DataFrame, *, dim: int,
 
 
 def structured_primary(postings: DataFrame, queries: DataFrame) -> DataFrame:
-    """Postings of the query's family that carry all its specializations. No relevance floor."""
+    """Postings of the query's family that carry all its specializations. No relevance floor. A
+    family that a third of all postings have is dealt over many tasks."""
     asked = queries.select(
         "query_id", F.col("role_family"), F.col("specializations").alias("wanted"),
         "seniority_filter", "year_floor")
     rows = with_taxonomy_defaults(postings)
-    return (rows.filter(F.col("role_family").isNotNull()).join(asked, "role_family")
+    placed = rows.filter(F.col("role_family").isNotNull())
+    return (salted_join(placed, asked, "role_family", spread_on=["posting_id"])
             .filter(contains_all("specializations", "wanted") & _facets())
             .select("query_id", "posting_id", "job_title", "canonical_title", "skills"))
 

@@ -16,6 +16,8 @@ SMALL_K = 20
 # Beyond this k Spark has no group limit below the shuffle (its default threshold).
 GROUP_LIMIT = 1000
 DEFAULT_SALTS = 16
+# A key with more than 1/SLICES of the rows is hot.
+SLICES = 64
 # Rows of one range of a distributed prefix sum.
 RANGE_ROWS = 500_000
 
@@ -123,6 +125,30 @@ def first_per_key(df: DataFrame, key: Sequence[str], order: Column) -> DataFrame
     return df.groupBy(*key).agg(first).select(*key, "_first.*").select(*df.columns)
 
 
+def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", *,
+                spread_on: Sequence[str]) -> DataFrame:
+    """Equi-join on ``key`` in which a hot key of ``left`` is dealt over many tasks.
+
+    A sketch of the heavy hitters, of bounded size, names the keys with more than a share of 1/SLICES
+    of the rows. Rows of such a key get one of as many salts as it has shares, by a hash of
+    ``spread_on``, and the rows of ``right`` under it are repeated for each salt. ``how`` is inner,
+    left or left_semi. A key that the sketch misses or overrates changes the work, not the rows.
+    """
+    counts = left.select(F.count(key).alias("n"), F.expr(f"approx_top_k(`{key}`, {SLICES}, {8 * SLICES})")
+                         .alias("top")).first()
+    hot = {r["item"]: -(-r["count"] * SLICES // counts["n"]) for r in counts["top"] or []
+           if r["item"] is not None and r["count"] * SLICES > counts["n"]}
+    hot = {k: n for k, n in hot.items() if n > 1}
+    if not hot:
+        return left.join(right, key, how)
+    kind = left.schema[key].dataType
+    salts = F.coalesce(F.create_map(*[x for k, n in hot.items() for x in (
+        F.lit(k).cast(kind), F.lit(int(n)))])[F.col(key)], F.lit(1))
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*spread_on), salts).cast("int"))
+    every = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), (salts - 1).cast("int"))))
+    return dealt.join(every, [key, "_salt"], how).drop("_salt")
+
+
 def running_sums(df: DataFrame, group: str, order: Sequence[str], sums: dict[str, Column], *,
                  rows_per_range: int = RANGE_ROWS) -> DataFrame:
     """Add, under each name of ``sums``, the sum of its column over the rows before a row in its group.

@@ -481,6 +481,19 @@ def test_double_key_tangles(spark, seed):
     assert sorted(r.arrival for r in keys.insert_rows(df).collect()) == sequential_insert(rows)
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_salted_join(spark, how):
+    """A key with a third of the rows, one that only this side has, and NULLs."""
+    rows = [("hot" if i % 3 == 0 else None if i % 50 == 7 else f"k{i % 40}", i) for i in range(3000)]
+    left = spark.createDataFrame(rows, "k string, i int").repartition(5)
+    right = spark.createDataFrame([("hot", "a"), ("hot", "b"), ("k3", "c"), (None, "d")], "k string, v string")
+    got = scale.salted_join(left, right, "k", how, spread_on=["i"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, left.join(right, "k", how).collect()))
+    hot = (scale.salted_join(left, right.hint("merge"), "k", how, spread_on=["i"]).filter("k = 'hot'")
+           .groupBy(F.xxhash64("i") % 64).count().count())
+    assert hot > 20
+
+
 def test_running_sums(spark):
     rng = random.Random(5)
     rows = [("hot" if i % 3 else f"g{i % 11}", i, rng.randrange(5)) for i in range(700)]
