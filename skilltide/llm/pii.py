@@ -4,16 +4,22 @@ Detected are e-mail addresses, phone numbers, IPv4 addresses, payment cards (16
 social security numbers, IBANs and names behind a form of address. An entity's key is its value without
 format (lower case, digits only), so all spellings of one entity get one surrogate everywhere.
 
+A name is replaced word by word, the last word as a family name without gender, the first by the gender
+that a form of address tells anywhere in the document. So "Mr John Smith", "Dr John Smith" and "Mr Smith"
+share their surrogates. Within a document, family names that such a name introduced are also replaced
+where they stand alone behind it, and the whole name where it stands without a form of address.
+
 A surrogate is made from a keyed hash (HMAC) of type and key: digits stay digits at the same places,
 letters stay letters of their script and case, addresses stay valid addresses, a card that passes the
 Luhn check still does, and a name stays a name of its script and gender.
 
 Two entities must not meet in one surrogate, and no surrogate may be an entity of the corpus. All
 different entities are brought together with their surrogates in Spark; of those that collide all but
-the first are drawn again (``attempt``) until none collide. A format with so few values that this
-does not end (``MAX_DRAWS``) is an error; after ``AVOID_DRAWS`` draws real values are allowed. The redrawn ones, a small share, are joined
-to the documents that hold them; all others are made again from the key alone in the second scan, so
-no table of entities is broadcast.
+the first are drawn again (``attempt``) until none collide. Names grow by a syllable with each draw, so
+they never run out; a format of digits with nearly all values in use (``MAX_DRAWS``) is an error, and
+after ``AVOID_DRAWS`` draws real values are allowed. The redrawn ones, a small share, are broadcast up to
+``MAX_BROADCAST`` rows and else joined to the documents that hold them; all others are made again from
+the key alone in the second scan. All patterns take time in proportion to the text.
 
 Null texts stay null. Rows with null or repeated ids are treated like all others; further columns are
 not read.
@@ -22,6 +28,7 @@ not read.
 from __future__ import annotations
 
 import hmac
+import re
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -31,11 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skilltide.llm.common import arrow_schema
+from skilltide.llm.common import arrow_schema, bounded_batches
 from skilltide.operators.scale import cut_lineage
 
 AVOID_DRAWS = 8
 MAX_DRAWS = 40
+# Redrawn entities up to this many are broadcast (some 20 MB).
+MAX_BROADCAST = 200_000
+# Syllables of the first draw of a name's word.
+SYLLABLES_FIRST = 5
 
 # Forms of address by the gender they tell.
 MALE = ("Mr", "Herr", "Sr", "Señor", "Monsieur", "Don", "господин")
@@ -43,10 +54,8 @@ FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Sra", "Señora", "Mme", "Madame", "Doña
 OPEN = ("Dr", "Prof", "Dra")
 TITLES = "|".join(sorted((*MALE, *FEMALE, *OPEN), key=len, reverse=True))
 
-# The first of these that matches at a place tells the type.
+# The first of these that matches at a place tells the type; addresses with an @ come before them.
 TYPES = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
-             r"(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)",
     "iban": r"\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![\d-])\d{4}(?:[ -]?\d{4}){3}(?![\d-]*\d)|(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-]*\d)",
@@ -56,7 +65,11 @@ TYPES = {
              r"|(?<![\w.+-])\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)",
     "name": rf"(?<=\b(?:{TITLES})\.?[ ])\p{{Lu}}[\p{{Ll}}\p{{Lu}}'’-]+(?:[ ]\p{{Lu}}[\p{{Ll}}'’-]+)?",
 }
+LOCAL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*+")
+DOMAIN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
+RUN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@")
 ENTITY = regex.compile("|".join(f"(?P<{k}>{p})" for k, p in TYPES.items()))
+CAPITALIZED = regex.compile(r"(?<![\p{L}\p{N}_])\p{Lu}[\p{L}'’-]+")
 HINT = regex.compile(rf"[@\d]|\b(?:{TITLES})\b")
 SYLLABLES = {
     "latin": ("ba be bi bo da de di do fa fe ga ge ka ke ki la le li lo lu ma me mi mo na ne ni no "
@@ -87,19 +100,52 @@ def gender_of(text: str, start: int) -> str:
     return "m" if word in MALE else "f" if word in FEMALE else "o"
 
 
-def entities(text: str) -> Iterator[tuple[int, int, str, str]]:
+def matches(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, type), left to right: at each place an e-mail address, else the other types.
+
+    Addresses are found from their @, so that long runs without one are passed once."""
+    at, other = 0, None
+    done = False
+    for run in RUN.finditer(text):
+        sign = run.end() - 1
+        domain = DOMAIN.match(text, sign + 1)
+        if domain is None:
+            continue
+        while True:
+            first = LOCAL.search(text, max(at, run.start()), sign)
+            if not done and (other is None or other.start() < at):
+                other = ENTITY.search(text, at)
+                done = other is None
+            if first is not None and (done or first.start() <= other.start()):
+                yield first.start(), domain.end(), "email"
+                at = domain.end()
+                break
+            if done or other.start() >= sign:
+                break
+            yield other.start(), other.end(), other.lastgroup
+            at = other.end()
+            if at > sign:
+                break
+    for other in ENTITY.finditer(text, at):
+        yield other.start(), other.end(), other.lastgroup
+
+
+def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, key) of all entities, left to right without overlap."""
     if HINT.search(text) is None:
-        return
-    for match in ENTITY.finditer(text):
-        kind, value = match.lastgroup, match[0]
+        return []
+    found, names = [], []
+    for start, end, kind in matches(text):
+        value = text[start:end]
+        if kind == "name":
+            end -= 2 * value.endswith(("'s", "’s"))
+            names.append((start, end, gender_of(text, start)))
+            continue
         if kind == "card":
             digits = regex.sub(r"\D", "", value)
             if len(digits) != 16 and not luhn(digits):
                 continue
             key = digits
-        elif kind == "name":
-            key = f"{gender_of(text, match.start())}:{value.lower()}"
         elif kind == "phone":  # the country code, which stays, and the rest
             code = regex.match(r"\+(\d{1,3})\D", value)
             rest = regex.sub(r"\D", "", value[code.end(1):] if code else value)
@@ -108,7 +154,53 @@ def entities(text: str) -> Iterator[tuple[int, int, str, str]]:
             key = regex.sub(r"\D", "", value)
         else:
             key = value.replace(" ", "").lower()
-        yield match.start(), match.end(), kind, key
+        found.append((start, end, kind, key))
+    if not names:
+        return found
+    return sorted([*found, *_named(text, names, found)])
+
+
+def _named(text: str, names: list[tuple[int, int, str]], others: list) -> list[tuple[int, int, str, str]]:
+    """Names behind a form of address, and later mentions of them without one."""
+    genders, families = {}, {}
+    for start, end, gender in names:
+        *first, family = text[start:end].split(" ")
+        if family not in (*MALE, *FEMALE, *OPEN):
+            families.setdefault(family, set()).update(first)
+        if first and gender != "o":
+            genders.setdefault(first[0].lower(), gender)
+
+    def key(words: str) -> str:
+        *first, family = words.split(" ")
+        return " ".join([f"{genders.get(w.lower(), 'o')}:{w.lower()}" for w in first]
+                        + [f"o:{family.lower()}"])
+
+    spans = [(a, b, "name", key(text[a:b])) for a, b, _ in names]
+    taken = sorted([(a, b) for a, b, *_ in others] + [(a, b) for a, b, _ in names])
+    known, at, last = names[0][1], 0, None
+    for match in CAPITALIZED.finditer(text, known):
+        while at < len(taken) and taken[at][1] <= match.start():
+            at += 1
+        if at < len(taken) and taken[at][0] < match.end():
+            last = None
+            continue
+        word = match[0]
+        if word not in families:
+            word = regex.split("['’]", word)[0]
+        if word in families:
+            first, start = last, match.start()
+            if first and first[1] + 1 == start and text[first[1]] == " " and text[slice(*first)] in families[word]:
+                start = first[0]
+            spans.append((start, match.start() + len(word), "name", key(text[start:match.start() + len(word)])))
+            last = None
+        else:
+            last = match.span()
+    return spans
+
+
+def units(kind: str, key: str) -> list[tuple[str, str]]:
+    """What is drawn on its own: each word of a name, else the whole entity."""
+    return [(kind, part) for part in key.split(" ")] if kind == "name" else [(kind, key)]
 
 
 class Surrogates:
@@ -128,8 +220,7 @@ class Surrogates:
         if kind == "ip":
             return ".".join(str(1 + next(draw) % 254) for _ in range(4))
         if kind == "name":
-            gender, name = key[0], key[2:]
-            return f"{gender}:" + " ".join(self._name(w, gender, draw) for w in name.split(" "))
+            return f"{key[0]}:{self._name(key[2:], key[0], draw, SYLLABLES_FIRST + attempt)}"
         keep = key.rindex(".") if kind == "email" else len(key)
         fixed = {"iban": 2, "phone": key.find("-")}.get(kind, 0)
         out = []
@@ -147,10 +238,9 @@ class Surrogates:
             out[-1] = next(d for d in "0123456789" if luhn("".join(out[:-1]) + d))
         return "".join(out)
 
-    def _name(self, word: str, gender: str, draw: Iterator[int]) -> str:
+    def _name(self, word: str, gender: str, draw: Iterator[int], size: int) -> str:
         script = script_of(word)
         parts = SYLLABLES[script]
-        size = max(2, min(4, len(word) // 2))
         return "".join(parts[next(draw) % len(parts)] for _ in range(size)) + ENDINGS[script][gender]
 
     @staticmethod
@@ -159,8 +249,8 @@ class Surrogates:
         if kind == "ip":
             return key
         if kind == "name":
-            words = [w.upper() if len(o) > 1 and o.isupper() else w.capitalize()
-                     for w, o in zip(key[2:].split(" "), original.split(" "), strict=True)]
+            words = [w[2:].upper() if len(o) > 1 and o.isupper() else w[2:].capitalize()
+                     for w, o in zip(key.split(" "), original.split(" "), strict=True)]
             return " ".join(words)
         rest = iter(key.replace("-", "") if kind == "phone" else key)
         digits_only = kind in ("card", "phone", "ssn")
@@ -179,8 +269,8 @@ def entity_table(texts: DataFrame, secret: bytes) -> DataFrame:
     def run(batches):
         made = Surrogates(secret)
         for batch in batches:
-            found = {(k, v) for i in range(batch.num_rows)
-                     for _, _, k, v in entities(batch.column(0)[i].as_py() or "")}
+            found = {unit for i in range(batch.num_rows)
+                     for _, _, k, v in entities(batch.column(0)[i].as_py() or "") for unit in units(k, v)}
             rows = [(k, v, made.key(k, v)) for k, v in sorted(found)]
             if rows:
                 yield pa.RecordBatch.from_arrays(
@@ -226,30 +316,35 @@ def redrawn(table: DataFrame, secret: bytes) -> DataFrame:
 
 def replace(df: DataFrame, secret: bytes, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: id, text (with surrogates), n_entities and ``spans`` (kind:start:end in the input)."""
+    bounded_batches(df.sparkSession)
     kind = df.schema[id].dataType.simpleString()
     texts = df.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
     table = cut_lineage(entity_table(texts, secret))
     changed = cut_lineage(redrawn(table, secret))
     ddl = f"`{id}` {kind}, `{text}` string, n_entities bigint, spans string"
     schema = arrow_schema(df.sparkSession, ddl)
-    if changed.isEmpty():
+    few = changed.limit(MAX_BROADCAST + 1).collect()
+    shared = {}
+    if len(few) <= MAX_BROADCAST:
+        shared = {(r["kind"], r["key"]): r["surrogate"] for r in few}
         rows = texts.withColumn("_changed", F.lit(None).cast(
             "array<struct<kind:string,key:string,surrogate:string>>"))
     else:
         rows = _with_changed(texts, changed)
+    shared = df.sparkSession.sparkContext.broadcast(shared)
 
     def run(batches):
-        made = Surrogates(secret)
+        made, redrawn_ = Surrogates(secret), shared.value
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 out = []
                 for i in range(part.num_rows):
                     key, body, other = (c[i].as_py() for c in part.columns)
-                    known = {(x["kind"], x["key"]): x["surrogate"] for x in other or []}
+                    known = {(x["kind"], x["key"]): x["surrogate"] for x in other or []} or redrawn_
                     pieces, spans, at = [], [], 0
                     for a, b, k, v in entities(body or ""):
-                        value = known.get((k, v)) or made.key(k, v)
+                        value = " ".join(known.get(u) or made.key(*u) for u in units(k, v))
                         pieces += [body[at:a], made.formatted(k, body[a:b], value)]
                         spans.append(f"{k}:{a}:{b}")
                         at = b
@@ -269,7 +364,8 @@ def _with_changed(texts: DataFrame, changed: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                found = sorted({(k, v) for _, _, k, v in entities(batch.column(1)[i].as_py() or "")})
+                found = sorted({unit for _, _, k, v in entities(batch.column(1)[i].as_py() or "")
+                                for unit in units(k, v)})
                 if found:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([batch.column(0)[i].as_py()] * len(found), pa.string()),

@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -273,6 +275,62 @@ def test_pii(spark, empty):
     assert pii.replace(empty, b"k").count() == 0
 
 
+def test_pii_names_are_one_within_a_document(spark):
+    rows = [(0, "Mr John Smith met Dr John Smith. Mr Smith left. Smith said so; Smith's dog. John Smith ran. "
+                "Smithers and John stayed."), (1, "Smith is no name here."), (2, "Frau Müller, dann Müller.")]
+    got = by_id(pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), b"k"))
+    assert got[1]["text"] == rows[1][1] and got[1]["n_entities"] == 0
+    text = got[0]["text"]
+    first, family = re.match(r"Mr (\w+) (\w+) met", text).groups()
+    assert text == (f"Mr {first} {family} met Dr {first} {family}. Mr {family} left. {family} said so; "
+                    f"{family}'s dog. {first} {family} ran. Smithers and John stayed.")
+    assert got[0]["n_entities"] == 6 and first.endswith("n") and "Müller" not in got[2]["text"]
+
+
+def test_pii_equals_a_plain_replacement(spark):
+    """Spans against the same patterns tried at every place, replaced by hand."""
+    rng = random.Random(3)
+    bits = ["a.b@mail.org", "x@y", "+49 30 12345678", "10.0.0.7", "4111 1111 1111 1111", "123-45-6789", "Mr Bo Li",
+            "Dr Li", "Li", "..q_r+s@a-b.co.uk.", "word", "@", "1-2", "DE44 5001 0517 5407 3249 31", "é", "\n"]
+    rows = [(i, rng.choice([" ", "", ", "]).join(rng.choices(bits, k=rng.randrange(12)))) for i in range(300)]
+    got = by_id(pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), b"k"))
+    mail = (r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
+            r"(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+)")
+    slow = regex.compile("|".join([mail, *[f"(?P<{k}>{p})" for k, p in pii.TYPES.items()]]))
+    made = pii.Surrogates(b"k")
+    for i, text in rows:
+        spans = [(int(a), int(b), k) for k, a, b in (x.split(":") for x in got[i]["spans"].split(",") if x)]
+        plain = [(m.start(), m.end(), m.lastgroup) for m in slow.finditer(text)]
+        plain = [x for x in plain if x[2] != "card" or len(re.sub(r"\D", "", text[x[0]:x[1]])) == 16
+                 or pii.luhn(re.sub(r"\D", "", text[x[0]:x[1]]))]
+        assert [s for s in plain if s not in spans] == [] and len(spans) == got[i]["n_entities"]
+        for a, b, k in set(spans) - set(plain):
+            assert k == "name" and text[a:b].split(" ")[-1] == "Li"
+        want, at = "", 0
+        for a, b, k, key in pii.entities(text):
+            value = " ".join(made.key(*u) for u in pii.units(k, key))
+            want, at = want + text[at:a] + made.formatted(k, text[a:b], value), b
+        assert got[i]["text"] == want + text[at:]
+
+
+@pytest.mark.parametrize("most", [pii.MAX_BROADCAST, 0])
+def test_pii_names_do_not_run_out(spark, monkeypatch, most):
+    monkeypatch.setattr(pii, "MAX_BROADCAST", most)
+    monkeypatch.setattr(pii, "SYLLABLES_FIRST", 1)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, f"Mr X{letters[i // 676]}{letters[i // 26 % 26]}{letters[i % 26]} came.") for i in range(3000)]
+    texts = [r["text"] for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"),
+                                            b"k").collect()]
+    assert len(set(texts)) == 3000 and not set(texts) & {t for _, t in rows}
+
+
+@pytest.mark.parametrize("part", ["ab1", "a.b-", "1-", "Mr ", "a@", "1.", "@a", "+1 "])
+def test_pii_patterns_are_linear(part):
+    started = time.thread_time()
+    pii.entities((part * (1_000_000 // len(part)))[:1_000_000])
+    assert time.thread_time() - started < 20
+
+
 def test_pii_surrogates_stay_distinct(spark):
     rows = [(i, f"call 1{i:02d}-10-2000 now") for i in range(100)]
     table = spark.createDataFrame(rows, "doc_id long, text string")
