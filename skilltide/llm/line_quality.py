@@ -1,12 +1,12 @@
 """Quality rules: base counts of a text, and lines that many documents of a host share.
 
-Lines are compared in lower case with single spaces, by a 64-bit hash. Per host, the different
-documents that hold a line are counted (copies of one text count once); a line held by more than
-``max_share`` of the host's different documents, and by at least ``min_docs``, is above the limit and
-is removed. A document that keeps less than ``min_left`` of its words is depleted and rejected.
+Lines are compared in lower case with single spaces, by a 64-bit hash. Per host, the documents that
+hold a line are counted, a document once however often it has the line; a line held by more than
+``max_share`` of the host's documents, and by at least ``min_docs``, is above the limit and is removed.
+A document that keeps less than ``min_left`` of its words is depleted and rejected.
 
-Counting runs in two aggregates, first by line and text and then by line, both with partial sums, so a
-line that a third of all documents hold does not meet in one task. Null texts have no words and fail
+Lines are counted with partial sums, so a line that a third of all documents hold does not meet in one
+task. Null texts have no words and fail
 the base rules. A null host is a host of its own. Rows that share an id are judged each on its own.
 Further columns are not read.
 """
@@ -57,7 +57,7 @@ def repeat_words(words: list[bytes]) -> int:
 
 
 def base_counts(text: str) -> tuple:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, text hash, lines, line words."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, different lines, their words."""
     raw = text.encode()
     words = raw.split()
     glued = raw.translate(None, SPACES)
@@ -70,9 +70,8 @@ def base_counts(text: str) -> tuple:
             seen.add(line)
             key = line_hash(line.decode().lower().encode().split())
             lines[key] = lines.get(key, 0) + len(parts)
-    print_ = int.from_bytes(blake2b(raw, digest_size=8).digest(), "little", signed=True)
     return (len(words), len(text) - (len(raw) - len(glued)), n_symbols, again, repeat_words(words),
-            print_, list(lines), list(lines.values()))
+            list(lines), list(lines.values()))
 
 
 def quality(df: DataFrame, *, id: str = "doc_id", text: str = "text", host: str = "source",
@@ -89,14 +88,12 @@ def quality(df: DataFrame, *, id: str = "doc_id", text: str = "text", host: str
     docs = cut_lineage(map_texts(
         keyed, ["_id", "_host", "_text"],
         f"_id {kind}, _host string, n_words bigint, word_chars bigint, n_symbols bigint, "
-        "n_dup_lines bigint, n_repeat_words bigint, print bigint, lines array<bigint>, "
+        "n_dup_lines bigint, n_repeat_words bigint, lines array<bigint>, "
         "line_words array<bigint>", work).withColumn("_row", F.expr("uuid()")))
 
-    texts = docs.select("_host", "print").distinct()
-    hosts = texts.groupBy("_host").agg(F.count("*").alias("n_docs"))
-    held = (docs.select("_host", "print", F.explode("lines").alias("line")).distinct()
-            .groupBy("_host", "line").agg(F.count("*").alias("n"))
-            .filter(F.col("n") >= min_docs))
+    hosts = docs.groupBy("_host").agg(F.count("*").alias("n_docs"))
+    held = (docs.select("_host", F.explode("lines").alias("line")).groupBy("_host", "line")
+            .agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs))
     above = cut_lineage(
         held.alias("l").join(hosts.alias("h"), F.col("l._host").eqNullSafe(F.col("h._host")))
         .filter(F.col("n") > F.col("n_docs") * max_share)

@@ -60,6 +60,35 @@ def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.quality(documents(spark, sf_dir))
 
 
+OP6_SQL = r"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS n
+        FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM docs)),
+again AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM win WHERE n > 1)
+          GROUP BY r),
+rows AS (SELECT r, source, line, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS lw
+         FROM (SELECT r, source, unnest(string_split(t, chr(10))) AS line FROM docs)),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM rows WHERE len(lw) > 0 GROUP BY r),
+lines AS MATERIALIZED (SELECT r, source, array_to_string(lw, ' ') AS line, sum(len(lw)) AS words
+                       FROM rows WHERE len(lw) > 0 GROUP BY ALL),
+hosts AS (SELECT source, count(*) AS n_docs FROM docs GROUP BY source),
+above AS (SELECT l.source, line FROM lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
+          GROUP BY l.source, line, n_docs HAVING count(*) >= 20 AND count(*) > n_docs * 0.05),
+gone AS (SELECT r, sum(words) AS n FROM lines l JOIN above a ON l.source IS NOT DISTINCT FROM a.source
+         AND l.line = a.line GROUP BY r),
+found AS (
+  SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
+         coalesce(again.n, 0) AS n_repeat_words, (len(w) - coalesce(gone.n, 0))::BIGINT AS n_left
+  FROM docs LEFT JOIN again USING (r) LEFT JOIN dup USING (r) LEFT JOIN gone USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_left >= n_words / 3.0 AS kept
+FROM found
+"""
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The key is an example; a real one comes from where secrets are kept."""
     return pii.replace(documents(spark, sf_dir), b"example key of the registered query")
@@ -127,9 +156,51 @@ def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_columns(license_scan.license_spans(documents(spark, sf_dir)))
 
 
+def _sql_templates() -> str:
+    rows = [*[(label, text, True) for label, text in license_scan.PHRASES],
+            *[(label, text, False) for label, text in license_scan.NOTICES]]
+    return ", ".join(f"({i}, '{label}', '{text.replace(chr(39), chr(39) * 2)}', {base})"
+                     for i, (label, text, base) in enumerate(rows))
+
+
+_SQL_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+OP13_SQL = f"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_SQL_WORDS} AS w FROM documents),
+tpl AS MATERIALIZED (
+  SELECT *, least(len(w), 4) AS k, CASE WHEN len(w) <= 4 THEN 0 ELSE len(w) // 8 END AS slack
+  FROM (SELECT id, label, base, {_SQL_WORDS} AS w FROM (VALUES {_sql_templates()}) v(id, label, text, base))),
+sizes AS (SELECT DISTINCT k FROM tpl),
+grams AS MATERIALIZED (
+  SELECT id, label, base, slack, k, len(w) AS n, i - 1 AS t, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM tpl)),
+hits AS (
+  SELECT r, grams.*, d - t AS diagonal
+  FROM (SELECT r, k, i - 1 AS d, array_to_string(w[i:i + k - 1], ' ') AS g FROM (
+          SELECT r, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM docs, sizes)) x
+  JOIN grams USING (k, g)),
+lined AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, id ORDER BY diagonal) <= slack
+                    THEN 0 ELSE 1 END AS opens FROM (SELECT DISTINCT r, id, slack, diagonal FROM hits)),
+spanned AS (SELECT r, id, diagonal, sum(opens) OVER (PARTITION BY r, id ORDER BY diagonal) AS span FROM lined),
+covered AS (SELECT DISTINCT r, id, span, label, base, n, unnest(range(t, t + k)) AS word, diagonal
+            FROM hits JOIN spanned USING (r, id, diagonal)),
+spans AS (SELECT r, label, base, n, min(diagonal + word) AS start, count(DISTINCT word) AS c FROM covered
+          GROUP BY r, id, span, label, base, n HAVING count(DISTINCT word) >= n * 0.6),
+per AS (SELECT r, count(*) FILTER (base AND c = n) AS n_base, min(start) FILTER (base AND c = n) AS first_word,
+               max(start) FILTER (base AND c = n) AS last_word,
+               array_to_string(list_sort(list(DISTINCT label) FILTER (base AND c = n)), ',') AS base_labels,
+               array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(c / n) AS score
+        FROM spans GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       coalesce(score, 0.0) AS score
+FROM docs LEFT JOIN per USING (r)
+"""
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_join, op2_token_counts, op3_language_id, op4_exact_dedup, op5_mixing, op6_line_quality, op7_pii,
     op8_secrets,
     op9_bpe, op10_suffix_dedup, op11_whitening, op12_conversation_repair,
     op13_license_scan)}
-ORACLES = {"op4_exact_dedup": OP4_SQL}
+ORACLES = {"op4_exact_dedup": OP4_SQL, "op6_line_quality": OP6_SQL, "op13_license_scan": OP13_SQL}

@@ -251,6 +251,51 @@ def test_line_quality(spark, docs, empty):
     assert line_quality.quality(empty).count() == 0
 
 
+def test_line_quality_against_plain_counts(spark):
+    """All columns, with copies that count each on its own and a line that is twice in a document."""
+    rng = random.Random(11)
+    menu = [" ".join(words(rng, 12)) for _ in range(6)]
+    copy = "\n".join(words(rng, 3)[0] + " " + " ".join(words(rng, 20)) for _ in range(3))
+    rows = []
+    for i in range(240):
+        own = [" ".join(words(rng, rng.randrange(1, 25))) for _ in range(rng.randrange(1, 7))]
+        text = "\n".join([*own, *rng.choices(menu, k=rng.randrange(5)), own[0] if i % 4 else "#| $ &x%"])
+        rows.append((i, copy if i % 6 == 0 else text, ("a", "b", None)[i % 3]))
+    got = by_id(line_quality.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    clean = {i: [" ".join(WORD.findall(x.lower())) for x in t.split("\n") if WORD.search(x)] for i, t, _ in rows}
+    held = Counter((s, x) for i, _, s in rows for x in set(clean[i]))
+    hosts = Counter(s for _, _, s in rows)
+    for i, text, s in rows:
+        raw = [x for x in text.split("\n") if WORD.search(x)]
+        n = len(WORD.findall(text))
+        left = n - sum(len(x.split()) for x in clean[i] if held[s, x] >= 20 and held[s, x] > hosts[s] * 0.05)
+        row = got[i]
+        assert (row["n_symbols"], row["n_dup_lines"], row["n_left"]) == (
+            sum(c in "#*$%&|<>" for c in text), len(raw) - len(set(raw)), left)
+        assert row["kept"] == (not row["base_failed"] and left >= n / 3)
+    assert not got[0]["kept"]  # 40 copies in a host of 80
+
+
+def test_secrets_base_equals_a_plain_scan(spark, sf_dir):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rng = random.Random(12)
+    bits = ["password", "PassWd", "api_key", "apikey", "token", "secret", "\u017fecret", "to\u212aen", "=", ":", " ",
+            '"', "'", "AKIA", "AKIA0123456789ABCD", "deadbeefdeadbeef", "x", "0123456789ab", "A+/b_.=-", "é", "\n"]
+    rows += [(10 ** 6 + i, "".join(rng.choices(bits, k=rng.randrange(25)))) for i in range(400)]
+    patterns = {"assign": (r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
+                           re.I | re.ASCII), "access": (r"(AKIA[A-Z0-9]+)", 0), "hex": (r"([0-9a-f]+)", 0)}
+    least = {"assign": 12, "access": 18, "hex": 16}
+    got = by_id(secrets.digests(secrets.secrets(spark.createDataFrame(
+        [(i, t, "s") for i, t in rows], "doc_id long, text string, source string"))))
+    for i, text in rows:
+        spans = sorted((m.start(), k, m.end()) for k, (p, flags) in patterns.items()
+                       for m in re.finditer(p, text or "", flags) if len(m[1]) >= least[k])
+        order = {k: n for n, k in enumerate(patterns)}
+        spans.sort(key=lambda s: (s[0], order[s[1]]))
+        digest = ",".join(f"{k}:{a}:{b}" for a, k, b in spans)
+        assert got[i]["base_sha256"] == hashlib.sha256(digest.encode()).hexdigest(), (i, text)
+
+
 def test_pii(spark, empty):
     rows = [(0, "Mr. John Smith wrote to ann.lee@mail.example.com from 10.1.2.3, (no more)"),
             (1, "ask ANN.LEE@mail.example.com or +1 (017) 555-7713, card 4111 1111 1111 1111"),
