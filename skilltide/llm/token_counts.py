@@ -70,7 +70,13 @@ class PrefixCounter:
         as_byte = {s: b for b, s in enumerate(symbols)}
         vocab = data["model"]["vocab"]
         self.ids = {bytes(as_byte[c] for c in name): number for name, number in vocab.items()}
-        self.longest = max(map(len, self.ids))
+        # Every end of a token, with the token's number where the end is one itself and -1 else: from a
+        # place on, no longer entry ends there than the longest end that is known.
+        self.ends = {}
+        for name, number in self.ids.items():
+            for i in range(1, len(name)):
+                self.ends.setdefault(name[i:], -1)
+            self.ends[name] = number
         top = max(vocab.values()) + 1
         self.rank, self.left, self.right = [-1] * top, [-1] * top, [-1] * top
         self.ranks = {}
@@ -82,12 +88,23 @@ class PrefixCounter:
         special = [t["content"] for t in data["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, special)) or r"(?!)")
         self.pieces = regex.compile(PIECES)
-        self.gaps = regex.compile(r"\s{2,}(?=\S)")
+        self.gaps = regex.compile(r"(?<!\s)\s{2,}+(?=\S)")
         self.uneven = regex.compile(r"\s\x20|\x20\s|^\x20|\x20$")
         self.reached = Recent(2 * CACHED)
+        self.pairs: dict[int, bool] = {}
         self.known, self.chunks = Recent(), Recent(2 * CACHED)
 
     def _fits(self, left: int, right: int) -> bool:
+        """``_apart``, kept for as many pairs as the other tables hold."""
+        pair = left << 20 | right
+        fits = self.pairs.get(pair)
+        if fits is None:
+            if len(self.pairs) >= 2 * CACHED:
+                self.pairs.clear()
+            fits = self.pairs[pair] = self._apart(left, right)
+        return fits
+
+    def _apart(self, left: int, right: int) -> bool:
         """Whether two tokens stay apart in the encoding of their concatenation.
 
         The merges that made them are undone from the last one on. At each moment the tokens at
@@ -115,7 +132,7 @@ class PrefixCounter:
         data = piece.encode()
         size = len(data)
         count, last = [0] * (size + 1), [-1] * (size + 1)
-        ids, fits, reached = self.ids, self._fits, self.reached
+        ends, fits, reached, pairs = self.ends, self._fits, self.reached, self.pairs
         known = size <= 64
         for end in range(1, size + 1):
             if known:
@@ -124,11 +141,20 @@ class PrefixCounter:
                     last[end], count[end] = state
                     continue
                 known = False
-            for start in range(max(0, end - self.longest), end):
-                token = ids.get(data[start:end])
-                if token is not None and (start == 0 or fits(last[start], token)):
-                    last[end], count[end] = token, count[start] + 1
+            found = []
+            for start in range(end - 1, -1, -1):
+                token = ends.get(data[start:end])
+                if token is None:
                     break
+                if token >= 0:
+                    found.append((start, token))
+            for start, token in reversed(found):
+                if start:
+                    apart = pairs.get(last[start] << 20 | token)
+                    if not (fits(last[start], token) if apart is None else apart):
+                        continue
+                last[end], count[end] = token, count[start] + 1
+                break
             if end <= 16:
                 reached.keep(data[:end], (last[end], count[end]))
         counts = count[1:] if len(piece) == size else [

@@ -99,6 +99,19 @@ def test_shingles_do_not_depend_on_parts(monkeypatch):
     assert len(whole) == len(sets_of([(0, text)], 4)[0])
 
 
+def test_prefix_counts_of_long_runs():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, rng = Tokenizer.from_file(path), random.Random(4)
+    runs = ["a" * 20_000, "-" * 5_000, " " * 20_000 + "x", "\n \t" * 3_000, "".join(rng.choices("etaoinsh", k=20_000)),
+            "=" * 700 + "日本" * 900]
+    counter, started = token_counts.PrefixCounter(path), time.thread_time()
+    for text in runs:
+        counts = counter.counts(text)
+        for cut in [1, 2, 65, 130, len(text) // 3, len(text)]:
+            assert counts[cut - 1] == len(library.encode(text[:cut], add_special_tokens=False).ids)
+    assert time.thread_time() - started < 30
+
+
 def test_prefix_counts_match_the_library(docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
