@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import cycle
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,9 +22,9 @@ def insert_flags(batch: DataFrame, existing: DataFrame | None = None, *,
     Solved in rounds: among the rows left, one that arrives first for both of its keys enters,
     and all rows sharing a key with it are out. A round is two partial aggregates and joins on
     unique values, so a key held by a third of all rows costs no more than others, and it usually
-    settles nearly all. What it leaves are rows that wait for one another; between two rounds,
-    chains of such rows are settled whole by pointer doubling (see ``_chains``), so a chain of
-    n rows takes about log2(n) joins.
+    settles nearly all. What it leaves are rows that wait for one another; after a round that
+    settles less than half, chains of such rows are settled whole by pointer doubling (see
+    ``_chains``), so a chain of n rows takes about log2(n) joins.
     """
     left = batch.select(F.col(arrival).alias("a"), F.col(id_col).alias("p"),
                         F.col(hash_col).alias("h"))
@@ -38,12 +37,13 @@ def insert_flags(batch: DataFrame, existing: DataFrame | None = None, *,
         hashes = existing.select(F.col(hash_col).alias("h")).join(asked, "h", "left_semi")
         left = left.join(ids, "p", "left_anti").join(hashes, "h", "left_anti")
         left = cut_lineage(left.select("a", "p", "h"))
-    entered = None
-    for settle in cycle((_first_on_both, _chains)):
-        if left.isEmpty():
-            break
+    entered, settle, n = None, _first_on_both, left.count()
+    while n:
         winners, left = settle(left)
         entered = winners if entered is None else entered.unionByName(winners)
+        # What settles most rows by itself goes on; rows that wait in chains are taken as such.
+        before, n = n, left.count()
+        settle = _first_on_both if settle is _chains or 2 * n < before else _chains
     if entered is None:
         return batch.withColumn("inserted", F.lit(False))
     # Mark the rows by whichever side is smaller. Mostly few rows are refused, and their keys
