@@ -155,7 +155,7 @@ class PrefixCounter:
                         continue
                 last[end], count[end] = token, count[start] + 1
                 break
-            if end <= 8:
+            if end <= 16:
                 reached.keep(data[:end], (last[end], count[end]))
         counts = count[1:] if len(piece) == size else [
             n for i, n in enumerate(count[1:], 1) if i == size or data[i] & 0xC0 != 0x80]
