@@ -21,6 +21,7 @@ import json
 from array import array
 from collections.abc import Sequence
 
+import ahocorasick
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
@@ -70,13 +71,11 @@ class PrefixCounter:
         as_byte = {s: b for b, s in enumerate(symbols)}
         vocab = data["model"]["vocab"]
         self.ids = {bytes(as_byte[c] for c in name): number for name, number in vocab.items()}
-        # Every end of a token, with the token's number where the end is one itself and -1 else: from a
-        # place on, no longer entry ends there than the longest end that is known.
-        self.ends = {}
+        # Finds all entries in a text, of those with the same end the longest first.
+        self.entries = ahocorasick.Automaton()
         for name, number in self.ids.items():
-            for i in range(1, len(name)):
-                self.ends.setdefault(name[i:], -1)
-            self.ends[name] = number
+            self.entries.add_word(name.decode("latin-1"), (number, len(name)))
+        self.entries.make_automaton()
         top = max(vocab.values()) + 1
         self.rank, self.left, self.right = [-1] * top, [-1] * top, [-1] * top
         self.ranks = {}
@@ -90,7 +89,6 @@ class PrefixCounter:
         self.pieces = regex.compile(PIECES)
         self.gaps = regex.compile(r"(?<!\s)\s{2,}+(?=\S)")
         self.uneven = regex.compile(r"\s\x20|\x20\s|^\x20|\x20$")
-        self.reached = Recent(2 * CACHED)
         self.pairs: dict[int, bool] = {}
         self.known, self.chunks = Recent(), Recent(2 * CACHED)
 
@@ -125,38 +123,21 @@ class PrefixCounter:
                 grew_right, right = b, self.left[right]
 
     def _piece(self, piece: str) -> bytes:
-        """Tokens of each prefix of a piece, by code point, as unsigned 32-bit integers.
-
-        What a prefix ends with depends on nothing behind it, so the prefixes that other pieces
-        share are looked up."""
+        """Tokens of each prefix of a piece, by code point, as unsigned 32-bit integers."""
         data = piece.encode()
         size = len(data)
         count, last = [0] * (size + 1), [-1] * (size + 1)
-        ends, fits, reached, pairs = self.ends, self._fits, self.reached, self.pairs
-        known = size <= 64
-        for end in range(1, size + 1):
-            if known:
-                state = reached.get(data[:end])
-                if state is not None:
-                    last[end], count[end] = state
+        fits, pairs, done = self._fits, self.pairs, 0
+        for at, (token, length) in self.entries.iter(data.decode("latin-1")):
+            end = at + 1
+            if end == done:
+                continue
+            start = end - length
+            if start:
+                apart = pairs.get(last[start] << 20 | token)
+                if not (fits(last[start], token) if apart is None else apart):
                     continue
-                known = False
-            found = []
-            for start in range(end - 1, -1, -1):
-                token = ends.get(data[start:end])
-                if token is None:
-                    break
-                if token >= 0:
-                    found.append((start, token))
-            for start, token in reversed(found):
-                if start:
-                    apart = pairs.get(last[start] << 20 | token)
-                    if not (fits(last[start], token) if apart is None else apart):
-                        continue
-                last[end], count[end] = token, count[start] + 1
-                break
-            if end <= 16:
-                reached.keep(data[:end], (last[end], count[end]))
+            last[end], count[end], done = token, count[start] + 1, end
         counts = count[1:] if len(piece) == size else [
             n for i, n in enumerate(count[1:], 1) if i == size or data[i] & 0xC0 != 0x80]
         if len(piece) == 3 and piece[0] == "'" and piece[1].isalpha():
