@@ -63,12 +63,12 @@ def packed(copies: DataFrame) -> DataFrame:
     return listed.select("path", "piece", F.unhex(digits).alias("held"))
 
 
-def repeated(df: DataFrame, key: str, copies: DataFrame) -> DataFrame:
-    """Each row of ``df`` as often as ``copies`` (place, copies), narrow, says; none where it is not in it.
+def marked(df: DataFrame, key: str, marks: DataFrame) -> tuple[DataFrame, str]:
+    """The rows of ``df`` that ``marks`` (place, copies), narrow, names, with an int column, whose name
+    is returned, that holds their number (1 to 255).
 
-    ``df`` and ``key`` come from with_places; the other columns of ``df`` are returned. ``copies`` has a
-    row a place; a place has at most 255 copies."""
-    pieces = cut_lineage(packed(copies))
+    ``df`` and ``key`` come from with_places; the other columns of ``df`` are returned."""
+    pieces = cut_lineage(packed(marks))
     rounds = max(1, -(-pieces.count() // MAX_PIECES))
     path, piece, held = (free_name(df, n) for n in ("_path", "_piece", "_held"))
     pieces = pieces.toDF(path, piece, held)
@@ -76,13 +76,21 @@ def repeated(df: DataFrame, key: str, copies: DataFrame) -> DataFrame:
     file = F.expr(f"substring(`{key}`, 1, length(`{key}`) - length(substring_index(`{key}`, ':', -1)) - 1)")
     placed = df.withColumns({path: file, piece: F.floor(at / PACK).cast("bigint")})
     byte = F.expr(f"substring(`{held}`, cast(cast(substring_index(`{key}`, ':', -1) as bigint) % {PACK} as int) + 1, 1)")
-    times = F.coalesce(F.conv(F.hex(byte), 16, 10).cast("int"), F.lit(0))
+    mark = free_name(df, "_mark")
     out = []
     for i in range(rounds):
         mine = F.pmod(F.xxhash64(path), F.lit(rounds)) == i
         few = F.broadcast(pieces.filter(mine))
         found = placed.filter(mine).join(few, [path, piece])
-        again = free_name(df, "_again")
-        out.append(found.withColumn(again, F.explode(F.array_repeat(F.lit(0), times)))
-                   .select(*[F.col(f"`{c}`") for c in df.columns if c != key]))
-    return reduce(DataFrame.unionByName, out)
+        out.append(found.withColumn(mark, F.coalesce(F.conv(F.hex(byte), 16, 10).cast("int"), F.lit(0)))
+                   .filter(F.col(mark) > 0)
+                   .select(*[F.col(f"`{c}`") for c in df.columns if c != key], mark))
+    return reduce(DataFrame.unionByName, out), mark
+
+
+def repeated(df: DataFrame, key: str, copies: DataFrame) -> DataFrame:
+    """Each row of ``df`` as often as ``copies`` (place, copies), narrow, says; none where it is not in it.
+    A place has at most 255 copies. Otherwise as ``marked``."""
+    found, mark = marked(df, key, copies)
+    again = free_name(found, "_again")
+    return found.withColumn(again, F.explode(F.array_repeat(F.lit(0), F.col(mark)))).drop(mark, again)

@@ -193,6 +193,21 @@ def test_exact_duplicates(docs, empty):
     assert exact_dedup.exact_duplicates(empty).count() == 0
 
 
+def test_a_key_of_many_rows_is_dealt_over_pages(spark):
+    """One text of 1,500 rows, another of equal key of 150, and an id that is null."""
+    texts = ["a  b"] * 800 + ["a b"] * 700 + ["c"] * 150 + ["d", None]
+    rows = [(None if i == 3 else i, t) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for key in (None, F.lit(7).cast("long")):
+        got = exact_dedup.exact_duplicates(table, key=key).collect()
+        assert len(got) == len(rows)
+        found = defaultdict(set)
+        for r in got:
+            found[r["text_sha256"]].add((r["keep_id"], r["group_size"]))
+        assert sorted(x for s in found.values() for x in s) == [(0, 1500), (1500, 150), (1650, 1), (1651, 1)]
+        assert {r["doc_id"] for r in got if r["kept"]} == {0, 1500, 1650, 1651}
+
+
 def test_directory_splits_overfull_buckets(spark):
     keys = spark.range(4000).select(F.xxhash64("id").alias("key"))
     cells = exact_dedup.directory(keys, 10, 100)
