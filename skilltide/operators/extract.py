@@ -17,7 +17,7 @@ from ..functions.skills import (
 from ..functions.text import _col, bind
 from ..functions.vectors import hashed_trigram_vector
 from ..vocabulary import CANONICAL_SKILLS, TECH_CAPITALIZATION
-from .scale import cut_lineage
+from .scale import cut_lineage, salted_join
 
 Extractor = Callable[[str], str]
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
@@ -27,14 +27,19 @@ def known_spellings() -> list[str]:
     return sorted({*CANONICAL_SKILLS, *TECH_CAPITALIZATION})
 
 
+def text_words(c: Column | str) -> Column:
+    """Lower-case words of a whole text; they keep '+', '#' and inner '.', '/', '-'."""
+    words = F.transform(F.split(F.lower(_col(c)), r"[^\p{L}\p{N}_+#./-]+"),
+                        lambda w: F.trim(w, F.lit("./-")))
+    return F.filter(words, lambda w: w != "")
+
+
 def word_grams(c: Column | str, longest: int = 3) -> Column:
-    """Runs of 1..longest words of a whole text; words keep '+', '#' and inner '.', '/', '-'.
+    """Runs of 1..longest words of a whole text.
 
     Each run is the shorter run before it and one more word, so the work is linear in the text.
     """
-    words = F.transform(F.split(F.lower(_col(c)), r"[^\p{L}\p{N}_+#./-]+"),
-                        lambda w: F.trim(w, F.lit("./-")))
-    words = F.filter(words, lambda w: w != "")
+    words = text_words(c)
 
     def longer(words: Column, shorter: Column, n: int) -> Column:
         following = F.slice(words, F.lit(n), F.size(words))
@@ -51,27 +56,52 @@ def word_grams(c: Column | str, longest: int = 3) -> Column:
 def gazetteer_skills(c: Column | str, spellings: Sequence[str]) -> Column:
     """Known spellings that occur in a text, row by row without a shuffle.
 
-    The list rides in the plan as a hash set; a larger one belongs in ``gazetteer_join``.
+    The list rides in the plan as hash sets; a larger one belongs in ``gazetteer_join``. A run of
+    several words is formed only where a spelling of that length begins with its first word.
     """
     if len(spellings) > MAX_LITERAL_ALIASES:
         raise ValueError("use gazetteer_join for a large vocabulary")
-    known = list(spellings)
-    longest = max((len(s.split(" ")) for s in known), default=1)
-    return F.array_sort(F.array_distinct(F.filter(word_grams(c, longest),
-                                                  lambda g: g.isin(known))))
+    firsts: dict[int, set[str]] = {}
+    for spelling in spellings:
+        words = spelling.split(" ")
+        firsts.setdefault(len(words), set()).add(words[0])
+
+    def runs(words: Column, length: int) -> Column:
+        if length == 1:
+            return words
+        return F.transform(words, lambda w, i: F.when(
+            w.isin(sorted(firsts[length])), F.array_join(F.slice(words, i + 1, F.lit(length)), " ")))
+
+    found = bind(text_words(c), lambda words: F.concat(
+        F.slice(words, 1, 0), *[runs(words, n) for n in sorted(firsts)]))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda g: g.isin(list(spellings)))))
+
+
+def spelling_starts(texts: DataFrame, spellings: DataFrame, longest: int | None = None) -> DataFrame:
+    """(_row, at, lengths) of texts (_row, words): the places where a spelling may begin, by its first
+    word, and the lengths of those that do. One row a word and no more, whatever the spellings' lengths;
+    frequent words are dealt over many tasks."""
+    words = spellings.select(F.split("spelling", " ").alias("w")).select(
+        F.col("w")[0].alias("word"), F.size("w").alias("n"))
+    if longest is not None:
+        words = words.filter(F.col("n") <= longest)
+    starts = words.groupBy("word").agg(F.array_sort(F.collect_set("n")).alias("lengths"))
+    places = texts.select("_row", F.posexplode("words").alias("at", "word"))
+    return salted_join(places, starts, "word", spread_on=["_row", "at"]).drop("word")
 
 
 def gazetteer_join(texts: DataFrame, spellings: DataFrame, *, id_col: str, text_col: str,
                    longest: int | None = None) -> DataFrame:
-    """(id, skill) for a vocabulary of any size: (spelling, skill) joined to the word runs.
-
-    Runs are as long as the longest spelling, unless ``longest`` says how long that is."""
-    if longest is None:
-        row = spellings.agg(F.max(F.size(F.split("spelling", " ")))).first()
-        longest = row[0] or 1
-    grams = texts.select(id_col, F.explode(F.array_distinct(word_grams(text_col, longest)))
-                         .alias("spelling"))
-    return grams.join(spellings, "spelling").select(id_col, "skill").distinct()
+    """(id, skill) for a vocabulary of any size: (spelling, skill) joined to the word runs that begin
+    with the first word of a spelling and are as long as it, at most ``longest`` words if given."""
+    keyed = cut_lineage(texts.select(F.expr("uuid()").alias("_row"), F.col(id_col).alias("id"),
+                                     text_words(text_col).alias("words")))
+    starts = (spelling_starts(keyed, spellings, longest).groupBy("_row")
+              .agg(F.collect_list(F.struct("at", "lengths")).alias("starts")))
+    run = F.flatten(F.transform("starts", lambda s: F.transform(s["lengths"], lambda n: F.array_join(
+        F.slice("words", s["at"] + 1, n), " "))))
+    runs = keyed.join(starts, "_row").select("id", F.explode(F.array_distinct(run)).alias("spelling"))
+    return (runs.join(spellings, "spelling").select(F.col("id").alias(id_col), "skill").distinct())
 
 
 def _regrouped(keyed: DataFrame, found: DataFrame, out: str) -> DataFrame:

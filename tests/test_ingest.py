@@ -1,5 +1,6 @@
 import datetime
 import json
+import random
 import uuid
 
 import pytest
@@ -75,6 +76,25 @@ def test_gazetteer(spark):
     assert sorted(r.skill for r in joined.collect()) == got[0].s
 
 
+def test_spellings_are_looked_for_where_they_begin(spark):
+    """A spelling of ten words adds no rows but where its first word stands; all runs against brute force."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(12)]
+    texts = [(i % 40, " ".join(rng.choices(words, k=rng.randint(0, 30)))) for i in range(60)] + [(None, "w1 w2"), (7, None)]
+    df = spark.createDataFrame(texts, "id int, t string")
+    names = {" ".join(rng.choices(words, k=k)) for k in (1, 1, 2, 2, 2, 3, 3, 4) for _ in range(4)}
+    names |= {" ".join(texts[3][1].split()[:10])}
+    want = {(i, n) for i, t in texts for n in names if f" {n} " in f" {t or ''} "}
+    table = extract.alias_frame(df, [{n: n for n in names}])
+    joined = extract.gazetteer_join(df, table, id_col="id", text_col="t").collect()
+    assert {(r.id, r.skill) for r in joined} == want and len(joined) == len(want)
+    literal = df.select("id", F.explode(extract.gazetteer_skills("t", sorted(names))).alias("s")).distinct()
+    assert {tuple(r) for r in literal.collect()} == want
+    held = df.select(F.expr("uuid()").alias("_row"), extract.text_words("t").alias("words"))
+    ten = extract.alias_frame(df, [{"w3 " + " ".join("abcdefghi"): "x"}])
+    assert extract.spelling_starts(held, ten).count() == sum((t or "").split().count("w3") for _, t in texts)
+
+
 def test_large_vocabularies_and_long_spellings(spark):
     five = "the very long skill name"
     text = f"We use {five.title()}, Go and Python."
