@@ -119,6 +119,9 @@ def validate_replies(replies: DataFrame, families: DataFrame, vocabulary: DataFr
     reply that is no JSON object of exactly the three typed fields: it abstains and must not be
     stored. 'capped' has too many specializations or words: a stored abstention. New families
     and unknown specializations are proposed but kept on the decision.
+
+    Replies are parsed once and written: the three results would each parse them again, and a filter
+    on what was parsed would be moved below and parse them for every condition.
     """
     doc = F.col("_doc")
 
@@ -135,11 +138,11 @@ def validate_replies(replies: DataFrame, families: DataFrame, vocabulary: DataFr
              & kind("role_family").isin("STRING", "VOID")
              & kind("specializations").isin("ARRAY<STRING>", "ARRAY<VOID>")
              & ~F.exists(specs, lambda s: s.isNull()))
-    parsed = replies.withColumn("_doc", F.try_parse_json("reply")).select(
+    parsed = cut_lineage(replies.withColumn("_doc", F.try_parse_json("reply")).select(
         "key", F.coalesce(shape & typed, F.lit(False)).alias("valid"),
         X.rewrite_head_noun(_clean(field("canonical_title", "string"))).alias("canonical"),
         _clean(field("role_family", "string")).alias("family"),
-        F.array_distinct(F.transform(specs, _clean)).alias("specs"))
+        F.array_distinct(F.transform(specs, _clean)).alias("specs")))
     capped = ((F.size("specs") > MAX_SPECS)
               | (F.size(F.split("canonical", " ")) > MAX_CANONICAL_WORDS))
     status = (F.when(~F.col("valid"), "invalid").when(capped, "capped").otherwise("accepted"))

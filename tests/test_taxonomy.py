@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skilltide import schemas
+from workload import queries, views
 from skilltide.operators import backfill, golden, resolve
 from skilltide.operators import taxonomy as tax
 from skilltide.plans.search import search
@@ -348,3 +349,35 @@ def test_prepare_files(spark):
     assert rows[3].posted_date is None and rows[3].posting_id is None
     assert {r.outcome: r.n for r in backfill.match_candidates(files).collect()} == {
         "strong_match_candidate": 1, "weak_match_candidate": 1, "unreadable": 1, "empty": 1}
+
+
+def counted(spark, rows, schema):
+    """A frame and the number of rows that were read from it so far."""
+    seen = spark.sparkContext.accumulator(0)
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(
+        lambda r: seen.add(1) or r), schema), seen
+
+
+def test_replies_are_parsed_once(spark):
+    rows = [(f"k{i}", '{"canonical_title": "t%d", "role_family": "f%d", "specializations": ["s%d", "s"]}'
+             % (i, i % 3, i % 5)) for i in range(40)] + [("bad", "{")]
+    given, seen = counted(spark, rows, "key string, reply string")
+    got = tax.validate_replies(given, spark.createDataFrame([("f0",)], "family string"),
+                               spark.createDataFrame([("s1", "active")], "spec string, status string"))
+    assert got.decisions.filter("status = 'accepted'").count() == 40
+    assert {r.family for r in got.new_families.collect()} == {"f1", "f2"}
+    assert {r.spec for r in got.new_specs.collect()} == {"s", "s0", "s2", "s3", "s4"}
+    assert seen.value == len(rows)
+
+
+def test_queries_are_read_once(spark):
+    rows = [(i, t) for i, t in enumerate(["Senior Backend Engineer 2026", "backnd engineer", "gardener", None] * 5)]
+    given, seen = counted(spark, rows, "query_id int, text string")
+    got = resolve.resolve_queries(given, title_map(spark, MAP)).collect()
+    assert len(got) == 20 and sum(r.mode == "structured" for r in got) == 10
+    assert seen.value == len(rows)
+
+
+def test_narrow_tables_are_dealt_out(spark, sf_dir):
+    for frame in (views.raw_queries(spark, sf_dir), queries._replies(spark, sf_dir)):
+        assert frame.rdd.getNumPartitions() >= 4

@@ -997,7 +997,7 @@ def _replies(spark, sf):
     for word in words:
         out = F.regexp_replace(out, F.lit("^(.*?)%s"), F.concat(F.lit("$1"), word))
     out = F.regexp_replace(out, F.lit("%1\\$s"), V.first_word("p_name"))
-    return table(spark, sf, "part").select(
+    return V.dealt_table(spark, sf, "part", "p_partkey", "p_name").select(
         F.concat_ws(" ", "p_partkey", "p_name").alias("key"), out.alias("reply"))
 
 
