@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from .retrieval import queries_from_text
-from .scale import salted_join
+from .scale import cut_lineage, salted_join
 from .similarity import best_match, trigram_pairs
 
 # Fixed value: least similarity at which a misspelled key is accepted.
@@ -45,10 +45,11 @@ def resolve_queries(raw: DataFrame, title_map: DataFrame, *, text: str = "text",
                     floor: float = FUZZY_FLOOR, ascii_only: bool = False) -> DataFrame:
     """Add key, facets (of the raw text), the decision, ``step`` and ``mode``.
 
-    Keys are looked up once each, however many queries share them.
+    Keys are looked up once each, however many queries share them. The queries are written with
+    their keys, as they are read for the keys, for the hot ones and for the join.
     """
-    asked = queries_from_text(raw, text).withColumn(
-        "key", X.title_key(F.coalesce(text, F.lit("")), ascii_only=ascii_only))
+    asked = cut_lineage(queries_from_text(raw, text).withColumn(
+        "key", X.title_key(F.coalesce(text, F.lit("")), ascii_only=ascii_only)))
     keys = asked.select("key").distinct().filter(F.col("key") != "")
     exact = exact_lookup(keys, title_map)
     hit = exact.filter(F.col("role_family").isNotNull()).select(
