@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scale import broadcast_if_small, cut_lineage, first_per_key
 
+# State of a row in a chain: known to be out or to enter, waiting for two rows, or a link, which enters
+# exactly if the row it points to does not (OPPOSITE) or does (ALIKE).
+OUT, ENTERS, WAITS, OPPOSITE, ALIKE = range(5)
+
 
 def insert_flags(batch: DataFrame, existing: DataFrame | None = None, *,
                  id_col: str = "posting_id", hash_col: str = "content_hash",
@@ -102,28 +107,38 @@ def _chains(left: DataFrame) -> tuple[DataFrame, DataFrame]:
     next_h = still.filter(~F.col("first_h")).groupBy("h").agg(F.min("a").alias("next_h"))
     to = (F.when(F.col("first_p") & (F.col("a") == F.col("next_h")), F.col("lead_h"))
           .when(F.col("first_h") & (F.col("a") == F.col("next_p")), F.col("lead_p")))
-    # kind: known (enters is set), link (enters = that of ``to``, flipped or not), or waiting.
-    kind = F.when(sure, "known").when(to.isNotNull(), "link").otherwise("waiting")
+    state = F.when(sure, ENTERS).when(to.isNotNull(), OPPOSITE).otherwise(WAITS).cast("tinyint")
     nodes = cut_lineage(
         still.join(next_p, "p", "left").join(next_h, "h", "left")
-        .select("a", "p", "h", to.alias("to"), kind.alias("kind"), sure.alias("enters"),
-                F.lit(True).alias("flip")))
-    while not (links := nodes.filter("kind = 'link'")).isEmpty():
-        target = nodes.select(F.col("a").alias("to"), F.col("to").alias("to2"),
-                              F.col("kind").alias("kind2"), F.col("enters").alias("enters2"),
-                              F.col("flip").alias("flip2"))
+        .select("a", "p", "h", F.when(~sure, to).alias("to"), state.alias("state")))
+    # Only (a, to, state) goes through the joins, and a row that is settled is written no more.
+    links = nodes.filter("to IS NOT NULL").select("a", "to", "state")
+    settled = [nodes.filter("to IS NULL").select("a", "state")]
+    while not links.isEmpty():
+        none = F.lit(None).cast(links.schema["to"].dataType)
+        target = reduce(DataFrame.unionByName, [
+            links.select(F.col("a").alias("to"), F.col("to").alias("to2"), F.col("state").alias("state2")),
+            *[s.select(F.col("a").alias("to"), none.alias("to2"), F.col("state").alias("state2"))
+              for s in settled]])
         # A row that is not among the nodes is out, which is known as well.
-        kind2, enters2 = F.coalesce("kind2", F.lit("known")), F.coalesce("enters2", F.lit(False))
-        stepped = links.join(target, "to", "left").select(
-            "a", "p", "h", F.col("to2").alias("to"), kind2.alias("kind"),
-            (enters2 != F.col("flip")).alias("enters"),
-            (F.col("flip") != F.coalesce("flip2", F.lit(False))).alias("flip"))
-        nodes = cut_lineage(nodes.filter("kind <> 'link'").unionByName(stepped))
-    won = nodes.filter("kind = 'known' AND enters")
-    waiting = nodes.filter("kind = 'waiting'").select("a", "p", "h")
-    rest = cut_lineage(waiting.join(won.select("p"), "p", "left_anti")
-                       .join(won.filter(hashed).select("h"), "h", "left_anti").select("a", "p", "h"))
-    return won.select("a"), rest
+        mine, its = F.col("state"), F.coalesce("state2", F.lit(OUT))
+        now = (F.when(its == WAITS, WAITS)
+               .when(its.isin(OUT, ENTERS), F.when(mine == OPPOSITE, ENTERS - its).otherwise(its))
+               .when(mine == its, ALIKE).otherwise(OPPOSITE))
+        stepped = cut_lineage(links.join(target, "to", "left").select(
+            "a", F.col("to2").alias("to"), now.cast("tinyint").alias("state")))
+        links = stepped.filter("to IS NOT NULL")
+        settled.append(stepped.filter("to IS NULL").select("a", "state"))
+    states = reduce(DataFrame.unionByName, settled)
+    won = states.filter(F.col("state") == ENTERS).select("a")
+    waiting = states.filter(F.col("state") == WAITS).select("a")
+    rows = nodes.select("a", "p", "h")
+    if waiting.isEmpty():
+        return won, rows.limit(0)
+    used = cut_lineage(rows.join(won, "a"))
+    rest = cut_lineage(rows.join(waiting, "a").join(used.select("p"), "p", "left_anti")
+                       .join(used.filter(hashed).select("h"), "h", "left_anti").select("a", "p", "h"))
+    return won, rest
 
 
 def insert_rows(batch: DataFrame, existing: DataFrame | None = None, **names: str) -> DataFrame:

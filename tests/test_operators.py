@@ -569,3 +569,19 @@ def test_vectors_of_another_size_are_an_error(spark, query, posting):
     with pytest.raises(Exception, match="needs 2 values"):
         vector_search(postings, queries, dim=2, k=1, vector_col="title_embedding",
                       faceted=False).collect()
+
+
+def test_chains_move_no_keys(spark, monkeypatch):
+    """The rounds of the doubling hold neither ids nor hashes, however long the chain; one with rows that
+    wait for two others at its end."""
+    rows = [(i, f"p{i // 2}", f"h{(i + 1) // 2}") for i in range(1000)]
+    rows += [(1000 + i, f"p{900 + i % 40}", f"h{1000 + i % 3}") for i in range(60)]
+    df = spark.createDataFrame(rows, "arrival int, posting_id string, content_hash string")
+    wide, cut = [], keys.cut_lineage
+    monkeypatch.setattr(keys, "cut_lineage", lambda frame: wide.append("p" in frame.columns) or cut(frame))
+    assert sorted(r.arrival for r in keys.insert_rows(df).collect()) == sequential_insert(rows)
+    assert wide.count(False) > 8
+    wide.clear()
+    few = df.filter("arrival < 1000")
+    assert sorted(r.arrival for r in keys.insert_rows(few).collect()) == sequential_insert(rows[:1000])
+    assert wide.count(True) <= 6
