@@ -22,6 +22,9 @@ from .scale import cut_lineage, salted_join
 Extractor = Callable[[str], str]
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
+# Words that travel with the place before them.
+CARRIED = 4
+
 
 def known_spellings() -> list[str]:
     return sorted({*CANONICAL_SKILLS, *TECH_CAPITALIZATION})
@@ -81,26 +84,46 @@ def spelling_starts(texts: DataFrame, spellings: DataFrame, longest: int | None
     """(_row, at, lengths) of texts (_row, words): the places where a spelling may begin, by its first
     word, and the lengths of those that do. One row a word and no more, whatever the spellings' lengths;
     frequent words are dealt over many tasks."""
+    return _starts(texts, spellings, longest).drop("word")
+
+
+def _starts(texts: DataFrame, spellings: DataFrame, longest: int | None, *keep: Column) -> DataFrame:
+    """The same with the first word and further columns of a row, which may use ``at`` and ``words``."""
     words = spellings.select(F.split("spelling", " ").alias("w")).select(
         F.col("w")[0].alias("word"), F.size("w").alias("n"))
     if longest is not None:
         words = words.filter(F.col("n") <= longest)
-    starts = words.groupBy("word").agg(F.array_sort(F.collect_set("n")).alias("lengths"))
-    places = texts.select("_row", F.posexplode("words").alias("at", "word"))
-    return salted_join(places, starts, "word", spread_on=["_row", "at"]).drop("word")
+    # Written, so that Spark sees its true size: a small one is broadcast and no word is shuffled.
+    starts = cut_lineage(words.groupBy("word").agg(F.array_sort(F.collect_set("n")).alias("lengths")))
+    places = texts.select("*", F.posexplode("words").alias("at", "word")).select("_row", "at", "word", *keep)
+    return salted_join(places, starts, "word", spread_on=["_row", "at"])
 
 
 def gazetteer_join(texts: DataFrame, spellings: DataFrame, *, id_col: str, text_col: str,
                    longest: int | None = None) -> DataFrame:
     """(id, skill) for a vocabulary of any size: (spelling, skill) joined to the word runs that begin
-    with the first word of a spelling and are as long as it, at most ``longest`` words if given."""
-    keyed = cut_lineage(texts.select(F.expr("uuid()").alias("_row"), F.col(id_col).alias("id"),
+    with the first word of a spelling and are as long as it, at most ``longest`` words if given.
+
+    A place carries the words behind it, up to CARRIED and as many as the spellings have, so that no
+    text is moved; only for longer spellings, if there are any, starts are brought back to the texts."""
+    keyed = cut_lineage(texts.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("id"),
                                      text_words(text_col).alias("words")))
-    starts = (spelling_starts(keyed, spellings, longest).groupBy("_row")
-              .agg(F.collect_list(F.struct("at", "lengths")).alias("starts")))
-    run = F.flatten(F.transform("starts", lambda s: F.transform(s["lengths"], lambda n: F.array_join(
-        F.slice("words", s["at"] + 1, n), " "))))
-    runs = keyed.join(starts, "_row").select("id", F.explode(F.array_distinct(run)).alias("spelling"))
+    spellings = cut_lineage(spellings)
+    length = F.size(F.split("spelling", " "))
+    most = spellings.agg(F.max(length)).first()[0] or 1
+    most = most if longest is None else min(most, longest)
+    carried = min(CARRIED, most - 1)
+    behind = F.slice("words", F.col("at") + 2, F.lit(carried)).alias("behind")
+    near = _starts(keyed, spellings, min(most, CARRIED + 1), F.col("id"), behind)
+    runs = near.select("id", "word", "behind", F.explode("lengths").alias("n")).select("id", F.array_join(
+        F.concat(F.array("word"), F.slice("behind", F.lit(1), F.col("n") - 1)), " ").alias("spelling"))
+    if most > CARRIED + 1:
+        starts = (spelling_starts(keyed, spellings.filter(length > CARRIED + 1), longest).groupBy("_row")
+                  .agg(F.collect_list(F.struct("at", "lengths")).alias("starts")))
+        run = F.flatten(F.transform("starts", lambda s: F.transform(s["lengths"], lambda n: F.array_join(
+            F.slice("words", s["at"] + 1, n), " "))))
+        runs = runs.unionByName(keyed.join(starts, "_row").select(
+            "id", F.explode(F.array_distinct(run)).alias("spelling")))
     return (runs.join(spellings, "spelling").select(F.col("id").alias(id_col), "skill").distinct())
 
 

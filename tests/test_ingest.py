@@ -287,3 +287,20 @@ def test_catalog_and_profile(spark):
     profile = report.corpus_profile(df).first()
     assert (profile.postings, profile.avg_skills) == (60, 3)
     assert mining.build_baskets(df).count() == 30
+
+
+def test_gazetteer_moves_no_text(spark):
+    """Places of a small vocabulary are not shuffled, and the texts are in none; spellings of one to eight
+    words, cut off at the end of a text, under ids that repeat."""
+    words = ["a", "b", "c", "d"]
+    rng = random.Random(8)
+    texts = [(i % 15, " ".join(rng.choices(words, k=rng.randint(0, 20)))) for i in range(40)]
+    df = spark.createDataFrame(texts, "id int, t string")
+    for longest in (1, 4, 5, 8):
+        names = {" ".join(rng.choices(words, k=k)) for k in range(1, longest + 1) for _ in range(3)}
+        want = {(i, n) for i, t in texts for n in names if f" {n} " in f" {t} "}
+        got = extract.gazetteer_join(df, extract.alias_frame(df, [{n: n for n in names}]), id_col="id", text_col="t")
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+        if longest <= extract.CARRIED + 1:
+            plan = got._jdf.queryExecution().sparkPlan().toString()
+            assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
