@@ -33,6 +33,8 @@ from skilltide.operators.scale import cut_lineage
 
 LEAF = 64
 GIANT = 1 << 16
+# Pieces and chunks that an encoder remembers of late, and as many from before.
+KNOWN = 1 << 16
 NEVER = 1 << 60
 
 
@@ -60,7 +62,7 @@ class TreeEncoder:
         self.pieces = regex.compile(split)
         self.symbols = byte_symbols()
         self.wide_space = regex.compile(r"[^\S\x00-\x7F]")
-        self.known, self.chunks = Recent(), Recent()
+        self.known, self.chunks = Recent(KNOWN), Recent(KNOWN)
 
     def normalised(self, text: str) -> str:
         """Composed (NFC) and lower case, each character on its own."""
@@ -182,6 +184,22 @@ class TreeEncoder:
         return " ".join(self.as_tokens(data))
 
 
+class TokenNames:
+    """What decoding needs of a vocabulary file: no merges and no encodings known from before."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            data = json.load(file)
+        numbers = {**data["model"]["vocab"], **{t["content"]: t["id"] for t in data["added_tokens"]}}
+        self.names = [""] * (1 + max(numbers.values()))
+        for part in (data["model"]["vocab"].items(), ((t["content"], t["id"]) for t in data["added_tokens"])):
+            for name, number in part:
+                self.names[number] = name
+
+    def decode(self, data: bytes) -> str:
+        return " ".join([self.names[i] for i in np.frombuffer(data, "<u4").tolist()])
+
+
 def encoder(path: str) -> TreeEncoder:
     """One per Python worker and file."""
     return held(("bpe", path), lambda: TreeEncoder(path))
@@ -288,7 +306,7 @@ def decode(df: DataFrame, tokenizer: str, *, id: str = "doc_id", ids: str = "ids
     kind = df.schema[id].dataType.simpleString()
 
     def work():
-        made = encoder(tokenizer)
+        made = held(("names", tokenizer), lambda: TokenNames(tokenizer))
         return lambda row: (row[0], row[1], made.decode(row[1] or b""))
 
     return map_texts(df, [id, ids], f"`{id}` {kind}, `{ids}` binary, decoded string", work)
