@@ -81,24 +81,33 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
             yield [c[i].as_py() for c in batch.columns]
 
 
+def _texts_of(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[str]:
+    """Texts whose hash has its bit set in the table."""
+    forget_others()
+    for batch in batches:
+        bits = batch.column(2).to_numpy() % BIT_TABLE
+        for i in np.flatnonzero(table[bits >> 3] >> (bits & 7).astype(np.uint8) & 1).tolist():
+            yield batch.column(1)[i].as_py()
+
+
 def described(texts: DataFrame, width: int) -> DataFrame:
-    """Rows of documents (what 0: id, node, n, classes) and of counters (what 1: block, counts)."""
+    """Rows of documents (what 0: id, hash, node, n, classes) and of counters (what 1: block, counts)."""
     kind = texts.schema["_id"].dataType.simpleString()
-    ddl = f"what int, _id {kind}, node bigint, n bigint, classes binary, block int, counts binary"
+    ddl = f"what int, _id {kind}, hash bigint, node bigint, n bigint, classes binary, block int, counts binary"
     schema = arrow_schema(texts.sparkSession, ddl)
     columns = {f.name: f.type for f in schema}
 
     def run(batches):
         counts = np.zeros(COUNTERS, np.uint32)
         rows, waiting, size = [], [], 0
-        for key, text in _texts(batches):
+        for key, text, hashed in _texts(batches):
             found = shingle_set(text, width)
             waiting.append(found >> np.uint64(44))
             size += len(found)
             if size > 1 << 18:
                 counts += _bucket_counts(waiting)
                 waiting, size = [], 0
-            rows.append((0, key, node_of(found) if len(found) else None, len(found),
+            rows.append((0, key, hashed, node_of(found) if len(found) else None, len(found),
                          class_sizes(found), None, None))
             if len(rows) == 4096:
                 yield _batches(columns, rows)
@@ -107,7 +116,7 @@ def described(texts: DataFrame, width: int) -> DataFrame:
             counts += _bucket_counts(waiting)
         for block, part in enumerate(np.split(counts, BLOCKS)):
             if part.any():
-                rows.append((1, None, None, 0, None, block, zlib.compress(part.tobytes(), 1)))
+                rows.append((1, None, None, None, 0, None, block, zlib.compress(part.tobytes(), 1)))
         yield _batches(columns, rows)
 
     return texts.mapInArrow(run, ddl)
@@ -147,7 +156,7 @@ def prefix_index(texts: DataFrame, counts: np.ndarray, width: int, percent: int)
 
     def run(batches):
         table, seen, parts, size = shared.value, set(), [], 0
-        for _, text in _texts(batches):
+        for _, text, _ in _texts(batches):
             found = shingle_set(text, width)
             node = node_of(found) if len(found) else None
             if node is None or node in seen:
@@ -215,9 +224,11 @@ def suffix_filter(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
     return joined.select("a", "b", "n_a", "n_b", "c_a", "c_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def node_sets(texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, shingles) of the asked nodes, as sorted 64-bit integers, once each."""
-    bits = nodes.select((F.pmod(F.col("node"), F.lit(BIT_TABLE))).alias("bit"))
+def node_sets(texts: DataFrame, hashes: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of the nodes whose texts have the asked hashes (hash), as sorted 64-bit integers,
+    once each. Texts of other hashes are passed over before they are cut into words; one that shares
+    the bit of an asked one adds a row that nobody joins."""
+    bits = hashes.select((F.pmod(F.col("hash"), F.lit(BIT_TABLE))).alias("bit"))
     maps = (bits.groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("bucket"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("bits")))
     table = np.zeros(BIT_TABLE // 8, np.uint8)
@@ -229,13 +240,10 @@ def node_sets(texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     def run(batches):
         table, seen, rows, size = shared.value, set(), [], 0
         columns = {"node": pa.int64(), "shingles": pa.binary()}
-        for _, text in _texts(batches):
+        for text in _texts_of(batches, table):
             found = shingle_set(text, width)
-            if not len(found):
-                continue
-            node = node_of(found)
-            bit = node % BIT_TABLE
-            if node not in seen and table[bit >> 3] >> (bit & 7) & 1:
+            node = node_of(found) if len(found) else None
+            if node is not None and node not in seen:
                 seen.add(node)
                 rows.append((node, found.tobytes()))
                 size += len(found)
@@ -320,9 +328,9 @@ def near_duplicates(df: DataFrame, *, id: str = "doc_id", text: str = "text", wi
                     percent: int = 80) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id that links reach, itself included)."""
     bounded_batches(df.sparkSession)
-    texts = df.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
+    texts = df.select(F.col(id).alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"))
     facts = cut_lineage(described(texts, width))
-    docs = facts.filter("what = 0").select("_id", "node", "n", "classes")
+    docs = facts.filter("what = 0").select("_id", "hash", "node", "n", "classes")
     counts = shingle_counts(facts.filter("what = 1"))
     index = cut_lineage(prefix_index(texts, counts, width, percent))
 
@@ -333,7 +341,7 @@ def near_duplicates(df: DataFrame, *, id: str = "doc_id", text: str = "text", wi
     open_lists = _open(lists)
     lists = cut_lineage(lists.join(open_lists, "shingle", "left_semi").distinct())
     nodes = (docs.filter("node is not null").groupBy("node")
-             .agg(F.first("n").alias("n"), F.first("classes").alias("classes")))
+             .agg(F.first("n").alias("n"), F.first("classes").alias("classes"), F.min("hash").alias("hash")))
     nodes = cut_lineage(nodes.join(lists.select("node").distinct(), "node", "left_semi"))
 
     components, decided, pivots_each = None, None, 1
@@ -348,7 +356,10 @@ def near_duplicates(df: DataFrame, *, id: str = "doc_id", text: str = "text", wi
         left = lists.join(pivots.select("shingle", "node"), ["shingle", "node"], "left_anti")
         if not pairs.isEmpty():
             asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-            links = cut_lineage(verified(pairs, node_sets(texts, asked, width), percent))
+            hashes = nodes.join(asked, "node", "left_semi").select("hash")
+            # Written, as both sides of a pair would make the sets again.
+            sets = cut_lineage(node_sets(texts, hashes, width))
+            links = cut_lineage(verified(pairs, sets, percent))
             decided = pairs if decided is None else decided.unionByName(pairs)
             if not links.isEmpty():
                 components = merged_components(components, links)

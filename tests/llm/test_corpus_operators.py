@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -494,3 +495,25 @@ def test_workers_keep_only_what_their_task_asks_for():
         common.forget_others()
         assert [key[0] for key in common._held] == task
     assert made == ["a", "b"]
+
+
+def test_sets_are_made_of_asked_texts_only():
+    texts = ["one", None, "three", "four"]
+    hashes = [5, -7, 5 + ngram_join.BIT_TABLE, 9]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array(texts), pa.array(hashes)],
+                                       names=["_id", "_text", "_hash"])
+    table = np.zeros(ngram_join.BIT_TABLE // 8, np.uint8)
+    table[0] |= 1 << 5
+    assert list(ngram_join._texts_of(iter([batch]), table)) == ["one", "three"]
+    bit = -7 % ngram_join.BIT_TABLE
+    table[bit >> 3] |= 1 << (bit & 7)
+    assert list(ngram_join._texts_of(iter([batch]), table)) == ["one", None, "three"]
+
+
+def test_decoding_needs_names_only():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    names, made = bpe.TokenNames(path), bpe.TreeEncoder(path)
+    text = "Ünïcode 東京 <|endoftext|> words and code x_1==2 " + "".join(made.special)
+    data = made.encode(text)
+    assert len(data) and names.decode(data) == made.decode(data) and vars(names).keys() == {"names"}
+    assert made.known.size == made.chunks.size == bpe.KNOWN <= 1 << 16
