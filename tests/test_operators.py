@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import math
 import random
@@ -62,6 +63,28 @@ def test_trigram_self_pairs(spark):
     assert {(r.left_text, r.right_text) for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_trigram_pairs_of_texts_alike_are_not_shuffled(spark, monkeypatch, same):
+    """Long texts of few words: the index would join more rows than there are pairs."""
+    monkeypatch.setattr(similarity, "BLOCK_TEXTS", 16)
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("abcde"), 4)) for _ in range(40)]
+    texts = [" ".join(rng.choice(words, int(rng.integers(1, 30)))) for _ in range(120)]
+    df = strings(spark, [*texts, texts[0], "-", None], "t")
+    other = df if same else strings(spark, texts[:50], "u")
+    found = similarity.trigram_pairs(df, other, "t", "t" if same else "u", threshold=0.5, less_than=same,
+                                     label=F.md5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "MapInArrow" in plan
+    names = {t: hashlib.md5(t.encode()).hexdigest() for t in texts}
+    pairs = itertools.combinations(set(texts), 2) if same else itertools.product(set(texts), set(texts[:50]))
+    want = {tuple(sorted((names[a], names[b])) if same else (names[a], names[b])): jaccard(a, b)
+            for a, b in pairs if jaccard(a, b) >= 0.5}
+    got = found.collect()
+    assert len(want) > 100 and len(got) == len(want)
+    assert {(r.left_text, r.right_text): r.similarity for r in got} == pytest.approx(want)
+
+
 def test_trigram_candidates_stay_near_the_results(spark, sf_dir):
     """Whole texts at the lowest gate: nearly all texts of a language share some trigram."""
     from skilltide.functions.text import title_key
