@@ -20,6 +20,8 @@ DEFAULT_SALTS = 16
 SLICES = 64
 # Rows of one range of a distributed prefix sum.
 RANGE_ROWS = 500_000
+# Whether a write removes its shuffle files when it ends; else they stay until the driver collects garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -39,14 +41,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows once as a table in the shared folder and read them back.
 
     Later reads neither recompute them nor depend on executors, read only the columns they need,
-    and see the true size, so that small ones are broadcast.
+    and see the true size, so that small ones are broadcast. What was shuffled for them is removed.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     for tables in _scopes:
         tables.append(path)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

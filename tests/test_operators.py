@@ -1,7 +1,9 @@
 import hashlib
 import itertools
 import math
+import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -63,6 +65,22 @@ def test_trigram_self_pairs(spark):
     assert {(r.left_text, r.right_text) for r in got} == want and len(got) == len(want)
 
 
+def test_cut_lineage_leaves_no_shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+
+    def shuffled():
+        return {name for folder in folders for _, _, names in os.walk(folder.getPath())
+                for name in names if name.startswith("shuffle_")}
+
+    before, conf = shuffled(), spark.conf.get(scale.CLEAN_UP, None)
+    rows = scale.cut_lineage(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count())
+    until = time.time() + 10
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert rows.count() == 100 and spark.conf.get(scale.CLEAN_UP, None) == conf
+
+
 @pytest.mark.parametrize("same", [True, False])
 def test_trigram_pairs_of_texts_alike_are_not_shuffled(spark, monkeypatch, same):
     """Long texts of few words: the index would join more rows than there are pairs."""
