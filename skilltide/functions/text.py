@@ -32,6 +32,12 @@ _IU = "(?iU)"
 
 # Every white space character of Unicode, listed: much faster than \s under the flag.
 SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# One of them, for whole texts. Nearly all characters of a text are others; those are told first and by one
+# lookup, as Java keeps listed characters in a bit set but tries ranges one after the other.
+_OTHERS = "".join(rf"\x{i:02x}" for i in (*range(0x21, 0x7F), *range(0xA1, 0x100)))
+_ONE_SPACE = rf"[[^[{_OTHERS}][\u0100-\u167f\u3001-\x{{10ffff}}]]&&[{SPACE}]]"
+# A run of white space that is not a single blank already.
+UNEVEN_SPACE = rf"{_ONE_SPACE}(?:(?<!\x20)|{_ONE_SPACE}){_ONE_SPACE}*+"
 
 
 def _col(c: Column | str) -> Column:
@@ -50,7 +56,7 @@ def strip(c: Column | str) -> Column:
 
 
 def collapse_spaces(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), f"[{SPACE}]+", " ")
+    return F.regexp_replace(_col(c), UNEVEN_SPACE, " ")
 
 
 def normalize_query(c: Column | str) -> Column:

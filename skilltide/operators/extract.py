@@ -24,6 +24,9 @@ Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
 # Words that travel with the place before them.
 CARRIED = 4
+# Characters of a word, the frequent ones listed, which Java looks up in one step; '.', '/' and '-' only inside.
+_IN_WORD = r"[[abcdefghijklmnopqrstuvwxyz0123456789_+#][\p{L}\p{N}]]"
+WORD = rf"{_IN_WORD}++(?:[./-]++{_IN_WORD}++)*+"
 
 
 def known_spellings() -> list[str]:
@@ -32,9 +35,7 @@ def known_spellings() -> list[str]:
 
 def text_words(c: Column | str) -> Column:
     """Lower-case words of a whole text; they keep '+', '#' and inner '.', '/', '-'."""
-    words = F.transform(F.split(F.lower(_col(c)), r"[^\p{L}\p{N}_+#./-]+"),
-                        lambda w: F.trim(w, F.lit("./-")))
-    return F.filter(words, lambda w: w != "")
+    return F.regexp_extract_all(F.lower(_col(c)), F.lit(WORD), F.lit(0))
 
 
 def word_grams(c: Column | str, longest: int = 3) -> Column:
@@ -59,24 +60,32 @@ def word_grams(c: Column | str, longest: int = 3) -> Column:
 def gazetteer_skills(c: Column | str, spellings: Sequence[str]) -> Column:
     """Known spellings that occur in a text, row by row without a shuffle.
 
-    The list rides in the plan as hash sets; a larger one belongs in ``gazetteer_join``. A run of
-    several words is formed only where a spelling of that length begins with its first word.
+    The list rides in the plan as hash sets; a larger one belongs in ``gazetteer_join``. Each word of a
+    text is looked up once, among the first words of all spellings; a run of several words is formed only
+    where its first two words are those of a spelling of that length.
     """
     if len(spellings) > MAX_LITERAL_ALIASES:
         raise ValueError("use gazetteer_join for a large vocabulary")
-    firsts: dict[int, set[str]] = {}
+    heads: dict[int, set[tuple[str, ...]]] = {}
     for spelling in spellings:
         words = spelling.split(" ")
-        firsts.setdefault(len(words), set()).add(words[0])
+        heads.setdefault(len(words), set()).add(tuple(words[:2]))
+    firsts = sorted({head[0] for every in heads.values() for head in every})
 
-    def runs(words: Column, length: int) -> Column:
+    def runs(words: Column, places: Column, length: int) -> Column:
         if length == 1:
-            return words
-        return F.transform(words, lambda w, i: F.when(
-            w.isin(sorted(firsts[length])), F.array_join(F.slice(words, i + 1, F.lit(length)), " ")))
-
-    found = bind(text_words(c), lambda words: F.concat(
-        F.slice(words, 1, 0), *[runs(words, n) for n in sorted(firsts)]))
+            return F.transform(places, lambda i: F.get(words, i))
+        first, second = (sorted(set(part)) for part in zip(*heads[length]))
+        fits = F.filter(places, lambda i: F.get(words, i).isin(first) & F.get(words, i + 1).isin(second))
+        return F.transform(fits, lambda i: F.concat_ws(" ", F.slice(words, i + 1, F.lit(length))))
+
+    def formed(words: Column) -> Column:
+        # The last place is behind the text, where no word is found.
+        places = F.filter(F.sequence(F.lit(0), F.size(words)), lambda i: F.get(words, i).isin(firsts))
+        return bind(places, lambda at: F.concat(
+            F.slice(words, 1, 0), *[runs(words, at, n) for n in sorted(heads)]))
+
+    found = bind(text_words(c), formed)
     return F.array_sort(F.array_distinct(F.filter(found, lambda g: g.isin(list(spellings)))))
 
 

@@ -41,8 +41,9 @@ def ingest_batch(raw: DataFrame, batch: int, *, table: str, dead_letters: str,
     index = KeyIndex(spark, f"{table}/_keys", key_buckets)
     if not index.exists() and (stored := read_batches(spark, table, besides=batch)) is not None:
         index.add(stored, BUILT)
-    fresh = cut_lineage(insert_flags(good, index.stored(good, besides=batch))
-                        .filter("inserted").select(*COLUMNS))
+    # Not written by themselves: the flags are, and the index reads two columns of the built rows.
+    fresh = (insert_flags(good, index.stored(good, besides=batch))
+             .filter("inserted").select(*COLUMNS))
     index.add(fresh, batch)
     write_batch(fresh if enrich is None else enrich(fresh), table, batch)
     letters = failed.select("source_file", "error").unionByName(

@@ -1,13 +1,16 @@
 import datetime
 import json
 import random
+import re
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from skilltide import schemas
+from skilltide.functions import text as X
 from skilltide.operators import extract, mining, report
+from skilltide.operators.scale import cut_lineage
 from skilltide.plans.catalog import build_catalog
 from skilltide.plans.ingest import COLUMNS, build_postings, raw_from_pages, split_failures
 from skilltide.sources import pages, postings, tables
@@ -95,6 +98,39 @@ def test_spellings_are_looked_for_where_they_begin(spark):
     assert extract.spelling_starts(held, ten).count() == sum((t or "").split().count("w3") for _, t in texts)
 
 
+def test_whole_texts_are_read_once_and_changed_where_needed(spark):
+    """Texts without odd white space are left alone; words need no step of their own after the pattern; both
+    against plain Python, over every white space character and the ones beside it."""
+    odd = [chr(c + d) for c in (0x20, 0x85, 0xA0, 0x1680, 0x200A, 0x2029, 0x202F, 0x205F, 0x3000, 0x1F600)
+           for d in (-1, 0, 1)] + ["\t", "\n", "\x1c", "-", ".", "+", "a", " ", " "]
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(odd, k=rng.randint(0, 9))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in [*texts, "a plain text, é", None]], "t string")
+    rows = df.select("t", X.collapse_spaces("t").alias("c"), extract.text_words("t").alias("w"),
+                     F.regexp_count("t", F.lit(X.UNEVEN_SPACE)).alias("n")).collect()
+    for r in rows[:-1]:
+        runs = re.findall(r"\s+", r.t)
+        assert r.c == re.sub(r"\s+", " ", r.t) and r.n == sum(run != " " for run in runs)
+        words = (w.strip("./-") for w in re.split(r"[^\w+#./-]+", r.t.lower()))
+        assert r.w == [w for w in words if w]
+    assert tuple(rows[-1]) == (None, None, None, None)
+    plan = df.select(extract.text_words("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
+
+
+def test_a_batch_writes_its_new_rows_once(spark, tmp_path, monkeypatch):
+    """Between the built rows and the table, no rows with all their columns are written."""
+    written = []
+    monkeypatch.setattr("skilltide.streaming.ingest.cut_lineage",
+                        lambda df: written.append(df.columns) or cut_lineage(df))
+    rows = frame(spark, raw(), raw(), raw(company="Other", job_url="https://x/2")).withColumn(
+        "source_file", F.lit("f")).withColumn("_corrupt_record", F.lit(None).cast("string"))
+    for _ in range(2):
+        ingest_batch(rows, 0, table=f"{tmp_path}/t", dead_letters=f"{tmp_path}/d", key_buckets=2)
+        assert tables.read_batches(spark, f"{tmp_path}/t").count() == 2
+    assert sum("title_embedding" in columns for columns in written) == 2
+
+
 def test_large_vocabularies_and_long_spellings(spark):
     five = "the very long skill name"
     text = f"We use {five.title()}, Go and Python."
