@@ -103,6 +103,42 @@ def test_trigram_pairs_of_texts_alike_are_not_shuffled(spark, monkeypatch, same)
     assert {(r.left_text, r.right_text): r.similarity for r in got} == pytest.approx(want)
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_trigram_pairs_of_texts_alike_meet_without_a_cross_join(spark, monkeypatch, same):
+    """Groups of blocks are broadcast one by one; common trigrams are multiplied, rare ones counted."""
+    monkeypatch.setattr(similarity, "BLOCK_TEXTS", 16)
+    monkeypatch.setattr(similarity, "GROUP_BYTES", 4096)
+    monkeypatch.setattr(similarity, "BLOCK_GRAMS", 16)
+    monkeypatch.setattr(similarity, "SPARSE_PAIRS", 100)
+    monkeypatch.setattr(similarity, "SPARSE", 4)
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(list("abcde"), 4)) for _ in range(40)]
+    texts = [" ".join(rng.choice(words, int(rng.integers(1, 30)))) for _ in range(120)]
+    df = strings(spark, [*texts, texts[0], "-", None], "t")
+    other = df if same else strings(spark, [*texts[:50], " "], "u")
+    found = similarity.trigram_pairs(df, other, "t", "t" if same else "u", threshold=0.5, less_than=same)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan and plan.count("MapInArrow") > 2
+    pairs = itertools.combinations(sorted(set(texts)), 2) if same else itertools.product(set(texts), set(texts[:50]))
+    want = {(a, b): jaccard(a, b) for a, b in pairs if jaccard(a, b) >= 0.5}
+    got = found.collect()
+    assert len(want) > 100 and len(got) == len(want)
+    assert {(r.left_text, r.right_text): r.similarity for r in got} == pytest.approx(want)
+    assert similarity.trigram_pairs(df.limit(0), df.limit(0), "t", "t", threshold=0.5).count() == 0
+
+
+def test_trigram_index_order(spark):
+    """Rare trigrams first, each with its own token; the common ones follow by their frequency."""
+    df = strings(spark, ["abc abd", "abc abe", "abc xyz q"], "t")
+    texts = similarity._distinct_texts(df, "t")
+    common = similarity._common_tokens(texts, 3)
+    rows = similarity._index(texts, 0.01, common).collect()
+    sets = {r.id: set(r.grams) for r in texts.collect()}
+    assert {i: len({r.token for r in rows if r.id == i}) for i in sets} == {i: len(g) for i, g in sets.items()}
+    assert len({r.token for r in rows}) == len(set.union(*sets.values()))
+    assert {r.rest for r in rows} == {0} and {r.last.c for r in rows} == {3}
+
+
 def test_trigram_candidates_stay_near_the_results(spark, sf_dir):
     """Whole texts at the lowest gate: nearly all texts of a language share some trigram."""
     from skilltide.functions.text import title_key
